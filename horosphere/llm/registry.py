@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from horosphere.llm.bpe import op3_bpe
+from horosphere.llm.html import op2_html
+from horosphere.llm.ogg import op4_ogg
 from horosphere.llm.packing import op9_packing
 from horosphere.llm.simple8b import op6_simple8b
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe, "op6_simple8b": op6_simple8b, "op9_packing": op9_packing}
+    return {"op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
