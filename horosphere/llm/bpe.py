@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from horosphere.llm.common import list_array, map_arrow, texts
 
 #: Pieces and pretokens remembered, and states and transitions kept, before each memory starts anew.
-MEMO_ENTRIES, MAX_STATES = 600_000, 200_000
+MEMO_ENTRIES, MAX_STATES = 400_000, 200_000
 
 
 class BpeTransducer:

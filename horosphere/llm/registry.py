@@ -7,10 +7,11 @@ from horosphere.llm.html import op2_html
 from horosphere.llm.ogg import op4_ogg
 from horosphere.llm.packing import op9_packing
 from horosphere.llm.simple8b import op6_simple8b
+from horosphere.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict:
-    return {"op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op9_packing": op9_packing}
+    return {"op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

@@ -30,7 +30,17 @@ MAGIC = b"HS8B\x01\0\0\0"
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, the first word of each block) of unsigned 64-bit values."""
+    """(words, the first word of each block) of unsigned values of up to 64 bits; a few dozen blocks at a time."""
+    words, firsts, n = [], [], 0
+    for at in range(0, len(ids), 32 * BLOCK):
+        w, f = _encode(ids[at : at + 32 * BLOCK])
+        words.append(w)
+        firsts.append(f + n)
+        n += len(w)
+    return (np.concatenate(words), np.concatenate(firsts)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     blocks = -(-n // BLOCK)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 from array import array
 
-from horosphere.llm.bpe import _UNEVEN, Pieces
+import numpy as np
+
+from horosphere.llm.bpe import _UNEVEN, MEMO_ENTRIES
 
 _made: dict[str, LibraryEncoder] = {}
 
@@ -22,20 +24,52 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first, self.rest = Pieces("", self.whole), Pieces(" ", self.whole)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when that memory last filled up
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece with the blank before it: all go through the library as one text, told apart by the tokens' offsets."""
+        out: list[bytes] = []
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            got = self.library.encode(" " + " ".join(some), add_special_tokens=False)
+            ids = array("I", got.ids).tobytes()
+            starts = np.cumsum([0, *(len(x) + 1 for x in some)])
+            cut = (4 * np.searchsorted([o[0] for o in got.offsets], starts)).tolist()
+            out += [ids[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
-        out, find = [], self.rest.__getitem__
-        for t in texts:
-            if _UNEVEN.search(t):
-                out.append(self.whole(t))
-                continue
-            first, blank, rest = t.partition(" ")
-            out.append(self.first[first] + b"".join(map(find, rest.split(" "))) if blank else self.whole(t))
+        out: list[bytes] = []
+        for at in range(0, len(texts), 100):
+            if len(self.known) > MEMO_ENTRIES:
+                self.known, self.before = {}, self.known
+            find, rows, new = self.known.get, [], {}
+            for t in texts[at : at + 100]:
+                first, blank, rest = t.partition(" ")
+                if not blank or _UNEVEN.search(t):
+                    rows.append(self.whole(t))
+                    continue
+                split = rest.split(" ")
+                got = list(map(find, split))
+                if None in got:
+                    new.update((p, None) for p, g in zip(split, got, strict=True) if g is None)
+                    rows.append((self.whole(first), split))
+                else:
+                    rows.append(self.whole(first) + b"".join(got))
+            if new:
+                old = self.before
+                self.known.update((p, old[p]) for p in new if p in old)
+                names = [p for p in new if p not in old]
+                self.known.update(zip(names, self.pieces(names), strict=True))
+            out += [r if isinstance(r, bytes) else r[0] + b"".join(map(self.known.__getitem__, r[1])) for r in rows]
+            for p in names if new else ():
+                if len(p) > 64:
+                    del self.known[p]
         return out
 
 
