@@ -5,6 +5,7 @@ from __future__ import annotations
 from horosphere.llm.ann import op1_ann
 from horosphere.llm.bpe import op3_bpe
 from horosphere.llm.html import op2_html
+from horosphere.llm.neardup import op8_neardup
 from horosphere.llm.ogg import op4_ogg
 from horosphere.llm.packing import op9_packing
 from horosphere.llm.simple8b import op6_simple8b
@@ -12,7 +13,7 @@ from horosphere.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
+    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
