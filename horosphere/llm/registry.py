@@ -10,10 +10,11 @@ from horosphere.llm.ogg import op4_ogg
 from horosphere.llm.packing import op9_packing
 from horosphere.llm.simple8b import op6_simple8b
 from horosphere.llm.toxicity import op7_toxicity
+from horosphere.llm.substrings import op10_suffix
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_packing": op9_packing}
+    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict:
