@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of a window, of an anchor, and the anchors among which a window takes the least.
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 STARTS = WINDOW - GRAM + 1
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
@@ -42,7 +42,7 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     z += w[8 : grams + 8]
     z *= _C[1]
     z ^= z >> np.uint64(31)
-    z += w[16 : grams + 16]
+    z += w[GRAM - 8 : grams + GRAM - 8]
     z *= _C[2]
     z &= np.uint64(0xFFFFFFFF00000000)
     z |= np.arange(grams, dtype=np.uint64)  # of equal ones the first
@@ -52,7 +52,7 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         z = np.minimum(z[:-step], z[step:])
         have += step
     anchor = (z & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    doc_end = np.zeros(m, np.int32)  # windows that reach over an end belong to none
+    # windows that reach over a document's end belong to none
     inner = bounds[1:-1]
     ok = np.ones(m, bool)
     if len(inner):
@@ -60,7 +60,6 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         np.add.at(mark, np.maximum(inner - WINDOW + 1, 0), 1)
         np.add.at(mark, inner, -1)
         ok = np.cumsum(mark)[:m] == 0
-    del doc_end
     start = ok.copy()
     start[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
     first = np.flatnonzero(start)

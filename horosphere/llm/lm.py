@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from horosphere.llm.common import map_arrow, partitions, stored, table, texts
 from horosphere.llm.neardup import LOWER, _words, scrambled
-from horosphere.llm.substrings import chunks, opened, rows_of
+from horosphere.llm.substrings import chunks, opened, rows_of, spread
 
 ALPHA = 0.4
 
@@ -55,7 +55,7 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
 
     def run(batches):
         for row in rows_of(batches):
-            _, _, bounds, data = opened(row)
+            _, _, bounds, data = opened(row["uri"])
             keys, n = sequences(bounds, data)
             keys, counts = np.unique(keys, return_counts=True)
             shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -71,7 +71,7 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
                 ["shard", "chunk", "keys", "counts", "words"],
             )
 
-    return map_arrow(held, run, "shard int, chunk long, keys binary, counts binary, words long")
+    return map_arrow(spread(held), run, "shard int, chunk long, keys binary, counts binary, words long")
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for row in rows_of(batches):
-            ids, known, bounds, data = opened(row)
+            ids, known, bounds, data = opened(row["uri"])
             keys, n = sequences(bounds, data)
             distinct, place = np.unique(keys, return_inverse=True)
             total = np.concatenate([unplaned(a["totals"], "<u8") for a in row["answers"]]).astype(np.float64) if row["answers"] else np.zeros(0)
@@ -122,7 +122,7 @@ def score(docs: DataFrame) -> DataFrame:
                 out.append(float(np.log(s).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(n), pa.array(out, pa.float64())], ["doc_id", "n_words", "log_score"])
 
-    return map_arrow(held.join(by_chunk, "chunk", "left").select("answers", "ids", "known", "sizes", "data"), run, "doc_id long, n_words long, log_score double")
+    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("answers", "uri")), run, "doc_id long, n_words long, log_score double")
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,13 @@
 
 Texts are first stored in chunks of some hundred documents. Every window of WINDOW bytes belongs to the anchor that its
 bytes choose; a maximal run of windows with one anchor is a segment, so equal windows lie in segments of equal anchors, and
-a shard - all segments whose anchors hash to it - decides its windows alone. Within a chunk equal segments of several
-documents are listed once, for the first document; the others follow it. A shard learns which anchors occur in more than
-one document, fetches one copy of each distinct segment of these from the chunks, sorts the segments' suffixes by
-external induced sorting, and reads off, where the common prefix with the suffix before reaches WINDOW bytes, the first
-document of every window. What is decided for a segment holds wherever its bytes recur. The spans go back to the chunks,
-which return what is left of each text.
+a shard - all segments whose anchors hash to it - decides its windows alone. Equal segments are one to the sort: a copy in a later document loses all its windows to the
+first one, within a chunk at once and in the shard beyond. Where an anchor has several distinct segments, one copy of each
+is fetched from the chunks, and the shard sorts their suffixes by external induced sorting and reads off, where the common
+prefix with the suffix before reaches WINDOW bytes, the first document of every window. The spans go back to the chunks,
+which return what is left of each text. Chunks are files in the shared folder, read where they are needed and not shuffled.
 
-Segments are told apart by 32 bits of their anchor and 64 of their bytes, within a shard; all that is removed is confirmed
-on bytes in the sort, but for copies of one segment, which these 96 bits stand for.
+Equal segments are known by a hash: 32 bits of their anchor and 48 of their bytes, compared within a shard only.
 
 Edge cases: null and empty texts, and those under WINDOW bytes, keep all; a null doc_id neither gives nor loses bytes; rows
 of equal doc_id do not remove each other's bytes; repeats within a document stay; further columns are not read.
@@ -24,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.llm.anchors import GRAM, WINDOW, _C, mixed, runs, window_hash, words_at
-from horosphere.llm.common import map_arrow, partitions, stored, table, texts
+from horosphere.llm.common import map_arrow, partitions, shared_dir, stored, table, texts
 from horosphere.llm.induced import MEMORY, suffix_order
+from horosphere.llm.simple8b import get, put
 
 #: Bytes of text looked at at once, and of segments sorted at once.
 PIECE, SHARD = 2 << 20, 3 << 20
@@ -34,17 +33,27 @@ _PLACE = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "u1")])
 _SPAN = np.dtype([("row", "<u2"), ("from", "<u4"), ("to", "<u4")])
 
 
+#: Bytes kept of a number, where not all.
+_SIZE = {"bytes": 6}
+
+
+def width(kind: np.dtype) -> int:
+    return sum(_SIZE.get(n, kind[n].itemsize) for n in kind.names)
+
+
 def packed(a: np.ndarray) -> bytes:
     """Column by column, byte by byte of the values: what is alike lies together."""
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1).T).tobytes() for n in a.dtype.names) if len(a) else b""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1).T[: _SIZE.get(n)]).tobytes() for n in a.dtype.names) if len(a) else b""
 
 
 def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(data) // kind.itemsize
-    out, at = np.empty(n, kind), 0
-    for name in kind.names:
-        size = kind[name].itemsize
-        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind[name]).ravel() if n else 0
+    n = len(data) // width(kind)
+    out, at = np.zeros(n, kind), 0
+    for name in kind.names if n else ():
+        size = _SIZE.get(name, kind[name].itemsize)
+        whole = np.zeros((n, kind[name].itemsize), np.uint8)
+        whole[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
+        out[name] = whole.view(kind[name]).ravel()
         at += n * size
     return out
 
@@ -65,35 +74,38 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as stored rows (chunk, ids, known, sizes, data): data is the texts' bytes, compressed."""
+    """docs (doc_id, text) as files in the shared folder, some hundred documents each, and a stored row (chunk, uri) for each file."""
+    import uuid
 
-    def run(batches):
-        import uuid
+    folder = f"{shared_dir(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
 
+    def run(batches):
         import zstandard
 
         for b in batches:
             ids = b.column(0)
             data = [t.encode() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pylist(
-                [{
-                    "chunk": uuid.uuid4().int >> 65,  # stored once, so that later stages see one number
-                    "ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
-                    "known": ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-                    "sizes": np.array([len(d) for d in data], "<i8").tobytes(),
-                    "data": zstandard.ZstdCompressor(level=1).compress(b"".join(data)),
-                }],
-                pa.schema([("chunk", pa.int64()), *((n, pa.binary()) for n in ("ids", "known", "sizes", "data"))]),
-            )
+            parts = (np.array([len(data)], "<i8"), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.array([len(d) for d in data], "<i8"))
+            chunk = uuid.uuid4().int >> 65  # an attempt that is lost leaves a file that no row names
+            put(uri := f"{folder}/{chunk:016x}", b"".join(x.tobytes() for x in parts) + zstandard.ZstdCompressor(level=1).compress(b"".join(data)))
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "uri": uri}])
+
+    return stored(map_arrow(docs, run, "chunk long, uri string"), "chunks")
+
 
-    return stored(map_arrow(docs, run, "chunk long, ids binary, known binary, sizes binary, data binary"), "chunks")
+def spread(held: DataFrame) -> DataFrame:
+    """The few rows dealt over tasks, as each stands for a file."""
+    return held.repartition(2 * partitions(held.sparkSession))
 
 
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def opened(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """A chunk's doc ids, which of them are not null, where each text starts, and the end, in the bytes."""
     import zstandard
 
-    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))]).astype(np.int64)
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known"], np.uint8) > 0, bounds, zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(bounds[-1])))
+    raw = get(uri)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 9 * n))]).astype(np.int64)
+    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, np.uint8, n, 8 + 8 * n) > 0, bounds, zstandard.ZstdDecompressor().decompress(raw[8 + 17 * n :], max_output_size=max(1, int(bounds[-1])))
 
 
 def rows_of(batches):
@@ -121,7 +133,7 @@ def segments(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, data: bytes
                 continue
             s = np.empty(len(a), _SEGMENT)
             s["anchor"] = mixed(words_at(raw, anchor) * _C[0] + mixed(words_at(raw, anchor + 8) * _C[1] + mixed(words_at(raw, anchor + GRAM - 8) * _C[2]))) >> np.uint64(32)
-            s["bytes"] = mixed(window_hash(raw, a) + mixed(window_hash(raw, b) + (b - a).astype(np.uint64) * np.uint64(64) + (anchor - a).astype(np.uint64)))
+            s["bytes"] = mixed(window_hash(raw, a) + mixed(window_hash(raw, b) + (b - a).astype(np.uint64) * np.uint64(64) + (anchor - a).astype(np.uint64))) >> np.uint64(16)
             row = first + np.searchsorted(own, a, side="right") - 1
             s["row"], s["doc"], s["more"] = row, ids[row], b - a
             s["first"] = lo + a - bounds[row]
@@ -138,13 +150,13 @@ def first_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, s["doc"] == least
 
 
-def listed(stored_chunks: DataFrame, shards: int) -> DataFrame:
-    """(shard, chunk, kind, payload): kind 0 holds segments for their shard; kind 1, with shard -1, spans of segments that
-    an earlier document of the same chunk holds."""
+def listed(held: DataFrame, shards: int) -> DataFrame:
+    """(shard, chunk, kind, payload): kind 0 holds segments for their shard; kind 1, by way of any shard, spans of segments
+    that an earlier document of the same chunk holds."""
 
     def run(batches):
         for row in rows_of(batches):
-            s = segments(*opened(row))
+            s = segments(*opened(row["uri"]))
             if not len(s):
                 continue
             s, first = first_of(s)
@@ -153,10 +165,10 @@ def listed(stored_chunks: DataFrame, shards: int) -> DataFrame:
             cut = np.searchsorted(shard, np.arange(shards + 1))
             out = [(k, row["chunk"], 0, packed(s[i:j][np.lexsort((s["first"][i:j], s["row"][i:j]))])) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
             if len(rest):
-                out.append((-1, row["chunk"], 1, packed(spans_of(rest))))
+                out.append((row["chunk"] % shards, row["chunk"], 1, packed(spans_of(rest))))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "chunk", "kind", "payload"])
 
-    return map_arrow(stored_chunks, run, "shard int, chunk long, kind int, payload binary")
+    return map_arrow(spread(held), run, "shard int, chunk long, kind int, payload binary")
 
 
 def spans_of(s: np.ndarray) -> np.ndarray:
@@ -172,38 +184,42 @@ def _gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wanted(segments_by_shard: DataFrame) -> DataFrame:
-    """(shard, chunk, kind, payload) again. Kind 2: places of one copy of each segment to be sorted, to be fetched from the
-    chunk. Kind 3: what stays in the shard about all copies, to be decided by the sort."""
+    """(shard, chunk, kind, payload) again. Kind 1: spans, of segments that an earlier document holds whole. Kind 2: places of
+    one copy of each segment to be sorted, to be fetched from the chunk. Kind 3: all the first document's copies of these."""
 
     def run(group: pa.Table) -> pa.Table:
-        s, chunk = _gather(group)
-        order = np.lexsort((chunk, s["doc"], s["bytes"], s["anchor"]))
-        s, chunk = s[order], chunk[order]
-        new_a = np.append(True, s["anchor"][1:] != s["anchor"][:-1])
-        at = np.flatnonzero(new_a)
-        shared = np.repeat(np.minimum.reduceat(s["doc"], at) != np.maximum.reduceat(s["doc"], at), np.diff(np.append(at, len(s))))
-        s, chunk = s[shared], chunk[shared]
-        new = np.append(True, (s["anchor"][1:] != s["anchor"][:-1]) | (s["bytes"][1:] != s["bytes"][:-1]))[: len(s)]
-        out = []
         shard = group["shard"][0].as_py()
-        for kind, (ss, cc) in ((2, (s[new], chunk[new])), (3, (s, chunk))):
-            by = np.argsort(cc, kind="stable")
-            ss, cc = ss[by], cc[by]
-            cut = np.append(np.flatnonzero(np.append(True, cc[1:] != cc[:-1])[: len(cc)]), len(cc))
-            out += [(shard, int(cc[i]), kind, packed(ss[i:j])) for i, j in zip(cut, cut[1:], strict=False)]
+        kinds = group["kind"].to_numpy()
+        out = [(shard, c, 1, p) for c, k, p in zip(group["chunk"].to_pylist(), kinds.tolist(), group["payload"].to_pylist(), strict=True) if k == 1]
+        if (kinds == 0).any():
+            s, chunk = _gather(group.filter(pa.array(kinds == 0)))
+            order = np.lexsort((chunk, s["doc"], s["bytes"], s["anchor"]))
+            s, chunk = s[order], chunk[order]
+            new_anchor = np.append(True, s["anchor"][1:] != s["anchor"][:-1])
+            new = new_anchor | np.append(True, s["bytes"][1:] != s["bytes"][:-1])
+            first = s["doc"] == s["doc"][np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+            at = np.flatnonzero(new_anchor)
+            apart = np.minimum.reduceat(np.where(new, s["doc"], np.iinfo(np.int64).max), at) != np.maximum.reduceat(np.where(new, s["doc"], np.iinfo(np.int64).min), at)
+            apart = np.repeat(apart, np.diff(np.append(at, len(s))))  # distinct segments of distinct first documents
+            for kind, which in ((1, ~first), (2, new & apart), (3, first & apart)):
+                ss, cc = s[which], chunk[which]
+                by = np.argsort(cc, kind="stable")
+                ss, cc = ss[by], cc[by]
+                cut = np.append(np.flatnonzero(np.append(True, cc[1:] != cc[:-1])[: len(cc)]), len(cc))
+                out += [(shard, int(cc[i]), kind, packed(spans_of(ss[i:j])) if kind == 1 else packed(ss[i:j])) for i, j in zip(cut, cut[1:], strict=False)]
         return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "kind", "payload"])
 
     return segments_by_shard.groupBy("shard").applyInArrow(run, "shard int, chunk long, kind int, payload binary")
 
 
-def fetched(stored_chunks: DataFrame, places: DataFrame) -> DataFrame:
+def fetched(held: DataFrame, places: DataFrame) -> DataFrame:
     """places (shard, chunk, payload) of kind 2 with the segments' bytes, as rows (shard, chunk, kind 4, payload)."""
 
     def run(batches):
         last: list = [None, None]
         for row in rows_of(batches):
             if last[0] != row["chunk"]:
-                last[:] = row["chunk"], opened(row)
+                last[:] = row["chunk"], opened(row["uri"])
             _, _, bounds, data = last[1]
             s = unpacked(row["payload"], _SEGMENT)
             raw = np.frombuffer(data, np.uint8)
@@ -213,8 +229,8 @@ def fetched(stored_chunks: DataFrame, places: DataFrame) -> DataFrame:
             at = np.repeat(start - np.append(0, ends[:-1]), size) + np.arange(int(ends[-1]))
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([4], pa.int32()), pa.array([len(s).to_bytes(8, "little") + packed(s) + raw[at].tobytes()], pa.binary())], ["shard", "chunk", "kind", "payload"])
 
-    together = places.join(stored_chunks, "chunk").sortWithinPartitions("chunk")
-    return map_arrow(together.select("shard", "chunk", "payload", "ids", "known", "sizes", "data"), run, "shard int, chunk long, kind int, payload binary")
+    together = places.join(held, "chunk").repartition(2 * partitions(held.sparkSession), "chunk").sortWithinPartitions("chunk")
+    return map_arrow(together.select("shard", "chunk", "payload", "uri"), run, "shard int, chunk long, kind int, payload binary")
 
 
 def first_holders(texts_: list[np.ndarray], docs: np.ndarray, memory: int = MEMORY) -> list[np.ndarray]:
@@ -253,8 +269,9 @@ def decided(everything: DataFrame) -> DataFrame:
                 chunk.append(np.full(len(s), c))
             else:
                 n = int.from_bytes(p[:8], "little")
-                kept.append(unpacked(p[8 : 8 + n * _SEGMENT.itemsize], _SEGMENT))
-                raw.append(np.frombuffer(p, np.uint8, offset=8 + n * _SEGMENT.itemsize))
+                end = 8 + n * width(_SEGMENT)
+                kept.append(unpacked(p[8:end], _SEGMENT))
+                raw.append(np.frombuffer(p, np.uint8, offset=end))
         if not kept:
             return pa.table({"chunk": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
         copies, chunk, kept, raw = (np.concatenate(x) for x in (copies, chunk, kept, raw))
@@ -301,12 +318,12 @@ def decided(everything: DataFrame) -> DataFrame:
     return everything.groupBy("shard").applyInArrow(run, "chunk long, payload binary")
 
 
-def left_over(stored_chunks: DataFrame, spans: DataFrame) -> DataFrame:
+def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (from, to of maximal removed runs), kept (the bytes that stay), of every row of every chunk."""
 
     def run(batches):
         for row in rows_of(batches):
-            ids, known, bounds, data = opened(row)
+            ids, known, bounds, data = opened(row["uri"])
             parts = [unpacked(p, _SPAN) for p in row["payloads"] or []]
             gone = merged(np.concatenate(parts)) if parts else np.zeros(0, _SPAN)
             cut = np.searchsorted(gone["row"], np.arange(len(ids) + 1)).tolist()
@@ -323,7 +340,7 @@ def left_over(stored_chunks: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(keep, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     by_chunk = spans.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # a chunk's own spans: bounded by its texts
-    return map_arrow(stored_chunks.join(by_chunk, "chunk", "left").select("payloads", "ids", "known", "sizes", "data"), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
+    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -331,11 +348,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = 2 * partitions(spark)
     held = chunks(texts(docs))
-    rows = stored(listed(held, shards), "segments")
-    asked = stored(wanted(rows.where("kind = 0").select("shard", "chunk", "payload")), "wanted")
+    asked = stored(wanted(listed(held, shards)), "wanted")
     bytes_ = fetched(held, asked.where("kind = 2").select("shard", "chunk", "payload"))
     spans = decided(asked.where("kind = 3").unionByName(bytes_))
-    return left_over(held, stored(spans.unionByName(rows.where("kind = 1").select("chunk", "payload")), "spans"))
+    return left_over(held, stored(spans.unionByName(asked.where("kind = 1").select("chunk", "payload")), "spans"))
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
