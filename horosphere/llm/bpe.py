@@ -4,7 +4,7 @@ Two facts about BPE carry the construction. Every prefix of a pretoken has one e
 encoding exactly if each pair of neighbours is. So the encoding of a prefix is that of a shorter prefix plus one token,
 and all the encodings that can still grow form a tree whose leaves end within the longest token's length of the reading
 head. What all living branches share is certain and is emitted; the rest - the bytes since the last certain boundary and
-the token before it - is the state. States and their transitions are made when first met and kept.
+the token before it - is the state. States and their transitions are made when they are needed again, and kept.
 
 Decoding is the inverse transducer over tokens: its state is that of an incremental UTF-8 machine.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from horosphere.llm.common import list_array, map_arrow, texts
 
 #: Pieces and pretokens remembered, and states and transitions kept, before each memory starts anew.
-MEMO_ENTRIES, MAX_STATES = 400_000, 200_000
+MEMO_ENTRIES, MAX_STATES = 300_000, 100_000
 
 
 class BpeTransducer:
@@ -35,8 +35,11 @@ class BpeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.starts = {b[:n] for b in ranks for n in range(1, len(b))}  # proper prefixes: a token may still grow from here
+        #: For each prefix of a token: 2 * (its own rank + 1, or 0), plus 1 if it may still grow.
+        self.prefixes = {b[:n]: 0 for b in ranks for n in range(1, len(b))}
+        self.prefixes = {p: 1 for p in self.prefixes} | {b: 2 * r + 2 + (b in self.prefixes) for b, r in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -45,54 +48,74 @@ class BpeTransducer:
         self.states: list[tuple] = [(-1, b"", ((0, -1),), (0,))]
         self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
         self.ends: list[bytes | None] = [b""]
-
-    def merged(self, word: bytes) -> list[int]:
-        """The merges applied literally, lowest rank first; only ever called for two tokens' bytes."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        self.asked: set[int] = set()  # transitions that were missing once
+
+    def last_merge(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the token's last merge joins; None of a single byte."""
+        if token not in self.halves:
+            ranks, word = self.ranks, self.bytes_of[token]
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 2:
+                best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            self.halves[token] = (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether token b can stand after a; -1 stands for the pretoken's start."""
-        word = self.bytes_of[b] if a < 0 else self.bytes_of[a] + self.bytes_of[b]
+        """Whether token b can stand after a (-1: the pretoken's start): whether, as both are put together merge by merge, no
+        pair over the boundary between them is ever due before the merges that make them."""
         if len(self.pairs) > 4 * MEMO_ENTRIES:
             self.pairs.clear()
-        known = self.pairs[a, b] = self.merged(word) == ([b] if a < 0 else [a, b])
-        return known
+        bound, left, right, ok = 1 << 60, a, b, True
+        while a >= 0:
+            due = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if due is not None and due < bound:
+                ok = False
+                break
+            # undo the later of the two last merges: before it, the boundary's tokens were its halves
+            x, y = self.last_merge(left), self.last_merge(right)
+            if x and (not y or left > right):
+                bound, left = left, x[1]
+            elif y:
+                bound, right = right + 1, y[0]
+            else:
+                break
+        self.pairs[a, b] = ok
+        return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, bytes]:
-        """Determinise one transition."""
-        before, pending, tree, live = self.states[state]
-        pending += bytes((byte,))
-        n, ranks, starts, pairs, node, still = len(pending), self.ranks, self.starts, self.pairs, None, []
+    def step(self, data: bytes, n: int, before: int, tree, live) -> tuple[tuple[int, int], list[int]]:
+        """One more byte, data[n - 1]: the boundary before the last token of data[:n] and that token, and what may still grow."""
+        node, still, prefixes, pairs = None, [], self.prefixes, self.pairs
         for p in live:
-            tail = pending[p:]
-            if node is None and (token := ranks.get(tail)) is not None:
-                last = tree[p][1] if p else before
+            x = prefixes.get(data[p:n])
+            if x is None:
+                continue
+            if x & 1:
+                still.append(p)
+            if x > 1 and node is None:
+                last, token = tree[p][1] if p else before, (x >> 1) - 1
                 known = pairs.get((last, token))
                 if self.fits(last, token) if known is None else known:
                     node = (p, token)
-            if tail in starts:
-                still.append(p)
         if node is None:
             raise ValueError("the vocabulary lacks a byte")
-        tree, base = (*tree, node), n
+        return node, still
+
+    def move(self, state: int, byte: int) -> tuple[int, bytes]:
+        """Determinise one transition."""
+        before, pending, tree, live = self.states[state]
+        pending += bytes((byte,))
+        n = base = len(pending)
+        node, still = self.step(pending, n, before, tree, live)
+        tree = (*tree, node)
         if still:  # where the living branches part
             meet = {n, *still}
             while len(meet) > 1:
                 meet.remove(top := max(meet))
                 meet.add(tree[top][0])
             (base,) = meet
-        emitted = b""
+        emitted = self.back(tree, base)
         if base:
-            p = base
-            while p:
-                p, token = tree[p]
-                emitted = token.to_bytes(4, "little") + emitted
             before = tree[base][1]
         key = (before, pending[base:])
         target = self.ids.get(key)
@@ -105,29 +128,49 @@ class BpeTransducer:
         out = self.moves[state][byte] = (target, emitted)
         return out
 
-    def end(self, state: int) -> bytes:
-        """What a pretoken that ends here still emits."""
-        _, pending, tree, _ = self.states[state]
-        p, rest = len(pending), b""
+    @staticmethod
+    def back(tree, p: int) -> bytes:
+        """The tokens from the last certain boundary to place p."""
+        out = b""
         while p:
             p, token = tree[p]
-            rest = token.to_bytes(4, "little") + rest
-        self.ends[state] = rest
-        return rest
+            out = token.to_bytes(4, "little") + out
+        return out
+
+    def follow(self, state: int, rest: bytes) -> bytes:
+        """What is emitted from a state on to the pretoken's end, without making states of the way."""
+        before, pending, tree, live = self.states[state]
+        data, tree = pending + rest, [*tree]
+        for n in range(len(pending) + 1, len(data) + 1):
+            node, live = self.step(data, n, before, tree, live)
+            tree.append(node)
+            live.append(n)
+        return self.back(tree, len(data))
 
     def encode(self, word: bytes) -> bytes:
-        if (whole := self.ranks.get(word)) is not None and (self.pairs[-1, whole] if (-1, whole) in self.pairs else self.fits(-1, whole)):
+        if (whole := self.ranks.get(word)) is not None:
             return whole.to_bytes(4, "little")
         if len(self.states) > MAX_STATES:
             self.reset()
-        state, out, moves = 0, [], self.moves
-        for byte in word:
-            state, emitted = moves[state].get(byte) or self.move(state, byte)
+        state, out, moves, asked = 0, bytearray(), self.moves, self.asked
+        for at, byte in enumerate(word):
+            move = moves[state].get(byte)
+            if move is None:
+                key = state << 8 | byte
+                if key not in asked and len(word) - at < 64:  # a way gone once is not worth states; long words repeat themselves
+                    if len(asked) > 4 * MAX_STATES:
+                        asked.clear()
+                    asked.add(key)
+                    return bytes(out) + self.follow(state, word[at:])
+                move = self.move(state, byte)
+            state, emitted = move
             if emitted:
-                out.append(emitted)
+                out += emitted
         last = self.ends[state]
-        out.append(self.end(state) if last is None else last)
-        return b"".join(out)
+        if last is None:
+            _, pending, tree, _ = self.states[state]
+            last = self.ends[state] = self.back(tree, len(pending))
+        return bytes(out) + last
 
 
 #: A text without these splits before each blank that a word follows, whatever is around: no match crosses such a place.
@@ -141,15 +184,19 @@ class Pieces(dict):
         super().__init__()
         self.lead, self.encode = lead, encode
         self.marks = {m: encode(m) for m in ",."}
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
+            self.before = dict(self)  # what is still asked for comes back from there
             self.clear()
-        word, tail = piece[:-1], piece[-1:]
-        if tail in ",." and word.isalpha() and max(word) < "\u0250":  # a word and a mark are two pretokens
-            out = self[word] + self.marks.get(tail, b"")
-        else:
-            out = self.encode(self.lead + piece)
+        out = self.before.get(piece)
+        if out is None:
+            word, tail = piece[:-1], piece[-1:]
+            if tail in ",." and word.isalpha() and max(word) < "\u0250":  # a word and a mark are two pretokens
+                out = self[word] + self.marks.get(tail, b"")
+            else:
+                out = self.encode(self.lead + piece)
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -162,21 +209,15 @@ class Splitter:
         import regex
 
         self.find, self.one = regex.compile(pattern).findall, one
-        self.words: dict[str, bytes] = {}
         self.first, self.rest = Pieces("", self.slow), Pieces(" ", self.slow)
 
     def slow(self, text: str) -> bytes:
-        words, out = self.words, []
-        for w in self.find(text):
-            got = words.get(w)
-            if got is None:
-                got = self.one(w.encode())
-                if len(w) <= 64:
-                    if len(words) >= MEMO_ENTRIES:
-                        words.clear()
-                    words[w] = got
-            out.append(got)
-        return b"".join(out)
+        one = self.one
+        if text.isalpha() and max(text) < "\u0250":  # one pretoken
+            return one(text.encode())
+        if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
+            return one(text.encode())
+        return b"".join([one(w.encode()) for w in self.find(text)])
 
     def encode(self, text: str) -> bytes:
         if _UNEVEN.search(text):
