@@ -14,8 +14,14 @@ from horosphere.llm.toxicity import op7_toxicity
 from horosphere.llm.substrings import op10_suffix
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op5_lm": op5_lm, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_suffix": op10_suffix}
+    return {"op1_ann": op1_ann, "op2_html": op2_html, "op3_bpe": op3_bpe, "op4_ogg": op4_ogg, "op5_lm": op5_lm, "op6_simple8b": op6_simple8b, "op7_toxicity": op7_toxicity, "op8_neardup": op8_neardup, "op9_packing": op9_packing, "op10_suffix": op10_suffix, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict:

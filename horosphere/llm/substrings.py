@@ -319,11 +319,14 @@ def decided(everything: DataFrame) -> DataFrame:
 
 
 def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (from, to of maximal removed runs), kept (the bytes that stay), of every row of every chunk."""
+    """doc_id, n_bytes, spans (from, to of maximal removed runs), kept (the bytes that stay), text_hash (Spark's xxhash64 of the text), of every row of every chunk."""
 
     def run(batches):
+        import xxhash
+
         for row in rows_of(batches):
             ids, known, bounds, data = opened(row["uri"])
+            hashes = [xxhash.xxh64_intdigest(data[i:j], 42) for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
             parts = [unpacked(p, _SPAN) for p in row["payloads"] or []]
             gone = merged(np.concatenate(parts)) if parts else np.zeros(0, _SPAN)
             cut = np.searchsorted(gone["row"], np.arange(len(ids) + 1)).tolist()
@@ -337,10 +340,25 @@ def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
                     at = b
                 keep.append(b"".join(left) + text[at:])
                 found.append([{"from": a, "to": b} for a, b in some])
-            yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(keep, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(keep, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "n_bytes", "spans", "kept", "text_hash"])
 
     by_chunk = spans.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # a chunk's own spans: bounded by its texts
-    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
+    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary, text_hash long")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, n_chars, further columns) with what dedup_substrings() keeps of each text; rows of which nothing
+    stays go. What stays follows from doc_id and text alone, so rows that repeat both are changed alike."""
+    left = dedup_substrings(docs).where(F.size("spans") > 0)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())], ["__doc", "__was", "__left"])
+
+    changed = map_arrow(left.select("doc_id", "text_hash", "kept"), run, "__doc long, __was long, __left string").dropDuplicates(["__doc", "__was"])
+    joined = docs.join(changed, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__was")), "left").where("__left is null or __left <> ''")
+    new = {"text": F.coalesce("__left", "text"), "n_chars": F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("__left")).cast("long")}
+    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
