@@ -87,8 +87,8 @@ def vertex_log_likelihood(vertices: DataFrame, edges: DataFrame, dim: int, beta:
     from horosphere.functions import geometry as G
 
     def kernel(row):
-        x = np.maximum(rescaled(row, dim, big_r, mu), 1e-100)  # a power of it stays finite
-        t = np.where(upper(row), -np.log1p(x**-beta), 0)
+        x = np.log(np.maximum(rescaled(row, dim, big_r, mu), 1e-300))
+        t = np.where(upper(row), -np.logaddexp(0, -beta * x), 0)
         return [{"vid": v, "x": s} for v, s in zip(row["vid_a"], t.sum(1).tolist(), strict=True)] + [{"vid": v, "x": s} for v, s in zip(row["vid_b"], t.sum(0).tolist(), strict=True)]
 
     everywhere = over_pairs(vertices, dim, kernel, "vid long, x double", count)
