@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +92,7 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, row (distinguishes rows of equal doc_id within a batch), piece, start, length, ids_crc32 of every document's pieces; of a longer document the first piece is what the full ones leave."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; of a longer document the first piece is what the full ones leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from horosphere.llm.tokens import encoder
@@ -117,14 +116,15 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFr
 def place(parts: DataFrame, capacity: int, groups: int) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "start"], kind="stable")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         where, offset = pack(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=int(key[0]) * (1 << 36) + where, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        first = group["part"][0].as_py() * (1 << 36)
+        return group.drop_columns(["part"]).append_column("sequence_id", pa.array(first + where)).append_column("offset", pa.array(offset))
 
     small_batches(parts.sparkSession)
     dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return dealt.groupBy("part").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("part").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
