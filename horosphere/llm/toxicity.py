@@ -14,6 +14,7 @@ repeated labels of a document each count; repeated documents are scored each for
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from horosphere.llm.common import map_arrow, stored, table, texts
 
 #: Bounds of sample and lexicon; the trees' number, depth, bins of a feature and learning rate; folds left out for calibration;
-#: standard deviations by which a lexicon term's toxic documents exceed chance.
-SAMPLE, TERMS, TREES, DEPTH, BINS, RATE, FOLDS, SIGNS = 16000, 3000, 40, 3, 32, 0.25, 3, 6.0
+#: standard deviations by which a lexicon term's toxic documents exceed chance (a larger sample tries more terms, and asks for more).
+SAMPLE, TERMS, TREES, DEPTH, BINS, RATE, FOLDS, SIGNS = 16000, 3000, 40, 3, 32, 0.25, 3, 2.9
 #: Second-person words of the corpus's languages; what stands for a letter in disguised words.
 SECOND = frozenset("you your yours yourself u ur ya du dich dir dein deine deiner ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros os vuestro tus".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
@@ -222,12 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[t] for t in both], pa.int64()), pa.array([clean[t] for t in both], pa.int64())], ["term", "toxic", "clean"])
 
     rows = stored(rows, "toxic-sample")
-    totals = dict(rows.groupBy("toxic").count().collect())
-    nt, nc = totals.get(1, 0), totals.get(0, 0)
-    counted = map_arrow(rows, count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
+    words = F.split("text", " ")
+    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
+    different = rows.dropDuplicates(["toxic", "text"]).withColumn("least", F.array_min(pairs)).dropDuplicates(["toxic", "least"]).select("toxic", "text")  # copies and most near copies count once
+    nt, nc = (dict(different.groupBy("toxic").count().collect()).get(k, 0) for k in (1, 0))
+    counted = map_arrow(different, count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
     by_chance = (F.col("t") + F.col("c")) * (nt / max(1, nt + nc))  # toxic documents that would hold the term if it told nothing
     weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    lexicon = {r.term: r.w for r in counted.withColumn("w", weight).where("w >= 2").where((F.col("t") - by_chance) >= SIGNS * F.sqrt(by_chance)).orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
+    lexicon = {r.term: r.w for r in counted.withColumn("w", weight).where("w >= 2").where((F.col("t") - by_chance) >= (SIGNS + 0.5 * math.log(max(1, nt))) * F.sqrt(by_chance)).orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer(lexicon)
