@@ -42,9 +42,37 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers outlive tasks, and share an executor's limit with it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """What a task of this kind remembers stays in its Python worker; what other kinds remember goes."""
+    for other in [n for n in _memories if n != name]:
+        _memories.pop(other)()
+    if clear is not None:
+        _memories[name] = clear
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
     small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

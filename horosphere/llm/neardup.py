@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import list_array, map_arrow, stored, table, texts
+from horosphere.llm.common import claim, list_array, map_arrow, stored, table, texts
 from horosphere.llm.components import components
 
 #: A-Z to a-z, and nothing else.
@@ -47,7 +47,7 @@ def scrambled(z: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    LIMIT = 400_000
+    LIMIT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -132,6 +132,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
+        claim("words", _words.clear)
         for batch in batches:
             n, fa, fb, regs, low = [], [], [], [], []
             for t in batch.column(1).to_pylist():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.llm.anchors import GRAM, WINDOW, _C, mixed, runs, window_hash, words_at
-from horosphere.llm.common import map_arrow, partitions, shared_dir, stored, table, texts
+from horosphere.llm.common import claim, map_arrow, partitions, shared_dir, stored, table, texts
 from horosphere.llm.induced import MEMORY, suffix_order
 from horosphere.llm.simple8b import get, put
 
@@ -82,6 +82,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
+        claim("chunks")
         for b in batches:
             ids = b.column(0)
             data = [t.encode() for t in b.column(1).to_pylist()]

@@ -13,6 +13,7 @@ from array import array
 import numpy as np
 
 from horosphere.llm.bpe import _UNEVEN, MEMO_ENTRIES
+from horosphere.llm.common import claim
 
 _made: dict[str, LibraryEncoder] = {}
 
@@ -73,7 +74,13 @@ class LibraryEncoder:
         return out
 
 
+def _forget() -> None:
+    for e in _made.values():
+        e.known, e.before = {}, {}
+
+
 def encoder(path: str) -> LibraryEncoder:
+    claim("tokens", _forget)
     if path not in _made:
         _made[path] = LibraryEncoder(path)
     return _made[path]

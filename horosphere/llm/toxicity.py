@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import map_arrow, stored, table, texts
+from horosphere.llm.common import claim, map_arrow, stored, table, texts
 
 #: Bounds of sample and lexicon; the trees' number, depth, bins of a feature and learning rate; folds left out for calibration;
 #: standard deviations by which a lexicon term's toxic documents exceed chance (a larger sample tries more terms, and asks for more).
@@ -67,7 +67,7 @@ def terms(text: str) -> set[str]:
 class Featurizer:
     """Tokens are looked at once each and remembered as rows of numbers."""
 
-    LIMIT = 300_000
+    LIMIT = 120_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
@@ -233,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicon = {r.term: r.w for r in counted.withColumn("w", weight).where("w >= 2").where((F.col("t") - by_chance) >= (SIGNS + 0.5 * math.log(max(1, nt))) * F.sqrt(by_chance)).orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("features")
         f = Featurizer(lexicon)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
@@ -245,6 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("features")
         f = Featurizer(model.lexicon)
         for b in batches:
             x = np.array([f(t) for t in b.column(1).to_pylist()]).reshape(len(b), len(COLUMNS))
@@ -259,6 +261,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     text = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("features")
         f = Featurizer(model.lexicon)
         for b in batches:
             x = np.array([f(t or "") for t in b.column(text).to_pylist()]).reshape(len(b), len(COLUMNS))
