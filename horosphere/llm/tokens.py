@@ -12,10 +12,12 @@ from array import array
 
 import numpy as np
 
-from horosphere.llm.bpe import _UNEVEN, MEMO_ENTRIES
+from horosphere.llm.bpe import _UNEVEN
 from horosphere.llm.common import claim
 
 _made: dict[str, LibraryEncoder] = {}
+#: Pieces remembered, about 150 bytes each, before the memory starts anew.
+PIECES = 1_000_000
 
 
 class LibraryEncoder:
@@ -26,29 +28,32 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # what was known when that memory last filled up
+        self.marks = {m: self.whole(m) for m in ",."}
+        size = self.library.get_vocab_size()
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # as the library writes a blank
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def pieces(self, new: list[str]) -> list[bytes]:
-        """The ids of each piece with the blank before it: all go through the library as one text, told apart by the tokens' offsets."""
+        """The ids of each piece with the blank before it: all go through the library as one text, in which tokens that begin
+        with a blank begin a piece, since a piece holds no other."""
         out: list[bytes] = []
         for at in range(0, len(new), 5000):
             some = new[at : at + 5000]
-            got = self.library.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = array("I", got.ids).tobytes()
-            starts = np.cumsum([0, *(len(x) + 1 for x in some)])
-            cut = (4 * np.searchsorted([o[0] for o in got.offsets], starts)).tolist()
-            out += [ids[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+            (got,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = array("I", got.ids)
+            cut = (4 * np.append(np.flatnonzero(self.opens[np.frombuffer(ids, np.uint32)]), len(ids))).tolist()
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for at in range(0, len(texts), 100):
-            if len(self.known) > MEMO_ENTRIES:
-                self.known, self.before = {}, self.known
+            if len(self.known) > PIECES:
+                self.known.clear()
             find, rows, new = self.known.get, [], {}
             for t in texts[at : at + 100]:
                 first, blank, rest = t.partition(" ")
@@ -62,13 +67,12 @@ class LibraryEncoder:
                     rows.append((self.whole(first), split))
                 else:
                     rows.append(self.whole(first) + b"".join(got))
-            if new:
-                old = self.before
-                self.known.update((p, old[p]) for p in new if p in old)
-                names = [p for p in new if p not in old]
-                self.known.update(zip(names, self.pieces(names), strict=True))
+            marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0250"]  # a word and a mark are two pretokens
+            names = list({**dict.fromkeys(p[:-1] for p in marked if p[:-1] not in self.known), **{p: None for p in new.keys() - set(marked)}})
+            self.known.update(zip(names, self.pieces(names), strict=True))
+            self.known.update([(p, self.known[p[:-1]] + self.marks[p[-1:]]) for p in marked])
             out += [r if isinstance(r, bytes) else r[0] + b"".join(map(self.known.__getitem__, r[1])) for r in rows]
-            for p in names if new else ():
+            for p in (*names, *marked):
                 if len(p) > 64:
                     del self.known[p]
         return out
@@ -76,7 +80,7 @@ class LibraryEncoder:
 
 def _forget() -> None:
     for e in _made.values():
-        e.known, e.before = {}, {}
+        e.known = {}
 
 
 def encoder(path: str) -> LibraryEncoder:
