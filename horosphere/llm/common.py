@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from horosphere.sources.shared import shared_dir, stored  # noqa: F401
+
 #: Rows of an Arrow batch handed to Python; Spark also ends a batch at 64 MB.
 BATCH_ROWS = 1000
 
@@ -18,22 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not given:
-        sc.setCheckpointDir(given := tempfile.mkdtemp(prefix="horosphere-"))
-    return given if "://" in given else f"file://{given}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as a table in the shared folder and reread: lineage ends here, and a lost executor takes nothing along."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
