@@ -64,7 +64,7 @@ class BpeTransducer:
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can stand after a (-1: the pretoken's start): whether, as both are put together merge by merge, no
         pair over the boundary between them is ever due before the merges that make them."""
-        if len(self.pairs) > 4 * MEMO_ENTRIES:
+        if len(self.pairs) > MEMO_ENTRIES:
             self.pairs.clear()
         bound, left, right, ok = 1 << 60, a, b, True
         while a >= 0:
