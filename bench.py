@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from horosphere.plans import catalog
+from horosphere.sources.ship import ship
 
 HEADLINE = (
     "edges_canonical", "degree", "degree_distribution_ccdf", "triangles", "clustering_spectrum", "connected_components", "giant_component_edges",
@@ -26,6 +27,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     queries, took = catalog.queries(), {}
     catalog.flagship(spark, sf).collect()  # starts the JVM's compilers and the Python workers
     for name in HEADLINE:
