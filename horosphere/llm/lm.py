@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import map_arrow, partitions, stored, table, texts
+from horosphere.llm.common import map_arrow, partitions, table, texts
 from horosphere.llm.neardup import LOWER, _words, scrambled
 from horosphere.llm.substrings import chunks, opened, rows_of, spread
 
@@ -50,28 +50,38 @@ def unplaned(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind)
 
 
+def word_count(held: DataFrame) -> int:
+    """The words of all texts."""
+
+    def run(batches):
+        for row in rows_of(batches):
+            _, _, bounds, data = opened(row["uri"])
+            bounds = bounds.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(data[a:b].split()) for a, b in zip(bounds, bounds[1:], strict=False))], pa.int64())], ["words"])
+
+    return map_arrow(spread(held), run, "words long").agg(F.sum("words")).first()[0] or 0
+
+
 def counted(held: DataFrame, shards: int) -> DataFrame:
-    """(shard, chunk, keys, counts, words): a chunk's distinct sequences, ascending; words: the chunk's words, on shard -1."""
+    """(shard, chunk, keys, counts): a chunk's distinct sequences, ascending, and how often it holds each."""
 
     def run(batches):
         for row in rows_of(batches):
             _, _, bounds, data = opened(row["uri"])
-            keys, n = sequences(bounds, data)
-            keys, counts = np.unique(keys, return_counts=True)
+            keys, counts = np.unique(sequences(bounds, data)[0], return_counts=True)
             shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
             cut = np.searchsorted(shard, np.arange(shards + 1)).tolist()
             got = [(k, i, j) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([-1, *(k for k, _, _ in got)], pa.int32()), pa.array([row["chunk"]] * (len(got) + 1), pa.int64()),
-                    pa.array([b"", *(planes(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in got)], pa.binary()),
-                    pa.array([b"", *(planes(counts[i:j].astype("<u4")) for _, i, j in got)], pa.binary()),
-                    pa.array([int(n.sum()), *[0] * len(got)], pa.int64()),
+                    pa.array([k for k, _, _ in got], pa.int32()), pa.array([row["chunk"]] * len(got), pa.int64()),
+                    pa.array([planes(np.diff(keys[i:j], prepend=np.uint64(0))) for _, i, j in got], pa.binary()),
+                    pa.array([planes(counts[i:j].astype("<u4")) for _, i, j in got], pa.binary()),
                 ],
-                ["shard", "chunk", "keys", "counts", "words"],
+                ["shard", "chunk", "keys", "counts"],
             )
 
-    return map_arrow(spread(held), run, "shard int, chunk long, keys binary, counts binary, words long")
+    return map_arrow(spread(held), run, "shard int, chunk long, keys binary, counts binary")
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -92,9 +102,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_score (the sum over the document's words; null without words)."""
     spark = docs.sparkSession
     held = chunks(texts(docs))
-    counts = stored(counted(held, 2 * partitions(spark)), "sequences")
-    everything = counts.agg(F.sum("words")).first()[0] or 0
-    answers = totals(counts.where("shard >= 0").select("shard", "chunk", "keys", "counts"))
+    everything = word_count(held)
+    answers = totals(counted(held, 2 * partitions(spark)))
     by_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("answers"))  # a chunk's own sequences: bounded by its texts
 
     def run(batches):
