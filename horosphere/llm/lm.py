@@ -131,7 +131,7 @@ def score(docs: DataFrame) -> DataFrame:
                 out.append(float(np.log(s).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(n), pa.array(out, pa.float64())], ["doc_id", "n_words", "log_score"])
 
-    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("answers", "uri")), run, "doc_id long, n_words long, log_score double")
+    return map_arrow(spread(held.join(by_chunk.hint("merge"), "chunk", "left").select("answers", "uri")), run, "doc_id long, n_words long, log_score double")
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:

@@ -344,7 +344,7 @@ def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(keep, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "n_bytes", "spans", "kept", "text_hash"])
 
     by_chunk = spans.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # a chunk's own spans: bounded by its texts
-    return map_arrow(spread(held.join(by_chunk, "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary, text_hash long")
+    return map_arrow(spread(held.join(by_chunk.hint("merge"), "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary, text_hash long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
