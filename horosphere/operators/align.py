@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Points of the first block in which a turn is scored, and of the largest.
+FIRST, LARGEST = 32, 8192
+
 
 def rotation_to_first(v: np.ndarray) -> np.ndarray:
     """A rotation that takes v's direction to the first axis."""
@@ -46,26 +49,50 @@ def paired(real: DataFrame, inferred: DataFrame, cutoff_percent: float = 0.5, mi
     return real.where(F.col("realdeg") >= least).select("name", F.col("pos").alias("real")).join(inferred.select("name", F.col("pos").alias("inf")), "name")
 
 
+def least_mean(x: np.ndarray, y: np.ndarray, turns: np.ndarray, bound: float) -> tuple[int, float]:
+    """The turn of y (unit rows) that brings it nearest to x, and the mean angular distance then; (-1, inf) where none stays
+    within bound. Points go in growing blocks, and a turn goes as soon as its sum exceeds what bound allows on all points:
+    as distances are not negative, no turn within bound is lost."""
+    alive, sums, lo, size = np.arange(len(turns)), np.zeros(len(turns)), 0, FIRST
+    limit = bound * len(x) * (1 + 1e-9)
+    while lo < len(x) and len(alive):
+        a, b = x[lo : lo + size], y[lo : lo + size]
+        sums = sums + np.array([distances(a, b @ t.T).sum() for t in turns[alive]])
+        stay = ~(sums > limit)
+        alive, sums = alive[stay], sums[stay]
+        lo, size = lo + size, min(LARGEST, 4 * size)
+    if not len(alive):
+        return -1, math.inf
+    k = int(np.argmin(sums))
+    return int(alive[k]), float(sums[k] / len(x))
+
+
 def align(pairs: DataFrame, spins: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
     """(rotation of the real set, rotation of the inferred set, mean angular distance): every vertex in turn goes to the
-    first axis in both sets, the inferred set spins about it. The matched points, chosen by degree, go with the tasks."""
+    first axis in both sets, the inferred set spins about it. All N matched points are candidates and are compared; both
+    sets are one array of N rows each that goes to the executors once, as N^2 comparisons bound N. A candidate that cannot
+    beat the best so far is left before its last point."""
     rows = sorted(pairs.collect())
     real, inf = np.array([r.real for r in rows]), np.array([r.inf for r in rows])
     real, inf = real / np.linalg.norm(real, axis=1, keepdims=True), inf / np.linalg.norm(inf, axis=1, keepdims=True)
     d = real.shape[1]
     angles = np.linspace(0, 2 * math.pi, spins)
-    turns = [spin(d, d - 2, d - 1, t) for t in angles] if d == 3 else [spin(d, 1, 2, a) @ spin(d, 2, 3, b) for a in angles[:: max(1, spins // 20)] for b in angles[:: max(1, spins // 20)]]
+    turns = np.array([spin(d, d - 2, d - 1, t) for t in angles] if d == 3 else [spin(d, 1, 2, a) @ spin(d, 2, 3, b) for a in angles[:: max(1, spins // 20)] for b in angles[:: max(1, spins // 20)]])
+    spark = pairs.sparkSession
+    sets = spark.sparkContext.broadcast((real, inf))
 
     def run(batches):
+        real, inf = sets.value
+        bound = math.inf
         for b in batches:
             for i in b["id"]:
                 a, c = rotation_to_first(real[i]), rotation_to_first(inf[i])
-                x, y = real @ a.T, inf @ c.T
-                score = [distances(x, y @ t.T).mean() for t in turns]
-                k = int(np.argmin(score))
-                yield pd.DataFrame({"i": [i], "k": [k], "score": [score[k]]})
+                # the turns go with the candidate's rotation, so that only the points looked at are turned
+                k, score = least_mean(real, inf, np.array([a.T @ t @ c for t in turns]), bound)
+                if k >= 0:
+                    bound = min(bound, score)
+                    yield pd.DataFrame({"i": [i], "k": [k], "score": [score]})
 
-    spark = pairs.sparkSession
     best = spark.range(len(rows)).repartition(max(1, min(len(rows), 64))).mapInPandas(run, "i long, k int, score double").orderBy("score", "i").first()
     return rotation_to_first(real[best.i]), turns[best.k] @ rotation_to_first(inf[best.i]), best.score
 

@@ -622,7 +622,7 @@ def align_rotation(spark, sf):
     """A point set against a turned copy of itself: the distance that the best rotation leaves."""
     from horosphere.operators import align
 
-    x = _three(spark, sf).where("vec_id < 200").select(F.col("vec_id").cast("string").alias("name"), "v")
+    x = _three(spark, sf).select(F.col("vec_id").cast("string").alias("name"), "v")
     turned = x.select("name", G.apply_rows(align.euler(0.4, 1.1, 2.0).tolist(), F.col("v")).alias("inf"))
     _, _, score = align.align(x.select("name", F.col("v").alias("real")).join(turned, "name"))
     return spark.createDataFrame([(score,)], "distance double")

@@ -116,3 +116,25 @@ def test_catalog_queries_have_distinct_names():
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 55
+
+
+def test_align_rotation_reads_every_vector(spark, tmp_path):
+    from horosphere.plans import catalog
+
+    x = generate.sphere_points(30, 2, 4)
+    spark.createDataFrame([(1000 + i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.queries()["align_rotation"](spark, str(tmp_path)).first().distance < 0.1
+
+
+def test_least_mean_is_the_brute_force_one():
+    rng = np.random.default_rng(2)
+    x = generate.sphere_points(700, 2, 6)
+    y = x @ align.euler(0.3, 1.0, 2.0).T + 0.2 * rng.standard_normal(x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    turns = np.array([align.euler(a, b, 2.0).T for a in np.linspace(0, 3, 9) for b in np.linspace(0, 3, 9)])
+    want = [align.distances(x, y @ t.T).mean() for t in turns]
+    for bound in (math.inf, min(want)):
+        k, score = align.least_mean(x, y, turns, bound)
+        assert k == int(np.argmin(want))
+        assert math.isclose(score, min(want), rel_tol=1e-12)
+    assert align.least_mean(x, y, turns, 0.99 * min(want))[0] == -1
