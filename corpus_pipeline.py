@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from horosphere.llm import neardup, packing, substrings, toxicity
 from horosphere.llm.common import stored
 
+#: Similarity in percent from which the near-duplicate stage links texts.
+PERCENT = 85
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score, by a model learnt from labels, is below 0.5."""
@@ -15,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the row of the least doc_id."""
-    return neardup.keep_one(docs)
+    """Of each near-duplicate component, of texts that share PERCENT of their five-word shingles, the row of the least doc_id."""
+    return neardup.keep_one(docs, PERCENT)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

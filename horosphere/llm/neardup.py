@@ -2,8 +2,9 @@
 
 A document's set holds its distinct shingles of WORDS words. Its sketch has REGISTERS exponentially spaced, truncated
 minima: a register is floor(1 - log_BASE of the least of its exponential variates over the set), and two sketches merge by
-the greater registers. Equal sets become one class, by a 128-bit fingerprint. Classes whose sketches agree in one of BANDS
-bands of registers share a bucket; at the linking similarity of 0.85 two sets share none with a probability of 4e-8.
+the greater registers. Equal sets become one class, by a 128-bit fingerprint. Classes whose sketches agree in a band of
+registers share a bucket; bands are as wide as lets two sets of the linking similarity share none with a probability of MISS
+at most: 36 bands of 6 registers at 0.85, 43 of 5 at 0.80, both 4e-8. op8 links from PERCENT on, the pipeline from its own.
 
 Every class of a bucket is compared to the bucket's least one, so that a bucket gives rows in proportion to its size. A
 pair stays while the joint likelihood of its registers and known cardinalities still rises at a similarity SIGMAS standard
@@ -31,8 +32,10 @@ from horosphere.llm.components import components
 #: A-Z to a-z, and nothing else.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORDS, PERCENT = 5, 85
-#: Registers of a sketch and bands that they form; base of the spacing, rate of the variates, greatest register.
-REGISTERS, BANDS, BASE, RATE, TOP = 216, 36, 1.1, 20.0, 254
+#: Registers of a sketch; base of the spacing, rate of the variates, greatest register.
+REGISTERS, BASE, RATE, TOP = 216, 1.1, 20.0, 254
+#: The probability at most that two sets of just the linking similarity share no band.
+MISS = 5e-8
 SIGMAS, BLOCK = 5.0, 512
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MIX = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -121,13 +124,21 @@ def similarity(a: np.ndarray, b: np.ndarray, nu: int, nv: int) -> float:
     return low
 
 
-def floor_similarity() -> float:
-    j = PERCENT / 100
+def band_width(percent: int) -> int:
+    """Registers of a band: the most at which bands miss a link with a probability of MISS at most."""
+    j = percent / 100
+    return max((w for w in range(1, REGISTERS + 1) if (1 - j**w) ** (REGISTERS // w) <= MISS), default=1)
+
+
+def floor_similarity(percent: int) -> float:
+    j = percent / 100
     return j - SIGMAS * float(np.sqrt(j * (1 - j) / REGISTERS))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (elements), fp_a and fp_b (the set's fingerprint), regs, bands, of every row."""
+    width = band_width(percent)
+    count = REGISTERS // width
 
     def run(batches):
         import xxhash
@@ -143,17 +154,17 @@ def sketches(docs: DataFrame) -> DataFrame:
                 fb.append(int.from_bytes(f[8:], "little", signed=True))
                 low.append(minima(s))
             r = registers(np.array(low).reshape(-1, REGISTERS))
-            keys = np.zeros((len(r), BANDS), np.uint64)
-            wide = r.reshape(len(r), BANDS, REGISTERS // BANDS).astype(np.uint64)
-            for k in range(REGISTERS // BANDS):
-                keys = scrambled(keys * np.uint64(257) + wide[:, :, k] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(1 << 32))
-            bands = list_array(pa.array(keys.ravel().view(np.int64)), np.full(len(r), BANDS))
+            keys = np.zeros((len(r), count), np.uint64)
+            wide = r[:, : count * width].reshape(len(r), count, width).astype(np.uint64)
+            for k in range(width):
+                keys = scrambled(keys * np.uint64(257) + wide[:, :, k] + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(1 << 32))
+            bands = list_array(pa.array(keys.ravel().view(np.int64)), np.full(len(r), count))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array([x.tobytes() for x in r], pa.binary()), bands], ["doc_id", "n", "fp_a", "fp_b", "regs", "bands"])
 
     return map_arrow(texts(docs), run, "doc_id long, n long, fp_a long, fp_b long, regs binary, bands array<long>")
 
 
-def likely(pairs: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b, na, nb, ra, rb): those whose sketches leave a chance, as (a, b)."""
 
     def run(batches):
@@ -161,13 +172,13 @@ def likely(pairs: DataFrame) -> DataFrame:
             if not len(x):
                 continue
             ra, rb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (4, 5))
-            ok = rising((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), x.column(2).to_numpy().astype(float), x.column(3).to_numpy().astype(float), floor_similarity())
+            ok = rising((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), x.column(2).to_numpy().astype(float), x.column(3).to_numpy().astype(float), floor_similarity(percent))
             yield x.select(["a", "b"]).filter(pa.array(ok))
 
     return map_arrow(pairs.select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pairs (a, b) whose full sets are as similar as asked for; docs (doc_id, text), one row of an id."""
 
     def run(batches):
@@ -178,7 +189,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     last = a, shingles(ta)
                 sa, sb = last[1], shingles(tb)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(sa) + len(sb) - both))
+                keep.append(100 * both >= percent * (len(sa) + len(sb) - both))
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -188,7 +199,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 _KEY = "key long, i int, j int"
 
 
-def hopeful(members: DataFrame) -> DataFrame:
+def hopeful(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """members (key, i, j, rep, comp, n, regs): those with a member of another component within the block that their sketches
     do not exclude."""
 
@@ -199,7 +210,7 @@ def hopeful(members: DataFrame) -> DataFrame:
         for k in range(len(r)):
             other = np.flatnonzero((comp != comp[k]) & (np.arange(len(r)) > k))
             if len(other):
-                ok = rising((r[k] > r[other]).sum(1), (r[k] < r[other]).sum(1), (r[k] == r[other]).sum(1), n[k], n[other], floor_similarity())
+                ok = rising((r[k] > r[other]).sum(1), (r[k] < r[other]).sum(1), (r[k] == r[other]).sum(1), n[k], n[other], floor_similarity(percent))
                 hope[k] |= ok.any()
                 hope[other[ok]] = True
         return group.select(["key", "i", "j", "rep", "comp"]).filter(pa.array(hope))
@@ -207,7 +218,7 @@ def hopeful(members: DataFrame) -> DataFrame:
     return members.groupBy("key", "i", "j").applyInArrow(run, f"{_KEY}, rep long, comp long")
 
 
-def joining(members: DataFrame) -> DataFrame:
+def joining(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """members (key, i, j, rep, comp, text): links (a, b), confirmed on full sets, that join components within a block."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -228,7 +239,7 @@ def joining(members: DataFrame) -> DataFrame:
             m[row[a:b], column[a:b] - lo] = 1
             both += m @ m.T
         both = both.astype(np.int64)
-        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
         parent = {c: c for c in comp}
 
         def top(c):
@@ -247,10 +258,10 @@ def joining(members: DataFrame) -> DataFrame:
     return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs (doc_id, text) as doc_id, n_shingles, component_id, kept; sets link from a similarity of percent in 100 on."""
     docs = texts(docs)
-    all_rows = stored(sketches(docs), "sketches")
+    all_rows = stored(sketches(docs, percent), "sketches")
     some = all_rows.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep")), "classes")
     ours = stored(some.join(classes, ["fp_a", "fp_b"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "regs", "bands"), "class-sketches")
@@ -262,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = filled.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     side = ours.select("rep", "n", "regs")
     known = stars.join(side.toDF("b", "nb", "rb"), "b").join(side.toDF("a", "na", "ra"), "a")
-    links = stored(confirmed(stored(likely(known), "likely"), words), "links")
+    links = stored(confirmed(stored(likely(known, percent), "likely"), words, percent), "links")
     first = stored(components(links), "components")
     comp = F.coalesce("component", "rep")
     apart = filled.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "hub", "size", comp.alias("comp"))
@@ -271,17 +282,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     spread = apart.where("rep <> hub").join(open_keys, "key", "left_semi").withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = spread.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "rep", "comp")
-    hope = stored(hopeful(dealt.join(side, "rep")), "hopeful")
-    more = joining(hope.join(words.withColumnRenamed("doc_id", "rep"), "rep").select("key", "i", "j", "rep", "comp", "text"))
+    hope = stored(hopeful(dealt.join(side, "rep"), percent), "hopeful")
+    more = joining(hope.join(words.withColumnRenamed("doc_id", "rep"), "rep").select("key", "i", "j", "rep", "comp", "text"), percent)
     final = components(links.unionByName(stored(more, "links-within")))
     member = some.select("doc_id", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b"]).join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(comp).alias("component_id"))
     out = all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of each component's least doc_id; documents without links stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
 
 

@@ -431,3 +431,25 @@ def test_vocabulary_file_is_read_as_ranks():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         first = f.readline().split()
     assert read_ranks(P.path("byte_bpe_50k.tiktoken"))[base64.b64decode(first[0])] == int(first[1])
+
+
+def test_near_duplicates_link_from_what_is_asked_for(spark):
+    """106 of 126 shingles in common: 0.84; 91 of 141: 0.65."""
+    from horosphere.llm import neardup
+
+    words = [f"w{i}" for i in range(120)]
+    near = [w if i not in (30, 80) else f"x{i}" for i, w in enumerate(words)]
+    far = [w if i not in (20, 50, 60, 70, 100) else f"y{i}" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.keep_one(docs, 80).collect()} == {1, 3}
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == {1, 2, 3}
+
+
+def test_bands_miss_no_more_at_a_lower_similarity():
+    from horosphere.llm import neardup
+
+    assert [neardup.band_width(x) for x in (85, 80)] == [6, 5]
+    for x in (60, 80, 85, 90):
+        w = neardup.band_width(x)
+        assert (1 - (x / 100) ** w) ** (neardup.REGISTERS // w) <= neardup.MISS
+    assert neardup.floor_similarity(80) < neardup.floor_similarity(85) < 0.85
