@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,18 +174,17 @@ def visiting_order(layers: DataFrame, seed: int) -> DataFrame:
     return layers.orderBy(F.desc("layer"), F.desc(F.rand(seed)))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """sources (s) to (s, vid, dist): one frontier for all sources, met by one join a level."""
     adj = adjacency(edges)
     frontier = stored(sources.select("s", F.col("s").alias("vid"), F.lit(0).cast("long").alias("dist")), "bfs")
     reached = frontier
-    for level in range(1, limit):
+    for level in itertools.count(1):
         new = frontier.join(adj, frontier.vid == adj.v).select("s", F.col("u").alias("vid")).distinct().join(reached.select("s", "vid"), ["s", "vid"], "left_anti").withColumn("dist", F.lit(level).cast("long"))
         frontier = stored(new, "bfs")
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(frontier)
-    return reached
 
 
 def leaves(edges: DataFrame) -> DataFrame:

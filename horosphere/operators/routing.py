@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from horosphere.functions import geometry as G
 from horosphere.operators import graph
 from horosphere.sources.shared import stored
 
+#: Edges up to which shortest paths are searched in memory, the graph going to every executor; beyond, by joins.
+LOCAL_EDGES = 1_000_000
+#: Steps' ends that are united before they are written as one table.
+UNITED = 40
+
 
 def sample_runs(vertices: DataFrame, runs: int, seed: int = 1) -> DataFrame:
     """(run, s, t) with s <> t, uniform over the vertices."""
@@ -25,29 +32,35 @@ def _distance(dim: int, a: str, b: str):
     return G.hyperbolic_distance(F.col(f"{a}_r"), F.col(f"{b}_r"), G.angle(F.col(f"{a}_p"), F.col(f"{b}_p"), 1e-15))
 
 
-def route(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int = 1, modified: bool = False, limit: int = 200) -> DataFrame:
+def route(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int = 1, modified: bool = False) -> DataFrame:
     """runs (run, s, t) over vertices (vid, hyp_rad, theta or pos) to (run, s, t, status, hops).
 
     Original: to the neighbour nearest to the target if that is nearer than where the run stands, else dropped. Modified:
-    always to the nearest neighbour, dropped on returning to the place before the last. Ties go to the smaller vid. A run
-    that does not end within limit steps counts as dropped."""
+    always to the nearest neighbour, dropped on returning to the place before the last. Ties go to the smaller vid.
+
+    Both rules end by themselves. Each hop of the original is strictly nearer. In the modified one the place before the last
+    is among the neighbours that the next is chosen from, so that of every second place (distance, vid) falls strictly until
+    the run arrives or returns."""
     adj = stored(graph.adjacency(edges), "adj")
     place = "theta" if dim == 1 else "pos"
     end = lambda n: vertices.select(F.col("vid").alias(n), F.col("hyp_rad").alias(f"{n}_r"), F.col(place).alias(f"{n}_p"))
     state = stored(runs.join(end("t"), "t").join(end("s").toDF("s", "c_r", "c_p"), "s").select("run", "s", "t", "t_r", "t_p", F.col("s").alias("cur"), F.lit(-1).cast("long").alias("prev"), F.lit(0).cast("long").alias("hops"), _distance(dim, "c", "t").alias("best")), "runs")
-    done = None
-    for _ in range(limit):
+    done, parts = None, 0
+    while True:
         step = state.join(adj, state.cur == adj.v).join(end("u"), "u").withColumn("d", F.when(F.col("u") == F.col("t"), F.lit(-1.0)).otherwise(_distance(dim, "u", "t")))
         moved = step.groupBy("run").agg(F.min(F.struct("d", "u")).alias("m"), *(F.first(c).alias(c) for c in ("s", "t", "t_r", "t_p", "cur", "prev", "hops", "best")))
         stuck = (F.col("m.u") == F.col("prev")) if modified else (F.col("m.d") >= F.col("best"))
         status = F.when(F.col("m.u") == F.col("t"), "arrived").when(stuck, "dropped").otherwise("on")
         moved = stored(moved.select("run", "s", "t", "t_r", "t_p", F.col("m.u").alias("next"), "cur", (F.col("hops") + F.when(status == "dropped", 0).otherwise(1)).alias("hops"), F.col("m.d").alias("best"), status.alias("status")), "runs")
-        ended = moved.where("status <> 'on'").select("run", "s", "t", "status", "hops")
-        done = ended if done is None else done.unionByName(ended)
-        state = moved.where("status = 'on'").select("run", "s", "t", "t_r", "t_p", F.col("next").alias("cur"), F.col("cur").alias("prev"), "hops", "best")
-        if state.isEmpty():
+        ends = dict(moved.groupBy(F.col("status") == "on").count().collect())
+        if done is None or ends.get(False):
+            ended = moved.where("status <> 'on'").select("run", "s", "t", "status", "hops")
+            done, parts = ended if done is None else done.unionByName(ended), parts + 1
+            if parts == UNITED:
+                done, parts = stored(done, "routed"), 1
+        if not ends.get(True):
             return done
-    return done.unionByName(state.select("run", "s", "t", F.lit("dropped").alias("status"), "hops"))
+        state = moved.where("status = 'on'").select("run", "s", "t", "t_r", "t_p", F.col("next").alias("cur"), F.col("cur").alias("prev"), "hops", "best")
 
 
 def summary(routes: DataFrame, shortest: DataFrame, compat: bool = False) -> DataFrame:
@@ -58,6 +71,43 @@ def summary(routes: DataFrame, shortest: DataFrame, compat: bool = False) -> Dat
     return x.agg(F.avg(F.col("h").isNotNull().cast("double")).alias("p_s"), F.avg("h").alias("mean_hop_length"), F.avg(stretch).alias("mean_strech"), F.max(stretch).alias("max_strech"), (F.sum(1 / stretch) / F.count("*")).alias("gr_score"))
 
 
-def shortest_paths(edges: DataFrame, runs: DataFrame) -> DataFrame:
-    reached = graph.bfs(edges, runs.select("s").distinct())
-    return runs.select("s", "t").distinct().join(reached.withColumnRenamed("vid", "t"), ["s", "t"])
+def distances_from(source: int, targets: np.ndarray, start: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Hops from source to each of targets, -1 where there is no way; near[start[v] : start[v + 1]] are v's neighbours."""
+    dist = np.full(len(start) - 1, -1, np.int64)
+    dist[source], front, level = 0, np.array([source]), 0
+    while len(front) and (dist[targets] < 0).any():
+        level += 1
+        size = start[front + 1] - start[front]
+        at = np.repeat(start[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        front = np.unique(near[at])
+        front = front[dist[front] < 0]
+        dist[front] = level
+    return dist[targets]
+
+
+def shortest_paths(edges: DataFrame, runs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(s, t, dist) of the runs whose target can be reached."""
+    wanted = runs.select("s", "t").distinct()
+    if (few := edges.select("src", "dst").limit(local + 1).toPandas()).shape[0] > local:
+        reached = graph.bfs(edges, runs.select("s").distinct())
+        return wanted.join(reached.withColumnRenamed("vid", "t"), ["s", "t"])
+    ids, ends = np.unique(few.to_numpy(np.int64), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    a, b = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+    start = np.searchsorted(np.sort(a), np.arange(len(ids) + 1))
+    sent = edges.sparkSession.sparkContext.broadcast((ids, start, b[np.argsort(a, kind="stable")]))
+
+    def run(batches):
+        ids, start, near = sent.value
+        for x in batches:
+            for s, targets in zip(x["s"], x["ts"], strict=True):
+                t = np.array(targets, np.int64)
+                at = np.minimum(np.searchsorted(ids, np.append(t, s)), len(ids) - 1) if len(ids) else np.zeros(len(t) + 1, np.int64)
+                known = ids[at] == np.append(t, s) if len(ids) else np.zeros(len(t) + 1, bool)
+                dist = np.full(len(t), -1, np.int64)
+                if known[-1] and known[:-1].any():
+                    dist[known[:-1]] = distances_from(at[-1], at[:-1][known[:-1]], start, near)
+                dist[t == s] = 0
+                yield pd.DataFrame({"s": s, "t": t[dist >= 0], "dist": dist[dist >= 0]})
+
+    return wanted.groupBy("s").agg(F.collect_list("t").alias("ts")).mapInPandas(run, "s long, t long, dist long")

@@ -528,7 +528,8 @@ def _routes(spark, sf, modified):
     e, v, _ = _radii(spark, sf)
     giant = stored(graph.giant_component(e)[0], "giant")
     inside = v.join(graph.degrees(giant).select("vid"), "vid", "left_semi")
-    runs = stored(routing.sample_runs(inside, 200), "routed")
+    inside = stored(inside, "inside")
+    runs = stored(routing.sample_runs(inside, 10 * inside.count()), "routed")
     return giant, runs, routing.route(giant, inside, runs, 1, modified)
 
 

@@ -138,3 +138,28 @@ def test_least_mean_is_the_brute_force_one():
         assert k == int(np.argmin(want))
         assert math.isclose(score, min(want), rel_tol=1e-12)
     assert align.least_mean(x, y, turns, 0.99 * min(want))[0] == -1
+
+
+def test_routes_of_more_than_200_hops_arrive(spark):
+    n = 206
+    e = stored(graph.canonical(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))), "path")
+    v = spark.range(n).select(F.col("id").alias("vid"), F.lit(4.0).alias("hyp_rad"), (F.col("id") * (math.pi / n)).alias("theta"))
+    runs = spark.createDataFrame([(0, 0, n - 1), (1, 100, 97)], "run long, s long, t long")
+    got = stored(routing.route(e, stored(v, "places"), runs), "got")
+    assert sorted(map(tuple, got.collect())) == [(0, 0, n - 1, "arrived", n - 1), (1, 100, 97, "arrived", 3)]
+    assert routing.summary(got, routing.shortest_paths(e, runs)).first().max_strech == 1.0
+
+
+def test_shortest_paths_in_memory_are_those_by_joins(spark):
+    e = stored(generate.generate(generate.power_law(spark, 80, 2.7, 3, 5), 2.5, 1, seed=5).edges, "edges")
+    runs = spark.range(200).select(F.col("id").alias("run"), (F.col("id") * 7 % 90).alias("s"), (F.col("id") * 11 % 95).alias("t")).where("s <> t")
+    by_joins, here = (sorted(map(tuple, routing.shortest_paths(e, runs, n).select("s", "t", "dist").collect())) for n in (1, 1000))
+    assert by_joins == here and len(here) > 20
+
+
+def test_routing_takes_its_runs_from_the_vertices(spark, tmp_path):
+    from horosphere.plans import catalog
+
+    lines = [(o, k, p, 0.1) for o in range(5) for k, p in ((1, o), (2, o + 1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalog.queries()["greedy_routing"](spark, str(tmp_path)).count() == 60
