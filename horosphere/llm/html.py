@@ -6,6 +6,10 @@ smoothed ratios tells content lines from the rest. The element that holds most o
 main element where there is one - is the region; of the region, every line belongs that no menu, header, footer, sidebar,
 notice, advert, form or comment section contains, short ones included.
 
+Names in class, id and role bar an element like elements of that kind, but not as modifiers (has-sidebar, comments-open), and
+not where the element holds a main element, or most content lines' text while it holds an article or no region without it
+has content.
+
 Edge cases: null, empty and broken markup give what text can be found, or an empty one; very long pages are parsed as a
 stream of events; repeated rows give equal rows; columns besides the three are not read.
 """
@@ -31,6 +35,8 @@ REGIONS = frozenset("article main".split())
 BOXES = frozenset("article body div main section td".split())
 #: Words in class, id and role names of what is no main text.
 NAMES = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion reactions related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that make a name one of a state or layout instead of a kind of element.
+MODIFIERS = frozenset("closed disabled enabled has hidden hide is no not off on open show with without".split())
 #: Elements whose start ends an open p element.
 _ENDS_P = BLOCKS - frozenset("body caption head html option tbody td tfoot th thead title tr".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -39,10 +45,21 @@ KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIU
 
 
 class Line:
-    __slots__ = ("parts", "tags", "linked", "box", "region", "barred")
+    __slots__ = ("parts", "tags", "linked", "box", "region", "barred", "named")
+
+    def __init__(self, box: int, region: int, barred: bool, named: int):
+        self.parts, self.tags, self.linked, self.box, self.region, self.barred, self.named = [], 0, 0, box, region, barred, named
+
 
-    def __init__(self, box: int, region: int, barred: bool):
-        self.parts, self.tags, self.linked, self.box, self.region, self.barred = [], 0, 0, box, region, barred
+def named(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether class, id or role name a kind of element that holds no main text."""
+    for k, v in attrs:
+        if k in ("class", "id", "role") and v:
+            for token in v.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if not NAMES.isdisjoint(words) and MODIFIERS.isdisjoint(words):
+                    return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -51,15 +68,18 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # element, barred, its box, its region (0: none)
+        self.stack: list[tuple[str, bool, int, int, int]] = []  # element, barred, its box, its region, the named one it is in (0: none)
         self.boxes, self.links = 0, 0
-        self.line = Line(0, 0, False)
+        #: Of every named element: the named one around it, the regions begun in it, whether a main element was.
+        self.around, self.articles, self.mains = [0], [0], [False]
+        self.within = [0]  # of every box: the named element it is in
+        self.line = Line(0, 0, False, 0)
 
     def cut(self) -> None:
         if self.line.parts:
             self.lines.append(self.line)
-        _, barred, box, region = self.stack[-1] if self.stack else ("", False, 0, 0)
-        self.line = Line(box, region, barred)
+        _, barred, box, region, name = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+        self.line = Line(box, region, barred, name)
 
     def handle_starttag(self, tag, attrs):
         if tag in _ENDS_P:
@@ -76,16 +96,25 @@ class Lines(HTMLParser):
                 if tag == "br":
                     self.line.parts.append(" ")
             return
-        _, barred, box, region = self.stack[-1] if self.stack else ("", False, 0, 0)
+        _, barred, box, region, name = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
         if not barred:
-            barred = tag in NEVER or (tag not in ("html", "body") and any(k in ("class", "id", "role") and v and not NAMES.isdisjoint(w.lower() for w in _WORD.findall(v)) for k, v in attrs)) or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            barred = tag in NEVER or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            if not barred and tag not in ("html", "body") and named(attrs):
+                self.around.append(name)
+                self.articles.append(0)
+                self.mains.append(False)
+                name = len(self.around) - 1
         if tag in BOXES:
             self.boxes += 1
             box = self.boxes
+            self.within.append(name)
             if tag in REGIONS:
                 region = self.boxes
-        self.stack.append((tag, barred, box, region))
-        if tag in BLOCKS or barred != self.line.barred:
+                if not barred:
+                    self.articles[name] += 1
+                    self.mains[name] |= tag == "main"
+        self.stack.append((tag, barred, box, region, name))
+        if tag in BLOCKS or barred != self.line.barred or name != self.line.named:
             self.cut()
         self.line.tags += 1
         self.links += tag == "a"
@@ -115,7 +144,7 @@ class Lines(HTMLParser):
         del self.stack[k:]
         self.line.tags += 1
         self.links -= sum(x[0] == "a" for x in gone)
-        if any(x[0] in BLOCKS or x[1] for x in gone):
+        if any(x[0] in BLOCKS or x[1] or x[4] for x in gone):
             self.cut()
 
     def handle_data(self, data):
@@ -147,6 +176,35 @@ def threshold(values: list[float]) -> float:
     return t
 
 
+def ratios_of(lines: list[tuple[str, Line]]) -> list[float]:
+    return smoothed([0.0 if x.barred else max(0, len(t) - x.linked) / max(1, x.tags) for t, x in lines])
+
+
+def bar_named(parser: Lines, lines: list[tuple[str, Line]]) -> None:
+    """Bars the lines of named elements, but of those that hold the page's content."""
+    around, n = parser.around, len(parser.around)
+    if n == 1:
+        return
+    ratios = ratios_of(lines)
+    cut = threshold(ratios)
+    held, inner = [0] * n, [0] * n  # content text of each named element, and in regions that begin in it; 0: of the page
+    for (t, x), r in zip(lines, ratios, strict=True):
+        if not x.barred and r > cut:
+            held[x.named] += len(t)
+            if x.region:
+                inner[parser.within[x.region]] += len(t)
+    articles, mains = list(parser.articles), list(parser.mains)
+    for k in range(n - 1, 0, -1):  # what is inside comes after what is around
+        up = around[k]
+        held[up], inner[up], articles[up], mains[up] = held[up] + held[k], inner[up] + inner[k], articles[up] + articles[k], mains[up] or mains[k]
+    barred = [False] * n
+    for k in range(1, n):
+        content = 2 * held[k] > held[0] and (articles[k] > 0 or inner[0] == inner[k])
+        barred[k] = barred[around[k]] or not (mains[k] or content)
+    for _, x in lines:
+        x.barred = x.barred or barred[x.named]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -156,7 +214,8 @@ def main_text(html: str) -> str:
     lines = [(t, x) for t, x in lines if t]
     if not lines:
         return ""
-    ratios = smoothed([0.0 if x.barred else max(0, len(t) - x.linked) / max(1, x.tags) for t, x in lines])
+    bar_named(parser, lines)
+    ratios = ratios_of(lines)
     cut = threshold(ratios)
     weight: dict[tuple[bool, int], int] = {}
     for (t, x), r in zip(lines, ratios, strict=True):

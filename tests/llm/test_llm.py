@@ -453,3 +453,20 @@ def test_bands_miss_no_more_at_a_lower_similarity():
         w = neardup.band_width(x)
         assert (1 - (x / 100) ** w) ** (neardup.REGISTERS // w) <= neardup.MISS
     assert neardup.floor_similarity(80) < neardup.floor_similarity(85) < 0.85
+
+
+@pytest.mark.parametrize("opened", ["<div class='site has-sidebar'>", "<main class='content with-sidebar'>", "<article class='post comments-open'>", "<div class='share-page'><article>", "<div id=social>", "<div class=related><main>"])
+def test_names_do_not_bar_the_main_text(opened):
+    from horosphere.llm.html import main_text
+
+    p = "Long text here, and a lot more of it, really, so much that it counts."
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
+    page = f"<nav><a href=x>Home</a></nav>{opened}<p>{p}<p>{p}<section class=comments><p>Nice one</section>{ends}<footer>us</footer>"
+    assert main_text(page) == f"{p}\n\n{p}"
+
+
+def test_comments_longer_than_the_article_stay_out():
+    from horosphere.llm.html import main_text
+
+    p = "Long text here, and a lot more of it, really, so much that it counts."
+    assert main_text(f"<article><p>{p}</p><section id=comments><p>{p}<p>{p}<p>{p}</section></article>") == p
