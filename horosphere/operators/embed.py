@@ -20,6 +20,12 @@ from horosphere.sources.shared import stored
 DENSE = 4000
 #: Vertices up to which refinement moves one vertex after another, each seeing the moves before, on the driver.
 SEQUENTIAL = 1500
+#: Residual up to which an eigenvector of the tables' iteration counts as found, and vectors iterated at most.
+RESIDUAL, WIDEST = 1e-4, 40
+
+
+class NotConvergedError(ArithmeticError):
+    """The eigenmap's iteration did not reach its residual bound."""
 
 
 @dataclass
@@ -54,8 +60,32 @@ def weights(edges: DataFrame, props: DataFrame, p: Params) -> DataFrame:
     return c.select("src", "dst", F.exp(-F.col("c2") / F.lit(t)).alias("w"))
 
 
+def subspace(q: DataFrame, strength: DataFrame, width: int, need: int, seed: int, rounds: int) -> DataFrame | None:
+    """(src, top, x) with the need greatest non-trivial eigenvectors of q first in x, each of a residual of RESIDUAL at most;
+    None where rounds do not do."""
+    top = strength.select("src", F.sqrt("s").alias("top"))
+    block = stored(top.select("src", "top", F.array(*(F.randn(seed + i) for i in range(width))).alias("x")), "block")
+    for k in range(rounds):  # (I + Q) / 2 keeps the wanted end of the spectrum greatest; the known top vector is taken out
+        y = q.join(block.select(F.col("src").alias("dst"), "x"), "dst").groupBy("src").agg(F.array(*(F.sum(F.col("w") * F.col("x")[i]) for i in range(width))).alias("y"))
+        y = stored(block.join(y, "src").select("src", "top", F.col("x").alias("old"), F.zip_with("x", "y", lambda a, b: (a + b) / 2).alias("x")), "block")
+        sums = y.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)), *(F.sum(F.col("old")[i] * F.col("x")[j]).alias(f"c{i}_{j}") for i in range(width) for j in range(width)), *(F.sum(F.col("x")[i] * F.col("top")).alias(f"t{i}") for i in range(width)), F.sum(F.col("top") * F.col("top")).alias("tt")).first()
+        t = np.array([sums[f"t{i}"] for i in range(width)]) / sums["tt"]
+        g = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)]) - sums["tt"] * np.outer(t, t)
+        c = np.array([[sums[f"c{i}_{j}"] for j in range(width)] for i in range(width)])
+        value, u = np.linalg.eigh(g)
+        value, u = np.maximum(value, 1e-300)[::-1], u[:, ::-1]
+        back = u / np.sqrt(value)
+        block = stored(y.select("src", "top", F.array(*(sum((F.lit(float(back[j, i])) * (F.col("x")[j] - F.lit(float(t[j])) * F.col("top")) for j in range(width)), F.lit(0.0)) for i in range(width))).alias("x")), "block")
+        # of Q's vectors X u before this round, which were orthonormal from the second on: |Q X u - m X u|, twice that of (I + Q) / 2
+        mid = np.einsum("ji,jk,ki->i", u, (c + c.T) / 2, u)
+        if k and 2 * np.sqrt(np.maximum(value - mid**2, 0))[:need].max() <= RESIDUAL:
+            return block
+    return None
+
+
 def eigenmap(w: DataFrame, dim: int, seed: int = 1, rounds: int = 200) -> dict[int, np.ndarray]:
-    """vid to its entries in the dim + 1 smallest non-trivial eigenvectors of I - S^-1 W, descending eigenvalue."""
+    """vid to its entries in the dim + 1 smallest non-trivial eigenvectors of I - S^-1 W, descending eigenvalue.
+    Beyond DENSE vertices by subspace iteration, wider where rounds do not reach RESIDUAL, else NotConvergedError."""
     both = w.select("src", "dst", "w").unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     need = max(2, dim + 1)
     n = both.select("src").distinct().count()
@@ -72,23 +102,12 @@ def eigenmap(w: DataFrame, dim: int, seed: int = 1, rounds: int = 200) -> dict[i
         return dict(zip(ids, out, strict=True))
     strength = stored(both.groupBy("src").agg(F.sum("w").alias("s")), "strength")
     q = stored(both.join(strength, "src").join(strength.toDF("dst", "t"), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("s") * F.col("t"))).alias("w")), "normed")
-    width = need + 3
-    top = strength.select("src", F.sqrt("s").alias("top"))
-    block = stored(top.select("src", "top", F.array(*(F.randn(seed + i) for i in range(width))).alias("x")), "block")
-    before = None
-    for _ in range(rounds):  # (I + Q) / 2 keeps the wanted end of the spectrum greatest; the known top vector is taken out
-        y = q.join(block.select(F.col("src").alias("dst"), "x"), "dst").groupBy("src").agg(F.array(*(F.sum(F.col("w") * F.col("x")[i]) for i in range(width))).alias("y"))
-        y = stored(block.join(y, "src").select("src", "top", F.zip_with("x", "y", lambda a, b: (a + b) / 2).alias("x")), "block")
-        sums = y.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)), *(F.sum(F.col("x")[i] * F.col("top")).alias(f"t{i}") for i in range(width)), F.sum(F.col("top") * F.col("top")).alias("tt")).first()
-        t = np.array([sums[f"t{i}"] for i in range(width)]) / sums["tt"]
-        g = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)]) - sums["tt"] * np.outer(t, t)
-        value, u = np.linalg.eigh(g)
-        back = (u / np.sqrt(np.maximum(value, 1e-300)))[:, ::-1]
-        block = stored(y.select("src", "top", F.array(*(sum((F.lit(float(back[j, i])) * (F.col("x")[j] - F.lit(float(t[j])) * F.col("top")) for j in range(width)), F.lit(0.0)) for i in range(width))).alias("x")), "block")
-        now = np.sqrt(value[::-1])[:need]
-        if before is not None and np.abs(now - before).max() < 1e-7:
-            break
-        before = now
+    width, block = need + 3, None
+    while block is None:
+        block = subspace(q, strength, width, need, seed, rounds)
+        if block is None and width >= min(WIDEST, n - 1):
+            raise NotConvergedError(f"no residual below {RESIDUAL} after {rounds} rounds of {width} vectors")
+        width = min(2 * width, WIDEST, n - 1)
     got = block.join(strength, "src").select("src", F.transform(F.slice("x", 1, need), lambda v: v / F.sqrt("s")).alias("x"))
     return {r.src: np.array(r.x)[::-1] for r in got.toLocalIterator()}
 
@@ -183,17 +202,44 @@ def refine(vertices: DataFrame, edges: DataFrame, layers: DataFrame, p: Params,
         k = int(total.argmax())
         return cand[k]
 
+    def gain(i: int, old: np.ndarray, new: np.ndarray, moved: np.ndarray, friends: list[int]) -> float:
+        """What i's pairs add to the likelihood by the move from old to new; a pair of two moved vertices is half of each."""
+        part = []
+        for unit in (old, new):
+            x = np.maximum(big_r * np.arccos(np.clip(unit @ unit[i], -1, 1)) / (scale * kappa[i] ** (1 / dim)), 1e-12)
+            t = -np.log1p(x**-beta)
+            t[friends] -= beta * np.log(x[friends])
+            t[i] = 0
+            part.append(t)
+        return float(((part[1] - part[0]) * np.where(moved, 0.5, 1.0)).sum())
+
+    def together(group: list[int], found: list[np.ndarray] | None = None) -> None:
+        """Moves a group at once if that does not lower the likelihood, else its halves, the second of which sees the first."""
+        sc = spark.sparkContext
+        before = sc.broadcast(unit.copy())
+        parts = max(1, min(len(group), 64))
+        if found is None:
+            found = sc.parallelize(group, parts).map(lambda i: best(i, before.value, near_of.value[i])).collect()
+        new, moved = unit.copy(), np.zeros(len(unit), bool)
+        new[group], moved[group] = np.array(found), True
+        after = sc.broadcast((new, moved))
+        won = math.fsum(sc.parallelize(group, parts).map(lambda i: gain(i, before.value, after.value[0], after.value[1], near_of.value[i])).collect())
+        before.unpersist()
+        after.unpersist()
+        if won >= 0:
+            unit[:] = new
+        elif len(group) > 1:
+            half = len(group) // 2
+            together(group[:half], found[:half])
+            together(group[half:])
+
     if len(order) <= SEQUENTIAL:
         for i in order:
             unit[i] = best(i, unit, near[i])
     else:
         near_of = spark.sparkContext.broadcast(near)
         for b in range(0, len(order), size):
-            snapshot = spark.sparkContext.broadcast(unit.copy())
-            tasks = spark.sparkContext.parallelize(order[b : b + size], min(size, 64))
-            for i, x in tasks.map(lambda i, snapshot=snapshot: (i, best(i, snapshot.value, near_of.value[i]))).collect():
-                unit[i] = x
-            snapshot.unpersist()
+            together(order[b : b + size])
     out = [(int(v), float(k), float(math.atan2(x[1], x[0]) % (2 * math.pi)) if dim == 1 else (x * big_r).tolist()) for v, k, x in zip(ids, kappa, unit, strict=True)]
     return spark.createDataFrame(out, f"vid long, kappa double, {place} {'double' if dim == 1 else 'array<double>'}")
 

@@ -549,21 +549,23 @@ def routing_summary(spark, sf):
     return routing.summary(got, routing.shortest_paths(giant, runs))
 
 
-def _synthetic(spark, n=250, dim=1, beta=2.5, seed=7):
+def _synthetic(spark, sf, dim=1, beta=2.5, seed=7):
+    """A graph of the model whose hidden degrees are the degrees of the whole part graph: that itself has hardly any clustering."""
     from horosphere.operators import generate
 
-    got = generate.generate(generate.power_law(spark, n, 2.7, 10, seed), beta * dim, dim, seed=seed)
+    hidden = graph.degrees(edges(spark, sf)).select("vid", F.concat(F.lit("v"), F.col("vid")).alias("name"), F.col("degree").cast("double").alias("kappa"))
+    got = generate.generate(stored(hidden, "degrees"), beta * dim, dim, seed=seed)
     return got, stored(graph.giant_component(got.edges)[0], "giant")
 
 
 @query()
 def generate_s1(spark, sf):
-    return _synthetic(spark)[0].vertices.select("vid", "name", "kappa", "theta", "hyp_rad", "real_deg", "exp_deg")
+    return _synthetic(spark, sf)[0].vertices.select("vid", "name", "kappa", "theta", "hyp_rad", "real_deg", "exp_deg")
 
 
 @query()
 def generate_s2(spark, sf):
-    return _synthetic(spark, dim=2)[0].vertices.select("vid", "name", "kappa", "pos", "hyp_rad", "real_deg", "exp_deg")
+    return _synthetic(spark, sf, dim=2)[0].vertices.select("vid", "name", "kappa", "pos", "hyp_rad", "real_deg", "exp_deg")
 
 
 @query()
@@ -582,40 +584,40 @@ def infer_kappas_class(spark, sf):
 def infer_beta(spark, sf):
     from horosphere.operators.infer import infer_parameters
 
-    props = stored(graph.properties(_synthetic(spark)[1]), "properties")
+    props = stored(graph.properties(_synthetic(spark, sf)[1]), "properties")
     p = infer_parameters(graph.class_spectra(props), props.where("degree > 1").agg(F.avg("clustering")).first()[0])
     return spark.createDataFrame([(p.beta, p.mu)], "beta double, mu double")
 
 
-def _embedded(spark, dim, **options):
+def _embedded(spark, sf, dim, **options):
     from horosphere.operators.embed import EmbedConfig, embed
 
-    return embed(_synthetic(spark, dim=dim)[1], EmbedConfig(dim=dim, beta=2.5 * dim, **options))
+    return embed(_synthetic(spark, sf, dim=dim)[1], EmbedConfig(dim=dim, beta=2.5 * dim, **options))
 
 
 @query()
 def eigenmap_positions(spark, sf):
-    return _embedded(spark, 1, fast=True, post_kappa=False).coordinates
+    return _embedded(spark, sf, 1, fast=True, post_kappa=False).coordinates
 
 
 @query()
 def refine_positions(spark, sf):
-    return _embedded(spark, 1, post_kappa=False).coordinates
+    return _embedded(spark, sf, 1, post_kappa=False).coordinates
 
 
 @query()
 def kappa_post_inference(spark, sf):
-    return _embedded(spark, 1, fast=True).coordinates
+    return _embedded(spark, sf, 1, fast=True).coordinates
 
 
 @query()
 def embed_s1(spark, sf):
-    return _embedded(spark, 1).coordinates
+    return _embedded(spark, sf, 1).coordinates
 
 
 @query()
 def embed_s2(spark, sf):
-    return _embedded(spark, 2).coordinates
+    return _embedded(spark, sf, 2).coordinates
 
 
 @query()

@@ -163,3 +163,27 @@ def test_routing_takes_its_runs_from_the_vertices(spark, tmp_path):
     lines = [(o, k, p, 0.1) for o in range(5) for k, p in ((1, o), (2, o + 1))]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert catalog.queries()["greedy_routing"](spark, str(tmp_path)).count() == 60
+
+
+def test_batches_of_refinement_do_not_lower_the_likelihood(spark, monkeypatch):
+    from horosphere.operators import embed
+    from horosphere.operators.infer import Params
+
+    monkeypatch.setattr(embed, "SEQUENTIAL", 0)
+    n = 24  # a ring in its place: alone, each vertex would still find a better one
+    e = stored(graph.canonical(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))), "ring")
+    v, p = stored(ring(spark, n), "places"), Params(1, 2.5, 0.02, n, 2.0)
+    was = embed.log_likelihood(v, e, p)
+    got = embed.refine(v, e, graph.onion(e), p, embed.EmbedConfig(batches=1))
+    assert embed.log_likelihood(got, e, p) >= was
+
+
+def test_eigenmap_says_where_it_does_not_converge(spark, monkeypatch):
+    from horosphere.operators import embed
+
+    n = 60
+    w = graph.canonical(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))).withColumn("w", F.lit(1.0))
+    monkeypatch.setattr(embed, "DENSE", 0)
+    monkeypatch.setattr(embed, "WIDEST", 5)
+    with pytest.raises(embed.NotConvergedError):
+        embed.eigenmap(w, 1, rounds=3)
