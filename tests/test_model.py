@@ -187,3 +187,13 @@ def test_eigenmap_says_where_it_does_not_converge(spark, monkeypatch):
     monkeypatch.setattr(embed, "WIDEST", 5)
     with pytest.raises(embed.NotConvergedError):
         embed.eigenmap(w, 1, rounds=3)
+
+
+def test_embedding_queries_take_their_vertices_from_the_tables(spark, tmp_path):
+    from horosphere.plans import catalog
+
+    lines = [(o, k, p, 0.1) for o in range(40) for k, p in ((1, o), (2, (o + 1) % 40), (3, (o + 2) % 40))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.queries()["generate_s1"](spark, str(tmp_path))
+    assert 40 <= got.count() < 80
+    assert got.where("vid < 40 and kappa in (2, 3, 4)").count() == 40
