@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.llm.common import claim, map_arrow, stored, table, texts
+from horosphere.llm.neardup import near_duplicates
 
 #: Bounds of sample and lexicon; the trees' number, depth, bins of a feature and learning rate; folds left out for calibration;
 #: standard deviations by which a lexicon term's toxic documents exceed chance (a larger sample tries more terms, and asks for more).
@@ -209,10 +210,18 @@ def held_out(doc: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, toxic, text), the toxic and text of one of each label's equal texts and confirmed near-duplicates: of
+    the least doc_id."""
+    exact = rows.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id"))
+    near = near_duplicates(rows.select("doc_id", "text")).select("doc_id", "component_id").distinct()
+    return exact.join(near, "doc_id").groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("toxic", "least.text")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most sample rows are broadcast
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most sample rows are broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -223,9 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[t] for t in both], pa.int64()), pa.array([clean[t] for t in both], pa.int64())], ["term", "toxic", "clean"])
 
     rows = stored(rows, "toxic-sample")
-    words = F.split("text", " ")
-    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
-    different = rows.dropDuplicates(["toxic", "text"]).withColumn("least", F.array_min(pairs)).dropDuplicates(["toxic", "least"]).select("toxic", "text")  # copies and most near copies count once
+    different = stored(single(rows), "toxic-single")
     nt, nc = (dict(different.groupBy("toxic").count().collect()).get(k, 0) for k in (1, 0))
     counted = map_arrow(different, count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
     by_chance = (F.col("t") + F.col("c")) * (nt / max(1, nt + nc))  # toxic documents that would hold the term if it told nothing
@@ -238,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = sorted(map(tuple, map_arrow(rows, features, "toxic int, x array<double>").collect()), key=lambda r: (r[1], r[0]))  # the order of tasks plays no part
+    got = sorted(map(tuple, map_arrow(rows.select("toxic", "text"), features, "toxic int, x array<double>").collect()), key=lambda r: (r[1], r[0]))  # the order of tasks plays no part
     return Model(lexicon, np.array([r[1] for r in got]).reshape(len(got), len(COLUMNS)), np.array([r[0] for r in got], float))
 
 

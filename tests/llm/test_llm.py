@@ -470,3 +470,15 @@ def test_comments_longer_than_the_article_stay_out():
 
     p = "Long text here, and a lot more of it, really, so much that it counts."
     assert main_text(f"<article><p>{p}</p><section id=comments><p>{p}<p>{p}<p>{p}</section></article>") == p
+
+
+def test_lexicon_counts_different_texts_of_a_common_phrase_each(spark):
+    from horosphere.llm import toxicity
+
+    phrase = " ".join(f"common{i}" for i in range(30))
+    rows = [(k, 1, f"{phrase} " + " ".join(f"own{k}x{i}" for i in range(30))) for k in range(12)]
+    rows += [(100, 1, rows[0][2]), (101, 0, rows[0][2]), (102, 1, ""), (103, 1, "")]
+    long = " ".join(f"w{i}" for i in range(200))
+    rows += [(200, 1, long), (201, 1, f"{long} more")]
+    got = sorted(map(tuple, toxicity.single(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()))
+    assert got == sorted((y, t) for k, y, t in rows if k not in (100, 103, 201))
