@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from horosphere.sources.shared import release
+
+log = logging.getLogger(__name__)
+
+
+def utc(t: datetime) -> str:
+    """As text.utc() writes it."""
+    return f"{t:%Y/%m/%d} {t.hour}:{t:%M} UTC"
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="horosphere")
@@ -39,13 +50,49 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def start_log(path: str | None, screen: bool) -> list[logging.Handler]:
+    """Handlers of the package's log: a file, or the screen, or none."""
+    top = logging.getLogger("horosphere")
+    top.setLevel(logging.INFO)
+    handlers: list[logging.Handler] = [logging.StreamHandler()] if screen else [logging.FileHandler(path, "w")] if path else []
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(message)s"))
+        top.addHandler(h)
+    return handlers
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    a, own = parser().parse_args(argv), spark is None
+    spark = spark or SparkSession.builder.appName("horosphere").getOrCreate()
+    handlers = []
+    if a.command == "embed" and not a.quiet:
+        root = a.output or a.edges.rsplit(".", 1)[0]
+        handlers = start_log(f"{root}.inf_log" if "://" not in root else None, a.screen)
+    try:
+        return run(a, spark)
+    finally:
+        for h in handlers:
+            logging.getLogger("horosphere").removeHandler(h)
+            h.close()
+        if own:
+            release(spark)
+
+
+def embed(edgelist_filename: str, output_name: str = "", inf_coord: str = "", fast_mode: bool = False, screen_mode: bool = False, post_kappa: bool = True, quiet_mode: bool = False, validation_mode: bool = False, clean_mode: bool = False, seed: int = -1, beta: float = -1, dimension: int = 1, spark: SparkSession | None = None) -> int:
+    """The command embed as a function; a negative seed or beta means none is given."""
+    argv = ["embed", edgelist_filename, "-d", str(dimension)]
+    for value, flag in ((output_name, "-o"), (inf_coord, "-r"), (str(seed) if seed >= 0 else "", "-s"), (str(beta) if beta > 0 else "", "-b")):
+        argv += [flag, value] if value else []
+    for on, flag in ((fast_mode, "-f"), (screen_mode, "-a"), (not post_kappa, "-k"), (quiet_mode, "-q"), (validation_mode, "-v"), (clean_mode, "-c")):
+        argv += [flag] if on else []
+    return main(argv, spark)
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> int:
     from horosphere.operators import embed, generate, graph, routing, validate
     from horosphere.operators.infer import Params
     from horosphere.sources import text
 
-    a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("horosphere").getOrCreate()
     if a.command == "generate":
         out = a.output or a.hidden.rsplit(".", 1)[0]
         got = generate.generate(text.read_hidden(spark, a.hidden, a.dimension, a.names, a.positions, a.native), a.beta, a.dimension, a.mu, a.seed)
@@ -62,7 +109,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         got = routing.route(edges, where, runs, a.dimension, bool(a.modified))
         routing.summary(got, routing.shortest_paths(edges, runs)).toPandas().to_csv(sys.stdout, index=False)
         return 0
-    out = a.output or a.edges.rsplit(".", 1)[0]
+    began, out = datetime.now(UTC), a.output or a.edges.rsplit(".", 1)[0]
+    log.info("Embedding started at %s", utc(began))
     config = embed.EmbedConfig(a.dimension, a.beta, a.fast, not a.no_kappas, a.joint, a.only_kappas, a.seed)
     start = None
     if a.refine:
@@ -75,11 +123,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except graph.MultipleComponentsError as e:
         text.write_edges(e.giant, vertices, f"{out}_GC.edge")
         return e.exit_code
+    ended = datetime.now(UTC)
+    log.info("Ended at %s", utc(ended))
+    about = {"Embedding started at": utc(began), "Ended at": utc(ended), "Elapsed time": f"{(ended - began).total_seconds():.2f} seconds", "Edgelist file": a.edges}
     named_out = got.coordinates.join(vertices, "vid")
     if a.only_kappas:
         text.write_table(named_out.orderBy("vid"), f"{out}.kappas", ["kappa"])
         return 13
-    text.write_coordinates(named_out, f"{out}.inf_coord", a.dimension, got.params.beta, got.params.mu)
+    text.write_coordinates(named_out, f"{out}.inf_coord", a.dimension, got.params.beta, got.params.mu, about=about, options={k.upper(): v for k, v in vars(a).items()})
     if a.clean:
         text.write_coordinates(named_out, f"{out}.inf_coord_raw", a.dimension, got.params.beta, got.params.mu, raw=True)
     if a.validate:

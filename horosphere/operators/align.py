@@ -49,6 +49,25 @@ def paired(real: DataFrame, inferred: DataFrame, cutoff_percent: float = 0.5, mi
     return real.where(F.col("realdeg") >= least).select("name", F.col("pos").alias("real")).join(inferred.select("name", F.col("pos").alias("inf")), "name")
 
 
+def inverse(m: np.ndarray) -> np.ndarray:
+    """The rotation back."""
+    return m.T
+
+
+def mean_distances(pairs: DataFrame, turns: np.ndarray) -> DataFrame:
+    """pairs (real, inf) to (k, distance): the mean angular distance of both sets after turn k of the second. Sums of batches,
+    a row a turn, meet in one shuffle."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x, y = np.array(b["real"].tolist()), np.array(b["inf"].tolist())
+                yield pd.DataFrame({"k": np.arange(len(turns)), "s": [distances(x, y @ t.T).sum() for t in turns], "n": len(b)})
+
+    sums = pairs.select("real", "inf").mapInPandas(run, "k long, s double, n long")
+    return sums.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("distance"))
+
+
 def least_mean(x: np.ndarray, y: np.ndarray, turns: np.ndarray, bound: float) -> tuple[int, float]:
     """The turn of y (unit rows) that brings it nearest to x, and the mean angular distance then; (-1, inf) where none stays
     within bound. Points go in growing blocks, and a turn goes as soon as its sum exceeds what bound allows on all points:
@@ -97,6 +116,21 @@ def align(pairs: DataFrame, spins: int = 50) -> tuple[np.ndarray, np.ndarray, fl
     return rotation_to_first(real[best.i]), turns[best.k] @ rotation_to_first(inf[best.i]), best.score
 
 
+def align_files(spark, real: str, inferred: str, dim: int = 2, cutoff_percent: float = 0.5, spins: int = 50, min_degree: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """align() of two coordinate files, the first with degrees."""
+    from horosphere.sources import text
+
+    return align(paired(text.read_positions(spark, real, dim, True), text.read_positions(spark, inferred, dim), cutoff_percent, min_degree).select("name", "real", "inf"), spins)
+
+
+def align_files_with_labels(spark, real: str, inferred: str, labels: str, dim: int = 2, cutoff_percent: float = 0.5, spins: int = 50) -> tuple[tuple[np.ndarray, np.ndarray, float], DataFrame]:
+    """align_files(), and (name, real, inf, label) of the points met."""
+    from horosphere.sources import text
+
+    met = paired(text.read_positions(spark, real, dim, True), text.read_positions(spark, inferred, dim), cutoff_percent)
+    return align(met.select("name", "real", "inf"), spins), text.with_labels(met, text.read_labels(spark, labels))
+
+
 def spherical(x: np.ndarray) -> np.ndarray:
     """Hyperspherical angles of rows; the last in [0, 2 pi)."""
     tail = np.sqrt(np.cumsum((x**2)[:, ::-1], axis=1)[:, ::-1])

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horosphere.functions import geometry as G
 from horosphere.functions import special
-from horosphere.operators import graph, infer, pairs
+from horosphere.operators import graph, infer, ordered, pairs
 from horosphere.operators.infer import Params
 from horosphere.sources.shared import stored
 
+log = logging.getLogger(__name__)
+
 #: Vertices up to which the eigenproblem is solved densely on the driver; beyond, by subspace iteration on tables.
 DENSE = 4000
-#: Vertices up to which refinement moves one vertex after another, each seeing the moves before, on the driver.
+#: Vertices up to which a pass of refinement runs on the driver; the result is the same.
 SEQUENTIAL = 1500
 #: Residual up to which an eigenvector of the tables' iteration counts as found, and vectors iterated at most.
 RESIDUAL, WIDEST = 1e-4, 40
@@ -38,7 +42,7 @@ class EmbedConfig:
     only_kappas: bool = False
     seed: int = 1
     candidates: int = 100
-    batches: int = 20
+    batches: int = 20  # into which a pass of refinement is cut at least; the result does not depend on it
 
 
 @dataclass
@@ -55,11 +59,32 @@ def weights(edges: DataFrame, props: DataFrame, p: Params) -> DataFrame:
     kinds = [(r.ks, r.kd) for r in e.select("ks", "kd").distinct().collect()]  # pairs of degree classes
     far = special.linked_distance(np.array([p.kappa[a] for a, _ in kinds]), np.array([p.kappa[b] for _, b in kinds]), p.n, p.mu, p.beta, p.dim) if kinds else []
     look = edges.sparkSession.createDataFrame([(int(a), int(b), float(x)) for (a, b), x in zip(kinds, far, strict=True)], "ks long, kd long, d double")
-    c = e.join(F.broadcast(look) if len(kinds) < 100_000 else look, ["ks", "kd"]).withColumn("c2", F.pow(G.chord(F.col("d")), 2))
+    return heat_kernel(e.join(F.broadcast(look) if len(kinds) < 100_000 else look, ["ks", "kd"]))
+
+
+def heat_kernel(links: DataFrame) -> DataFrame:
+    """links (src, dst, d) to (src, dst, w): exp of minus the squared chord of distance d over its mean."""
+    c = stored(links.select("src", "dst", F.pow(G.chord(F.col("d")), 2).alias("c2")), "chords")
     t = c.agg(F.avg("c2")).first()[0] or 1.0
     return c.select("src", "dst", F.exp(-F.col("c2") / F.lit(t)).alias("w"))
 
 
+def both_ways(w: DataFrame) -> DataFrame:
+    return w.select("src", "dst", "w").unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def strengths(both: DataFrame) -> DataFrame:
+    return both.groupBy("src").agg(F.sum("w").alias("s"))
+
+
+def laplacian(w: DataFrame) -> DataFrame:
+    """The entries (i, j, l) of I - S^-1 W that are not 0."""
+    both = both_ways(w)
+    s = strengths(both)
+    off = both.join(s, "src").select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("w") / F.col("s")).alias("l"))
+    return off.unionByName(s.select(F.col("src").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("l")))
+
+
 def subspace(q: DataFrame, strength: DataFrame, width: int, need: int, seed: int, rounds: int) -> DataFrame | None:
     """(src, top, x) with the need greatest non-trivial eigenvectors of q first in x, each of a residual of RESIDUAL at most;
     None where rounds do not do."""
@@ -86,7 +111,7 @@ def subspace(q: DataFrame, strength: DataFrame, width: int, need: int, seed: int
 def eigenmap(w: DataFrame, dim: int, seed: int = 1, rounds: int = 200) -> dict[int, np.ndarray]:
     """vid to its entries in the dim + 1 smallest non-trivial eigenvectors of I - S^-1 W, descending eigenvalue.
     Beyond DENSE vertices by subspace iteration, wider where rounds do not reach RESIDUAL, else NotConvergedError."""
-    both = w.select("src", "dst", "w").unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    both = both_ways(w)
     need = max(2, dim + 1)
     n = both.select("src").distinct().count()
     if n <= DENSE:
@@ -100,7 +125,7 @@ def eigenmap(w: DataFrame, dim: int, seed: int = 1, rounds: int = 200) -> dict[i
         value, vector = np.linalg.eigh(np.eye(len(ids)) - m / np.sqrt(s[:, None] * s[None, :]))
         out = (vector / np.sqrt(s)[:, None])[:, 1 : need + 1][:, ::-1]
         return dict(zip(ids, out, strict=True))
-    strength = stored(both.groupBy("src").agg(F.sum("w").alias("s")), "strength")
+    strength = stored(strengths(both), "strength")
     q = stored(both.join(strength, "src").join(strength.toDF("dst", "t"), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("s") * F.col("t"))).alias("w")), "normed")
     width, block = need + 3, None
     while block is None:
@@ -122,28 +147,46 @@ def circle_gap(f: float, beta: float, linked: bool, n: int) -> float:
     return float((w * x * y).sum() / max(1e-300, (w * y).sum() + (0.5 if linked else 0.0)))
 
 
-def first_circle(edges: DataFrame, props: DataFrame, p: Params, vectors: dict[int, np.ndarray]) -> dict[int, float]:
-    """Angles on the circle by the order of the eigenmap, leaves around their parents, gaps by the model."""
-    raw = {v: math.atan2(x[0], x[1]) + math.pi for v, x in vectors.items()}
-    hang: dict[int, list[int]] = {}
-    for r in graph.leaves(edges).collect():
-        hang.setdefault(r.parent, []).append(r.leaf)
-    order: list[tuple[int, float]] = []
-    for v in sorted(raw, key=lambda v: (raw[v], v)):
-        own = sorted(hang.get(v, []))
-        order += [(x, raw[v]) for x in own[: len(own) // 2]] + [(v, raw[v])] + [(x, raw[v]) for x in own[len(own) // 2 :]]
-    kappa = {r.vid: p.kappa[r.degree] for r in props.select("vid", "degree").collect()}
-    linked = {(r.src, r.dst) for r in edges.collect()}
-    gaps = []
-    for (a, ra), (b, rb) in zip([order[-1], *order[:-1]], order, strict=True):
-        d = abs(ra - rb)
-        gaps.append(max(circle_gap(p.n / (2 * math.pi * p.mu * kappa[a] * kappa[b]), p.beta, (min(a, b), max(a, b)) in linked, p.n), min(d, 2 * math.pi - d)))
-    theta = np.cumsum(gaps) * 2 * math.pi / sum(gaps)
-    theta[-1] = 0.0
-    return dict(zip([v for v, _ in order], theta.tolist(), strict=True))
+def class_kappa(p: Params, spark) -> DataFrame:
+    """(degree, kappa): a row a class."""
+    return spark.createDataFrame([(int(k), float(x)) for k, x in p.kappa.items()], "degree long, kappa double")
+
+
+def lagged_gaps(order: DataFrame, by: list, angle: str) -> DataFrame:
+    """order with the angular gap to the row before, in a circle."""
+    return ordered.before(order, by, angle, "before").withColumn("gap", G.circular_distance(F.col(angle), F.col("before")))
 
 
-def first_sphere(edges: DataFrame, props: DataFrame, p: Params, vectors: dict[int, np.ndarray], seed: int) -> dict[int, list[float]]:
+def spread_angles(order: DataFrame, by: list, gap: str) -> DataFrame:
+    """order with theta: the gaps up to each row, stretched to the whole circle; the last row is at 0."""
+    got, total = ordered.running(order, by, gap, "sum")
+    theta = F.col("sum") * F.lit(2 * math.pi / total)
+    return got.withColumn("running", theta).withColumn("theta", F.when(F.col("sum") >= F.lit(total * (1 - 1e-12)), F.lit(0.0)).otherwise(theta)).drop("sum")
+
+
+def first_circle(edges: DataFrame, props: DataFrame, p: Params, vectors: dict[int, np.ndarray]) -> DataFrame:
+    """(vid, theta) on the circle by the order of the eigenmap, leaves around their parents, gaps by the model."""
+    spark = edges.sparkSession
+    core = spark.createDataFrame([(int(v), float(math.atan2(x[0], x[1]) + math.pi)) for v, x in vectors.items()], "anchor long, raw double")
+    w = Window.partitionBy("parent")  # the leaves of one vertex
+    hung = graph.leaves(edges).withColumn("rank", F.row_number().over(w.orderBy("leaf"))).withColumn("half", F.floor(F.count("*").over(w) / 2))
+    hung = hung.join(core, F.col("parent") == F.col("anchor")).select(F.col("leaf").alias("vid"), "raw", "anchor", F.when(F.col("rank") <= F.col("half"), -1).otherwise(1).alias("side"))
+    order = core.select(F.col("anchor").alias("vid"), "raw", "anchor", F.lit(0).alias("side")).unionByName(hung)
+    known = order.join(props.select("vid", "degree"), "vid").join(F.broadcast(class_kappa(p, spark)), "degree").withColumn("own", F.struct("vid", "raw", "kappa"))
+    by = ["raw", "anchor", "side", "vid"]
+    met = ordered.before(known, by, "own", "last").withColumn("src", F.least("vid", "last.vid")).withColumn("dst", F.greatest("vid", "last.vid"))
+    met = met.join(edges.select("src", "dst", F.lit(True).alias("linked")), ["src", "dst"], "left")
+
+    def gaps(f: pd.Series, linked: pd.Series) -> pd.Series:
+        return pd.Series([circle_gap(x, p.beta, bool(y), p.n) for x, y in zip(f, linked, strict=True)])
+
+    f = F.lit(p.n / (2 * math.pi * p.mu)) / (F.col("kappa") * F.col("last.kappa"))
+    model = F.pandas_udf(gaps, "double")(f, F.coalesce("linked", F.lit(False)))
+    return spread_angles(met.select("vid", "raw", "anchor", "side", F.greatest(model, G.circular_distance(F.col("raw"), F.col("last.raw"))).alias("gap")), by, "gap").select("vid", "theta")
+
+
+def first_sphere(edges: DataFrame, props: DataFrame, p: Params, vectors: dict[int, np.ndarray], seed: int) -> DataFrame:
+    """(vid, pos): the eigenmap's directions, leaves at a drawn distance of their parents."""
     rng, out = np.random.default_rng(seed), {}
     for v in sorted(vectors):
         x = vectors[v][: p.dim + 1]
@@ -156,13 +199,88 @@ def first_sphere(edges: DataFrame, props: DataFrame, p: Params, vectors: dict[in
         x = np.append(math.cos(far), math.sin(far) * side / np.linalg.norm(side))
         s = out[r.parent] + np.eye(p.dim + 1)[0]
         out[r.leaf] = 2 * s * (s @ x) / max(1e-300, s @ s) - x
-    return {v: (x * p.big_r).tolist() for v, x in out.items()}
+    return edges.sparkSession.createDataFrame([(int(v), (x * p.big_r).tolist()) for v, x in out.items()], "vid long, pos array<double>")
+
+
+def centre_of(unit: np.ndarray, kappa: np.ndarray, dim: int) -> tuple[np.ndarray, float]:
+    """(weighted mean direction of neighbours, half the largest angle to one of them; at least a quarter turn on the circle)."""
+    centre = (unit / kappa[:, None] ** 2).sum(0)
+    centre = centre / max(1e-300, np.linalg.norm(centre))
+    return centre, max(math.pi if dim == 1 else 0.0, float(np.arccos(np.clip(unit @ centre, -1, 1)).max())) / 2
+
+
+def unlinked(cand: np.ndarray, i: int, others: list[int], unit: np.ndarray, kappa: np.ndarray, p: Params) -> np.ndarray:
+    """What i's pairs with others, none of which is its neighbour, add to the likelihood at each candidate place."""
+    x = np.maximum(p.big_r * np.arccos(np.clip(cand @ unit[others].T, -1, 1)) / (p.mu * kappa[others] * kappa[i]) ** (1 / p.dim), 1e-12)
+    return -np.log1p(x**-p.beta).sum(1)
+
+
+def place_scores(cand: np.ndarray, i: int, unit: np.ndarray, kappa: np.ndarray, friends: list[int], p: Params) -> np.ndarray:
+    """What i's pairs add to the likelihood at each candidate place."""
+    scale = (p.mu * kappa * kappa[i]) ** (1 / p.dim)
+    total, step = np.empty(len(cand)), max(1, 2_000_000 // len(unit))
+    for lo in range(0, len(cand), step):
+        x = np.maximum(p.big_r * np.arccos(np.clip(cand[lo : lo + step] @ unit.T, -1, 1)) / scale, 1e-12)
+        t = -np.log1p(x**-p.beta)
+        t[:, i] = 0
+        total[lo : lo + step] = t.sum(1) - p.beta * np.log(x[:, friends]).sum(1)
+    return total
+
+
+def neighbour_centres(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vid, mean, deviation) of every vertex's neighbours on the circle, as refinement takes them."""
+    near = graph.adjacency(edges).join(vertices.select(F.col("vid").alias("u"), "kappa", "theta"), "u").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("u", "kappa", "theta"))).alias("x"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for v, x in zip(b["v"], b["x"], strict=True):
+                t = np.array([y["theta"] for y in x])
+                c, d = centre_of(np.stack([np.cos(t), np.sin(t)], 1), np.array([y["kappa"] for y in x]), 1)
+                out.append((v, math.atan2(c[1], c[0]) % (2 * math.pi), d))
+            yield pd.DataFrame(out, columns=["vid", "mean", "deviation"])
+
+    return near.select("v", "x").mapInPandas(run, "vid long, mean double, deviation double")
+
+
+def score_places(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, p: Params) -> DataFrame:
+    """candidates (vid, c, theta) to (vid, c, ll), all other vertices at their places. Places and neighbours go to the
+    executors once, as the N^2 evaluations of a pass bound N."""
+    rows = sorted(map(tuple, vertices.select("vid", "kappa", "theta").collect()))
+    at = {r[0]: i for i, r in enumerate(rows)}
+    kappa, theta = (np.array([r[k] for r in rows]) for k in (1, 2))
+    near: list[list[int]] = [[] for _ in rows]
+    for a, b in edges.select("src", "dst").collect():
+        near[at[a]].append(at[b])
+        near[at[b]].append(at[a])
+    sent = vertices.sparkSession.sparkContext.broadcast((at, kappa, np.stack([np.cos(theta), np.sin(theta)], 1), near))
+
+    def run(batches):
+        at, kappa, unit, near = sent.value
+        for b in batches:
+            out = []
+            for v, cs, ts in zip(b["vid"], b["cs"], b["ts"], strict=True):
+                t = np.array(ts)
+                ll = place_scores(np.stack([np.cos(t), np.sin(t)], 1), at[v], unit, kappa, near[at[v]], p)
+                out.append(pd.DataFrame({"vid": v, "c": cs, "ll": ll}))
+            yield pd.concat(out) if out else pd.DataFrame({"vid": [], "c": [], "ll": []})
+
+    each = candidates.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("c", "theta"))).alias("x")).select("vid", F.col("x.c").alias("cs"), F.col("x.theta").alias("ts"))
+    return each.repartition(64).mapInPandas(run, "vid long, c long, ll double")
+
+
+def best_candidates(scored: DataFrame) -> DataFrame:
+    """(vid, c, ll) to (vid, best, ll): the best candidate, of equal ones the least, which is the place held."""
+    b = scored.groupBy("vid").agg(F.max(F.struct("ll", (-F.col("c")).alias("c"))).alias("b"))
+    return b.select("vid", (-F.col("b.c")).alias("best"), F.col("b.ll").alias("ll"))
 
 
 def refine(vertices: DataFrame, edges: DataFrame, layers: DataFrame, p: Params, config: EmbedConfig) -> DataFrame:
-    """One pass from the inmost onion layer out, in batches: each vertex of a batch tries candidates around its neighbours
-    against a snapshot of all positions, and a batch is kept only where the likelihood rises. Positions are one array of
-    N rows that goes with the tasks; N is bounded by the N^2 that a pass costs."""
+    """One pass from the inmost onion layer out: each vertex in turn takes the likeliest of candidates around its neighbours, and
+    its own place, given all moves before. Beyond SEQUENTIAL vertices batches of consecutive vertices, no two of which are
+    neighbours, are scored by tasks against the places before the batch; then, in order, what the batch's earlier moves change
+    in a vertex's scores is put right. So the result is the one of the pass one by one, whatever the batches. Places are one
+    array of N rows that goes with the tasks; N is bounded by the N^2 that a pass costs."""
     spark, dim = vertices.sparkSession, p.dim
     place = "theta" if dim == 1 else "pos"
     rows = {r.vid: (r.kappa, r[place]) for r in vertices.collect()}
@@ -177,69 +295,47 @@ def refine(vertices: DataFrame, edges: DataFrame, layers: DataFrame, p: Params,
     rng = np.random.default_rng(config.seed)
     order = [at[r.vid] for r in sorted(layers.collect(), key=lambda r: (-r.layer, rng.random()))]
     tries = int(config.candidates * max(1.0, math.log(len(ids))))
-    scale, beta, big_r, seed = (p.mu * kappa) ** (1 / dim), p.beta, p.big_r, config.seed
-    size = max(1, -(-len(order) // config.batches))
+    seed, size = config.seed, max(1, -(-len(order) // config.batches))
 
-    def best(i: int, unit: np.ndarray, friends: list[int]) -> np.ndarray:
+    def candidates(i: int, unit: np.ndarray, friends: list[int]) -> np.ndarray:
         g = np.random.default_rng([seed, i])
-        centre = (unit[friends] / kappa[friends][:, None] ** 2).sum(0)
-        centre = centre / max(1e-300, np.linalg.norm(centre))
-        dev = max(math.pi if dim == 1 else 0.0, float(np.arccos(np.clip(unit[friends] @ centre, -1, 1)).max())) / 2
+        centre, dev = centre_of(unit[friends], kappa[friends], dim)
         if dim == 1:
             t = math.atan2(centre[1], centre[0]) + dev * g.standard_normal(tries)
             cand = np.stack([np.cos(t), np.sin(t)], 1)
         else:
             cand = centre + dev * g.standard_normal((tries, dim + 1))
             cand /= np.linalg.norm(cand, axis=1, keepdims=True)
-        cand = np.concatenate([unit[i][None, :], cand])
-        total, step = np.empty(len(cand)), max(1, 2_000_000 // len(unit))
-        for lo in range(0, len(cand), step):
-            d = np.arccos(np.clip(cand[lo : lo + step] @ unit.T, -1, 1))
-            x = np.maximum(big_r * d / (scale * kappa[i] ** (1 / dim)), 1e-12)
-            t = -np.log1p(x**-beta)
-            t[:, i] = 0
-            total[lo : lo + step] = t.sum(1) - beta * np.log(x[:, friends]).sum(1)
-        k = int(total.argmax())
-        return cand[k]
-
-    def gain(i: int, old: np.ndarray, new: np.ndarray, moved: np.ndarray, friends: list[int]) -> float:
-        """What i's pairs add to the likelihood by the move from old to new; a pair of two moved vertices is half of each."""
-        part = []
-        for unit in (old, new):
-            x = np.maximum(big_r * np.arccos(np.clip(unit @ unit[i], -1, 1)) / (scale * kappa[i] ** (1 / dim)), 1e-12)
-            t = -np.log1p(x**-beta)
-            t[friends] -= beta * np.log(x[friends])
-            t[i] = 0
-            part.append(t)
-        return float(((part[1] - part[0]) * np.where(moved, 0.5, 1.0)).sum())
-
-    def together(group: list[int], found: list[np.ndarray] | None = None) -> None:
-        """Moves a group at once if that does not lower the likelihood, else its halves, the second of which sees the first."""
-        sc = spark.sparkContext
-        before = sc.broadcast(unit.copy())
-        parts = max(1, min(len(group), 64))
-        if found is None:
-            found = sc.parallelize(group, parts).map(lambda i: best(i, before.value, near_of.value[i])).collect()
-        new, moved = unit.copy(), np.zeros(len(unit), bool)
-        new[group], moved[group] = np.array(found), True
-        after = sc.broadcast((new, moved))
-        won = math.fsum(sc.parallelize(group, parts).map(lambda i: gain(i, before.value, after.value[0], after.value[1], near_of.value[i])).collect())
-        before.unpersist()
-        after.unpersist()
-        if won >= 0:
-            unit[:] = new
-        elif len(group) > 1:
-            half = len(group) // 2
-            together(group[:half], found[:half])
-            together(group[half:])
+        return np.concatenate([unit[i][None, :], cand])
+
+    def scores(i: int, unit: np.ndarray, friends: list[int]) -> np.ndarray:
+        return place_scores(candidates(i, unit, friends), i, unit, kappa, friends, p)
 
     if len(order) <= SEQUENTIAL:
         for i in order:
-            unit[i] = best(i, unit, near[i])
+            unit[i] = candidates(i, unit, near[i])[int(scores(i, unit, near[i]).argmax())]
     else:
-        near_of = spark.sparkContext.broadcast(near)
-        for b in range(0, len(order), size):
-            together(order[b : b + size])
+        sc = spark.sparkContext
+        near_of = sc.broadcast(near)
+        at_, reach = 0, len(order)
+        while at_ < reach:
+            group, close = [], set()
+            while at_ < reach and len(group) < size and order[at_] not in close:
+                group.append(order[at_])
+                close.update(near[order[at_]])
+                at_ += 1
+            before = sc.broadcast(unit.copy())
+            found = sc.parallelize(group, min(len(group), 64)).map(lambda i: scores(i, before.value, near_of.value[i])).collect()  # of one batch
+            moved: list[int] = []
+            for i, total in zip(group, found, strict=True):
+                cand = candidates(i, unit, near[i])  # no neighbour is in the batch: as the task saw them
+                if moved:
+                    total = total + unlinked(cand, i, moved, unit, kappa, p) - unlinked(cand, i, moved, before.value, kappa, p)
+                k = int(total.argmax())
+                if k:
+                    unit[i] = cand[k]
+                    moved.append(i)
+            before.unpersist()
     out = [(int(v), float(k), float(math.atan2(x[1], x[0]) % (2 * math.pi)) if dim == 1 else (x * big_r).tolist()) for v, k, x in zip(ids, kappa, unit, strict=True)]
     return spark.createDataFrame(out, f"vid long, kappa double, {place} {'double' if dim == 1 else 'array<double>'}")
 
@@ -260,7 +356,10 @@ def embed(edges: DataFrame, config: EmbedConfig | None = None, start: tuple[Data
     def mark(name: str) -> None:
         nonlocal clock
         timings[name], clock = time.perf_counter() - clock, time.perf_counter()
+        log.info("%-12s %10.2f seconds", name, timings[name])
 
+    for option, value in asdict(config).items():
+        log.info("%-12s %s", option, value)
     edges = stored(edges.select("src", "dst"), "edges")
     graph.require_connected(edges)
     props = stored(graph.properties(edges), "properties")
@@ -274,12 +373,11 @@ def embed(edges: DataFrame, config: EmbedConfig | None = None, start: tuple[Data
         mark("parameters")
         spark = edges.sparkSession
         if config.only_kappas:
-            rows = [(r.vid, p.kappa[r.degree]) for r in degree.toLocalIterator()]
-            return Embedding(spark.createDataFrame(rows, "vid long, kappa double"), p, timings)
+            return Embedding(degree.join(F.broadcast(class_kappa(p, spark)), "degree").select("vid", "kappa"), p, timings)
         vectors = eigenmap(weights(edges, props, p), config.dim, config.seed)
         places = first_circle(edges, props, p, vectors) if config.dim == 1 else first_sphere(edges, props, p, vectors, config.seed)
-        known = {r.vid: r.degree for r in degree.toLocalIterator()}
-        now = spark.createDataFrame([(v, p.kappa[known[v]], x) for v, x in places.items()], "vid long, kappa double, theta double" if config.dim == 1 else "vid long, kappa double, pos array<double>")
+        place = "theta" if config.dim == 1 else "pos"
+        now = stored(places.join(degree, "vid").join(F.broadcast(class_kappa(p, spark)), "degree").select("vid", "kappa", place), "places")
         mark("positions")
     if not config.fast:
         now = refine(stored(now, "start"), edges, graph.onion(edges), p, config)
@@ -299,5 +397,12 @@ def theta_density(vertices: DataFrame, bins: int = 25) -> DataFrame:
     return vertices.sparkSession.range(bins).withColumnRenamed("id", "bin").join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), ((F.col("bin") + 0.5) * F.lit(2 * math.pi / bins)).alias("theta"), (F.coalesce("n", F.lit(0)) / F.lit(max(1, total))).alias("inf_density"), F.lit(1.0 / bins).alias("th_density"))
 
 
+def theta_histogram(vertices: DataFrame, bins: int = 25) -> DataFrame:
+    """bin, n, low (the bin's lower end), theta (the mean angle in it), share, of the bins that hold a vertex; the last bin holds its upper end."""
+    width = 2 * math.pi / bins
+    n = vertices.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("theta") / F.lit(width))).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("theta").alias("theta"))
+    return n.select("bin", "n", (F.col("bin") * F.lit(width)).alias("low"), "theta", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))  # a row a bin
+
+
 def log_likelihood(vertices: DataFrame, edges: DataFrame, p: Params) -> float:
     return pairs.vertex_log_likelihood(vertices, edges, p.dim, p.beta, p.big_r, p.mu, p.n).agg(F.sum("ll")).first()[0] / 2

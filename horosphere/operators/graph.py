@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from horosphere.functions.geometry import uniform
+from horosphere.operators.ordered import numbered
 from horosphere.sources.shared import stored
 
 
@@ -20,17 +22,21 @@ class MultipleComponentsError(ValueError):
         self.giant = giant
 
 
+def self_loops(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """What canonical() leaves out before it looks for repeats."""
+    return pairs.where(F.col(a) == F.col(b))
+
+
 def canonical(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Simple undirected edges: no self-loops, each once, src < dst."""
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct()
 
 
 def dictionary(named: DataFrame) -> DataFrame:
-    """named (line, name1, name2) to (vid, name), in order of first appearance."""
-    seen = named.select(F.explode(F.array(F.struct((2 * F.col("line")).alias("at"), F.col("name1").alias("name")), F.struct((2 * F.col("line") + 1).alias("at"), F.col("name2").alias("name")))).alias("x")).select("x.*")
+    """named (line, name1, name2) to (vid, name), in order of first appearance; lines are of any kind that has an order."""
+    seen = named.select(F.explode(F.array(*(F.struct(F.struct("line", F.lit(i).alias("side")).alias("at"), F.col(f"name{i}").alias("name")) for i in (1, 2)))).alias("x")).select("x.*")
     first = seen.groupBy("name").agg(F.min("at").alias("at"))
-    numbered = first.rdd.map(lambda r: (r.at, r.name)).sortByKey().zipWithIndex().map(lambda x: (x[1], x[0][1]))  # dense ids without gathering the names in one task
-    return named.sparkSession.createDataFrame(numbered, "vid long, name string")
+    return numbered(first, ["at", "name"], "vid").select("vid", "name")
 
 
 def encoded(named: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -171,20 +177,32 @@ def onion(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
 
 
 def visiting_order(layers: DataFrame, seed: int) -> DataFrame:
-    return layers.orderBy(F.desc("layer"), F.desc(F.rand(seed)))
+    """(vid, place): the inmost layer first, by chance within a layer."""
+    chance = layers.select("vid", (-F.col("layer")).alias("out"), uniform(F.col("vid"), seed).alias("u"))
+    return numbered(chance, ["out", "u", "vid"], "place").select("vid", "place")
+
+
+#: Levels of a search that are united before they are written as one table.
+UNITED = 20
 
 
 def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources (s) to (s, vid, dist): one frontier for all sources, met by one join a level."""
-    adj = adjacency(edges)
-    frontier = stored(sources.select("s", F.col("s").alias("vid"), F.lit(0).cast("long").alias("dist")), "bfs")
-    reached = frontier
+    """sources (s) to (s, vid, dist): one frontier for all sources, met by one join a level. As edges go both ways, what a level
+    reaches lies in the level before, in itself or is new: only two levels are looked back at."""
+    adj = stored(adjacency(edges), "adj")
+    frontier = stored(sources.select("s", F.col("s").alias("vid"), F.lit(0).cast("long").alias("dist")).distinct(), "bfs")
+    reached, parts, last = frontier, 1, None
     for level in itertools.count(1):
-        new = frontier.join(adj, frontier.vid == adj.v).select("s", F.col("u").alias("vid")).distinct().join(reached.select("s", "vid"), ["s", "vid"], "left_anti").withColumn("dist", F.lit(level).cast("long"))
-        frontier = stored(new, "bfs")
+        near = frontier.join(adj, frontier.vid == adj.v).select("s", F.col("u").alias("vid")).distinct()
+        new = near.join(frontier.select("s", "vid"), ["s", "vid"], "left_anti")
+        if last is not None:
+            new = new.join(last.select("s", "vid"), ["s", "vid"], "left_anti")
+        last, frontier = frontier, stored(new.withColumn("dist", F.lit(level).cast("long")), "bfs")
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier)
+        reached, parts = reached.unionByName(frontier), parts + 1
+        if parts == UNITED:
+            reached, parts = stored(reached, "reached"), 1
 
 
 def leaves(edges: DataFrame) -> DataFrame:

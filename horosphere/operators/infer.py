@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,18 @@ class Params:
         return G.radius(self.dim, self.n)
 
 
+def class_degrees(kappa: np.ndarray, n_k: np.ndarray, mu: float, beta: float, dim: int, compat: bool = False, integral=special.linked_probability) -> np.ndarray:
+    """Expected degree of each class: the others of its own class, and all of the other classes."""
+    p = integral(kappa[:, None], kappa[None, :], float(n_k.sum()), mu, beta, dim, compat)
+    return p @ n_k - np.diag(p)
+
+
 def class_kappas(k: np.ndarray, n_k: np.ndarray, beta: float, dim: int, rng, tol: float = 1e-2, rounds: int = 500, compat: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """(kappa, expected degree) of each degree class, and mu."""
-    n = float(n_k.sum())
-    mu = G.density(dim, beta, float((k * n_k).sum() / n))
+    mu = G.density(dim, beta, float((k * n_k).sum() / n_k.sum()))
     kappa = k.astype(float)
     for _ in range(rounds):
-        p = special.linked_probability(kappa[:, None], kappa[None, :], n, mu, beta, dim, compat)
-        exp = p @ n_k - np.diag(p)
+        exp = class_degrees(kappa, n_k, mu, beta, dim, compat)
         if np.abs(exp - k).max() <= tol:
             break
         kappa = np.abs(kappa + (k - exp) * rng.random(len(k)))
@@ -49,21 +54,41 @@ def class_kappas(k: np.ndarray, n_k: np.ndarray, beta: float, dim: int, rng, tol
     return kappa, exp, mu
 
 
-def neighbour_cdf(k: np.ndarray, n_k: np.ndarray, kappa: np.ndarray, mu: float, beta: float, dim: int) -> np.ndarray:
-    """(class, neighbour's class) cumulated probabilities, the last 1; entries of at most 1e-10 are dropped."""
-    p = special.linked_probability(kappa[:, None], kappa[None, :], float(n_k.sum()), mu, beta, dim) * n_k
-    p = p / p.sum(1, keepdims=True)
+def cumulated(weight: np.ndarray) -> np.ndarray:
+    """Rows of weights to cumulated shares, the last 1; shares of at most 1e-10 are dropped."""
+    p = weight / weight.sum(1, keepdims=True)
     p[p <= 1e-10] = 0
     c = p.cumsum(1)
     return c / c[:, -1:]
 
 
+def drawn_class(steps: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The first place at which the cumulated shares reach u; beyond the last, the last."""
+    return np.minimum(np.searchsorted(steps, u), len(steps) - 1)
+
+
+def draw_neighbours(vertices: DataFrame, k: np.ndarray, cdf: np.ndarray) -> DataFrame:
+    """vertices (vid, k, u) to (vid, k2): a neighbour's class for each; cdf has a row and a column for each class k."""
+    at = {int(x): i for i, x in enumerate(k)}
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"vid": b["vid"], "k2": [int(k[drawn_class(cdf[at[c]], u)]) for c, u in zip(b["k"], b["u"], strict=True)]})
+
+    return vertices.select("vid", "k", "u").mapInPandas(run, "vid long, k2 long")
+
+
+def neighbour_cdf(k: np.ndarray, n_k: np.ndarray, kappa: np.ndarray, mu: float, beta: float, dim: int) -> np.ndarray:
+    """(class, neighbour's class) cumulated probabilities, the last 1; entries of at most 1e-10 are dropped."""
+    return cumulated(special.linked_probability(kappa[:, None], kappa[None, :], float(n_k.sum()), mu, beta, dim) * n_k)
+
+
 def class_clustering(k: np.ndarray, n_k: np.ndarray, kappa: np.ndarray, mu: float, beta: float, dim: int, rng, points: int = 600) -> np.ndarray:
     """Expected local clustering of each class of degree over 1, by Monte Carlo; 0 of others."""
     n, big_r = float(n_k.sum()), G.radius(dim, float(n_k.sum()))
     cdf, out = neighbour_cdf(k, n_k, kappa, mu, beta, dim), np.zeros(len(k))
     for i in np.flatnonzero(k > 1):
-        a, b = (np.minimum(np.searchsorted(cdf[i], rng.random(points)), len(k) - 1) for _ in range(2))
+        a, b = (drawn_class(cdf[i], rng.random(points)) for _ in range(2))
         scale = lambda x, y: big_r / (mu * x * y) ** (1 / dim)
         za, zb = (special.drawn_distance(rng.random(points), scale(kappa[i], kappa[c]), beta, dim) for c in (a, b))
         if dim == 1:
@@ -79,27 +104,29 @@ def class_clustering(k: np.ndarray, n_k: np.ndarray, kappa: np.ndarray, mu: floa
 
 
 def search_beta(evaluate, target: float, start: float, low: float, high: float, tol: float) -> float:
-    """Bracket and bisect for evaluate(beta) near target; evaluate rises with beta."""
+    """Bracket and bisect for evaluate(beta) near target; evaluate rises with beta. The beta returned is the last one that was
+    evaluated, so that what evaluate keeps belongs to it."""
     beta, lo, hi = start, low, None
     for _ in range(60):
-        got = evaluate(beta)
+        got, done = evaluate(beta), beta
         if abs(got - target) < tol:
-            break
+            return done
         if got > target:
             hi = beta
             beta = (hi + lo) / 2
             if beta < low + 0.01:
                 log.warning("beta at its lower bound")
-                beta = low + 0.01
-                evaluate(beta)
-                break
+                evaluate(low + 0.01)
+                return low + 0.01
         else:
             lo = beta
             beta = 1.5 * beta if hi is None else (hi + lo) / 2
             if beta > high:
                 log.warning("beta at its upper bound")
-                break
-    return beta
+                evaluate(high)
+                return high
+    log.warning("clustering did not converge in 60 rounds")
+    return done
 
 
 def infer_parameters(classes: DataFrame, clustering: float, dim: int = 1, beta: float | None = None, seed: int = 1, tol: float = 1e-2) -> Params:

@@ -7,6 +7,7 @@ N^2 evaluations - is the operator's own; blocks spread it evenly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def packed(vertices: DataFrame, columns: list[str], count: int, extra: list[str] | None = None) -> DataFrame:
+def packed(vertices: DataFrame, columns: list[str], count: int) -> DataFrame:
     """A row (block, and an array for each column) for each block of about BLOCK vertices."""
     blocks = max(1, -(-count // BLOCK))
     part = F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")
@@ -33,7 +34,7 @@ def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
     return a.join(b, "block_b").repartition(max(1, min(n * (n + 1) // 2, 4096)), "block_a", "block_b")
 
 
-def angles(row: dict, dim: int, a: slice | None = None) -> np.ndarray:
+def angles(row: dict, dim: int) -> np.ndarray:
     """Angular distances of all vertices of block a (rows) and b (columns)."""
     if dim == 1:
         ta, tb = np.array(row["theta_a"]), np.array(row["theta_b"])
@@ -109,6 +110,48 @@ def with_ends(edges: DataFrame, vertices: DataFrame, dim: int) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").withColumn("distance", d)
 
 
+def link_probabilities(edges: DataFrame, vertices: DataFrame, dim: int, beta: float, big_r: float, mu: float) -> DataFrame:
+    """(src, dst, p) of every edge."""
+    from horosphere.functions import geometry as G
+
+    return with_ends(edges, vertices, dim).select("src", "dst", G.probability(G.chi(F.col("distance"), F.col("ka"), F.col("kb"), dim, big_r, mu), beta).alias("p"))
+
+
+def strong_links(links: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Of links (src, dst, p): those that the model finds likely, for drawing; and (weak), the number of the others."""
+    return links.where(F.col("p") >= least), links.agg(F.count_if(F.col("p") < least).alias("weak"))
+
+
+def log_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta: float, big_r: float, mu: float, bins: int = 99, count: int | None = None) -> DataFrame:
+    """bin, n, rescaled_dist, conn_prob of the bins, even in the logarithm between the decades that bound the data, that hold a
+    pair, over all ordered pairs. A first pass over the pairs finds the bounds."""
+    from horosphere.functions import geometry as G
+
+    def ends(row):
+        x = rescaled(row, dim, big_r, mu)[upper(row)]
+        return [{"low": float(x[x > 0].min()), "high": float(x.max())}] if (x > 0).any() else []
+
+    low, high = over_pairs(vertices, dim, ends, "low double, high double", count).agg(F.min("low"), F.max("high")).first()
+    spark = vertices.sparkSession
+    if low is None:
+        return spark.createDataFrame([], "bin int, n long, rescaled_dist double, conn_prob double")
+    edge = np.logspace(math.floor(math.log10(low)), math.ceil(math.log10(high)), bins + 1)
+
+    def kernel(row):
+        x = rescaled(row, dim, big_r, mu)[upper(row)]
+        x = x[(x >= edge[0]) & (x <= edge[-1])]
+        k = np.minimum(np.searchsorted(edge, x, side="right") - 1, bins - 1)
+        n, s = np.bincount(k, minlength=bins), np.bincount(k, x, minlength=bins)
+        return [{"bin": i, "n": 2 * int(n[i]), "x": 2 * float(s[i])} for i in np.flatnonzero(n).tolist()]
+
+    every = over_pairs(vertices, dim, kernel, "bin int, n long, x double", count).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    chi = G.chi(F.col("distance"), F.col("ka"), F.col("kb"), dim, big_r, mu)
+    steps = F.array(*(F.lit(float(v)) for v in edge))
+    at = F.least(F.lit(bins - 1), F.size(F.filter(steps, lambda v: v <= F.col("chi"))) - 1)
+    linked = with_ends(edges, vertices, dim).select(chi.alias("chi")).where(F.col("chi") >= float(edge[0])).groupBy(at.cast("int").alias("bin")).agg((2 * F.sum("chi")).alias("l"))
+    return every.join(linked, "bin", "left").select("bin", "n", (F.col("x") / F.col("n")).alias("rescaled_dist"), (F.coalesce("l", F.lit(0.0)) / F.col("x")).alias("conn_prob"))
+
+
 def connection_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta: float, big_r: float, mu: float, count: int | None = None) -> DataFrame:
     """bin, n, mean rescaled distance, share of linked pairs, and the model's: 801 bins of 0.05 decades from 10^-20."""
     from horosphere.functions import geometry as G
@@ -127,16 +170,32 @@ def connection_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta:
     return every.join(linked, "bin", "left").select("bin", "n", mean.alias("rescaled_dist"), (F.coalesce("linked", F.lit(0)) / F.col("n")).alias("inf_conn_prob"), G.probability(mean, beta).alias("th_conn_prob"))
 
 
-def simulate(vertices: DataFrame, dim: int, beta: float, big_r: float, mu: float, graphs: int = 1, seed: int = 1, count: int | None = None) -> DataFrame:
-    """(g, src, dst): graphs drawn from the model, every pair by its own probability; reproducible from the seed and ids."""
+def portable(salt: int) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """Uniforms of pairs (graph, lesser vid, greater vid) that any engine with MD5 gives alike; see geometry.uniform."""
+
+    def uniform(g: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        import hashlib
+
+        return np.array([int(hashlib.md5(f"{g}-{a}-{b}:{salt}".encode()).hexdigest()[:8], 16) / 4294967296.0 for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+
+    return uniform
+
+
+def simulate(vertices: DataFrame, dim: int, beta: float, big_r: float, mu: float, graphs: int = 1, seed: int = 1, count: int | None = None, uniform: Callable | None = None) -> DataFrame:
+    """(g, src, dst): graphs drawn from the model, every pair by its own probability; reproducible from the seed and ids, or
+    from uniform(g, src, dst), which is asked a row of pairs at a time."""
 
     def kernel(row):
         p, use = 1 / (1 + rescaled(row, dim, big_r, mu) ** beta), upper(row)
         a, b = np.array(row["vid_a"]), np.array(row["vid_b"])
         out = []
         for g in range(graphs):
-            r = np.random.default_rng([seed, g, row["block_a"], row["block_b"]])
-            i, j = np.nonzero((r.random(p.shape) < p) & use)
+            if uniform is None:
+                i, j = np.nonzero((np.random.default_rng([seed, g, row["block_a"], row["block_b"]]).random(p.shape) < p) & use)
+            else:
+                i, j = np.nonzero(use)
+                hit = uniform(g, np.minimum(a[i], b[j]), np.maximum(a[i], b[j])) < p[i, j]
+                i, j = i[hit], j[hit]
             out += [{"g": g, "src": min(x, y), "dst": max(x, y)} for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)]
         return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from horosphere.functions import geometry as G
 from horosphere.operators import graph
+from horosphere.operators.ordered import numbered
 from horosphere.sources.shared import stored
 
 #: Edges up to which shortest paths are searched in memory, the graph going to every executor; beyond, by joins.
@@ -20,10 +21,10 @@ UNITED = 40
 def sample_runs(vertices: DataFrame, runs: int, seed: int = 1) -> DataFrame:
     """(run, s, t) with s <> t, uniform over the vertices."""
     spark, n = vertices.sparkSession, vertices.count()
-    numbered = spark.createDataFrame(vertices.select("vid").rdd.map(lambda r: r.vid).sortBy(lambda v: v).zipWithIndex(), "vid long, i long")
+    ids = numbered(vertices.select("vid"), ["vid"], "i")
     pick = spark.range(runs).select(F.col("id").alias("run"), F.floor(G.uniform(F.col("id"), seed) * n).cast("long").alias("a"), F.floor(G.uniform(F.col("id"), seed + 1) * (n - 1)).cast("long").alias("b"))
     pick = pick.withColumn("b", (F.col("a") + 1 + F.col("b")) % n)
-    return pick.join(numbered.toDF("s", "a"), "a").join(numbered.toDF("t", "b"), "b").select("run", "s", "t")
+    return pick.join(ids.toDF("s", "a"), "a").join(ids.toDF("t", "b"), "b").select("run", "s", "t")
 
 
 def _distance(dim: int, a: str, b: str):

@@ -7,15 +7,18 @@ runs on it with surrogate places: kappa is the degree, theta 2 pi times a portab
 from __future__ import annotations
 
 import math
+import uuid
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horosphere.functions import geometry as G
 from horosphere.functions import special
-from horosphere.operators import graph, pairs, routing, validate
+from horosphere.operators import align, embed, generate, graph, infer, ordered, pairs, routing, validate
 from horosphere.operators.infer import Params
-from horosphere.sources.shared import stored
+from horosphere.sources.shared import shared_dir, stored
 
 BETA, PI = 2.5, math.pi
 
@@ -93,8 +96,9 @@ def edges_canonical(spark, sf):
 @query("SELECT count(*) AS loops FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey = b.l_partkey")
 def self_loop_filter(spark, sf):
     x = spark.read.parquet(f"{sf}/lineitem.parquet")
-    a = x.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("p"))
-    return a.join(x.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"]).where("p = l_partkey").agg(F.count("*").alias("loops"))
+    a = x.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    both = a.join(x.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), ["l_orderkey", "l_linenumber"])
+    return graph.self_loops(both).agg(F.count("*").alias("loops"))
 
 
 @query("WITH x AS (SELECT c_name AS name, min(o_orderkey) AS line FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name) SELECT row_number() OVER (ORDER BY line, name) - 1 AS vid, name FROM x")
@@ -180,10 +184,9 @@ def leaf_neighbors(spark, sf):
 
 @query("SELECT c_name AS name, row_number() OVER (ORDER BY strlen(c_name), c_name) AS rank FROM customer")
 def name_ordering(spark, sf):
-    from horosphere.sources.text import by_name
+    from horosphere.sources.text import name_order
 
-    ordered = by_name(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("name")))
-    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[0].name, x[1] + 1)), "name string, rank long")
+    return ordered.numbered(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("name")), name_order(), "rank", 1).select("name", "rank")
 
 
 @query(f"WITH {E_SQL}{V_SQL} SELECT src, dst, round(distance, 6) AS distance FROM ends")
@@ -266,17 +269,19 @@ def expected_degree(spark, sf):
 _NODES = 400
 
 
+def _classes(e) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees and numbers of vertices of the degree classes, on the driver: a row a class, whatever the graph's size."""
+    rows = sorted(map(tuple, graph.degrees(e).groupBy("degree").agg(F.count("*").alias("n_k")).collect()))
+    return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+
+
 @query(f"WITH {E_SQL}{V_SQL}, c AS (SELECT degree AS k, count(*) AS n_k FROM deg GROUP BY degree), p AS (SELECT a.k AS k, b.k AS k2, b.n_k - (a.k = b.k)::INT AS w, (SELECT avg(1 / (1 + ((n / (2 * mu * a.k * b.k)) * ((u + 0.5) / {_NODES})) ** 2.5)) FROM range({_NODES}) t(u)) AS p FROM c a CROSS JOIN c b CROSS JOIN par) SELECT k AS degree, round(sum(w * p), 5) AS exp_deg FROM p GROUP BY k")
 def expected_degree_by_class(spark, sf):
     """By the midpoint sum, so that SQL evaluates the same; classes are few, one row each."""
     e, _, p = model(spark, sf)
-    c = graph.degrees(e).groupBy(F.col("degree").alias("k")).agg(F.count("*").alias("n_k"))
-    # every class meets every class; each is one row, whatever the graph's size
-    both = c.withColumn("one", F.lit(1)).join(c.select(F.col("k").alias("k2"), F.col("n_k").alias("n2")).withColumn("one", F.lit(1)), "one")
-    x = F.lit(float(p.n)) / (2 * p.mu * F.col("k") * F.col("k2"))
-    mean = F.aggregate(F.sequence(F.lit(0), F.lit(_NODES - 1)), F.lit(0.0), lambda s, u: s + 1 / (1 + F.pow(x * ((u + 0.5) / _NODES), F.lit(BETA)))) / _NODES
-    w = F.col("n2") - (F.col("k") == F.col("k2")).cast("int")
-    return both.select("k", (w * mean).alias("x")).groupBy(F.col("k").alias("degree")).agg(F.round(F.sum("x"), 5).alias("exp_deg"))
+    k, n_k = _classes(e)
+    exp = infer.class_degrees(k, n_k, p.mu, BETA, 1, integral=partial(special.midpoint_probability, nodes=_NODES))
+    return spark.createDataFrame([(int(a), float(b)) for a, b in zip(k, exp, strict=True)], "degree long, exp_deg double").select("degree", F.round("exp_deg", 5).alias("exp_deg"))
 
 
 _LL = f"WITH {E_SQL}{V_SQL}, t AS (SELECT i, j, -ln(1 + greatest(chi, 1e-300) ** -2.5) AS x FROM pr UNION ALL SELECT src, dst, -2.5 * ln(greatest(big_r * distance / (mu * ka * kb), 1e-300)) FROM ends CROSS JOIN par)"
@@ -294,25 +299,19 @@ def loglikelihood_total(spark, sf):
     return pairs.vertex_log_likelihood(v, e, 1, BETA, p.big_r, p.mu, p.n).agg(F.round(F.sum("ll") / 2, 2).alias("ll"))
 
 
-def _circular(spark, sf):
-    e, v, p = model(spark, sf)
-    w = 1 / (F.col("kappa") * F.col("kappa"))
-    near = graph.adjacency(e).join(v.withColumnRenamed("vid", "u"), "u")
-    return near, near.groupBy("v").agg(F.sum(w * F.sin("theta")).alias("s"), F.sum(w * F.cos("theta")).alias("c")).select(F.col("v").alias("vid"), G.wrap(F.atan2("s", "c")).alias("mean"))
-
-
 _MEAN = f"WITH {E_SQL}{V_SQL}, m AS (SELECT v AS vid, atan2(sum(sin(theta) / (kappa * kappa)), sum(cos(theta) / (kappa * kappa))) AS a FROM adj JOIN vx ON u = vid GROUP BY v), w AS (SELECT vid, CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END AS mean FROM m)"
 
 
 @query(f"{_MEAN} SELECT vid, round(mean, 6) AS mean FROM w")
 def weighted_circular_mean(spark, sf):
-    return _circular(spark, sf)[1].select("vid", r6(F.col("mean"), "mean"))
+    e, v, _ = model(spark, sf)
+    return embed.neighbour_centres(v, e).select("vid", r6(F.col("mean"), "mean"))
 
 
 @query(f"{_MEAN} SELECT w.vid, round(greatest(pi(), max(pi() - abs(pi() - abs(mean - theta)))) / 2, 6) AS deviation FROM w JOIN adj ON w.vid = adj.v JOIN vx ON adj.u = vx.vid GROUP BY w.vid")
 def max_neighbor_deviation(spark, sf):
-    near, mean = _circular(spark, sf)
-    return near.join(mean.withColumnRenamed("vid", "v"), "v").groupBy(F.col("v").alias("vid")).agg(r6(F.greatest(F.lit(PI), F.max(G.circular_distance(F.col("mean"), F.col("theta")))) / 2, "deviation"))
+    e, v, _ = model(spark, sf)
+    return embed.neighbour_centres(v, e).select("vid", r6(F.col("deviation"), "deviation"))
 
 
 @query(f"WITH {E_SQL}{V_SQL}, b AS (SELECT i, j, chi, CASE WHEN chi > 0 THEN least(800, greatest(0, ceil((log10(chi) + 20) / 0.05)))::INT ELSE 0 END AS bin FROM pr) SELECT bin, count(*) AS n, round(avg(chi), 4) AS rescaled_dist, round(avg((src IS NOT NULL)::INT), 6) AS inf_conn_prob, round(1 / (1 + avg(chi) ** 2.5), 6) AS th_conn_prob FROM b LEFT JOIN e ON i = src AND j = dst GROUP BY bin")
@@ -324,9 +323,7 @@ def pconn_histogram(spark, sf):
 
 @query(f"WITH {E_SQL}{V_SQL}, b AS (SELECT least(24, floor(theta / (2 * pi() / 25)))::BIGINT AS bin, count(*) AS n FROM vx GROUP BY 1) SELECT i AS bin, coalesce(b.n, 0) AS n, round((i + 0.5) * 2 * pi() / 25, 6) AS theta, round(coalesce(b.n, 0) / par.n, 6) AS inf_density, 0.04::DOUBLE AS th_density FROM range(25) t(i) LEFT JOIN b ON i = bin CROSS JOIN par")
 def theta_density(spark, sf):
-    from horosphere.operators.embed import theta_density as density
-
-    x = density(model(spark, sf)[1])
+    x = embed.theta_density(model(spark, sf)[1])
     return x.select("bin", "n", r6(F.col("theta"), "theta"), r6(F.col("inf_density"), "inf_density"), "th_density")
 
 
@@ -355,48 +352,33 @@ def hyperbolic_distance(spark, sf):
 _CDF = f"WITH {E_SQL}, c AS (SELECT degree AS k, count(*) AS n_k FROM deg GROUP BY degree), m AS (SELECT sum(k * n_k)::DOUBLE AS m FROM c), f AS (SELECT a.k, b.k AS k2, sum(b.k * b.n_k / m) OVER (PARTITION BY a.k ORDER BY b.k) AS hi FROM c a CROSS JOIN c b CROSS JOIN m WHERE a.k >= 2)"
 
 
-def _cdf(e):
-    """P(neighbour's class) of the uncorrelated graph, cumulated; a row for each pair of classes."""
-    c = graph.degrees(e).groupBy(F.col("degree").alias("k")).agg(F.count("*").alias("n_k")).withColumn("one", F.lit(1))
-    m = c.groupBy("one").agg(F.sum(F.col("k") * F.col("n_k")).cast("double").alias("m"))
-    x = c.where("k >= 2").select("k", "one").join(c.select(F.col("k").alias("k2"), F.col("n_k").alias("n2"), "one"), "one").join(m, "one")
-    w = Window.partitionBy("k").orderBy("k2").rowsBetween(Window.unboundedPreceding, 0)
-    return x.select("k", "k2", F.sum(F.col("k2") * F.col("n2") / F.col("m")).over(w).alias("hi"))
+def _cdf(e) -> tuple[np.ndarray, np.ndarray]:
+    """The classes, and the cumulated shares of a neighbour's class in the uncorrelated graph."""
+    k, n_k = _classes(e)
+    return k, infer.cumulated(np.outer(np.ones(len(k)), k * n_k))
 
 
 @query(f"{_CDF} SELECT k, k2, round(hi, 6) AS hi FROM f")
 def conditional_cdf(spark, sf):
-    return _cdf(edges(spark, sf)).select("k", "k2", r6(F.col("hi"), "hi"))
+    k, cdf = _cdf(edges(spark, sf))
+    rows = [(int(a), int(b), float(cdf[i, j])) for i, a in enumerate(k) if a >= 2 for j, b in enumerate(k)]
+    return spark.createDataFrame(rows, "k long, k2 long, hi double").select("k", "k2", r6(F.col("hi"), "hi"))
 
 
 @query(f"{_CDF}, u AS (SELECT vid, degree AS k, {_uniform('vid', 2)} AS u FROM deg WHERE degree >= 2) SELECT vid, coalesce(min(CASE WHEN hi >= u THEN k2 END), max(k2)) AS k2 FROM u JOIN f USING (k) GROUP BY vid")
 def cdf_lookup(spark, sf):
     """The least class whose cumulated probability reaches a uniform; beyond the last, the last."""
     e = stored(edges(spark, sf), "edges")
-    table = _cdf(e).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("k2", "hi"))).alias("steps"))  # as many entries as there are classes
-    x = graph.degrees(e).where("degree >= 2").select("vid", F.col("degree").alias("k"), G.uniform(F.col("vid"), 2).alias("u")).join(table, "k")
-    return x.select("vid", F.coalesce(F.filter("steps", lambda s: s["hi"] >= F.col("u"))[0]["k2"], F.element_at("steps", -1)["k2"]).alias("k2"))
+    k, cdf = _cdf(e)
+    return infer.draw_neighbours(graph.degrees(e).where("degree >= 2").select("vid", F.col("degree").alias("k"), G.uniform(F.col("vid"), 2).alias("u")), k, cdf)
 
 
 @query(f"WITH {E_SQL}{V_SQL}, o AS (SELECT vid, theta, coalesce(lag(theta) OVER (ORDER BY theta, vid), last_value(theta) OVER (ORDER BY theta, vid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before, row_number() OVER (ORDER BY theta, vid) AS i FROM vx), g AS (SELECT *, pi() - abs(pi() - abs(theta - before)) AS gap FROM o) SELECT vid, round(gap, 6) AS gap, round(sum(gap) OVER (ORDER BY i) * 2 * pi() / sum(gap) OVER (), 6) AS running FROM g")
 def gap_lag_running_theta(spark, sf):
     """Gaps along the circle and their running sum, a prefix sum over ranges of theta."""
-    v = model(spark, sf)[1]
-    n = 16
-    part = F.least(F.lit(n - 1), F.floor(F.col("theta") / (2 * PI) * n)).cast("int")
-    x = stored(v.select("vid", "theta", part.alias("part")), "circle")
-    edge = x.groupBy("part").agg(F.max("theta").alias("last")).orderBy("part").collect()  # a row for each of n ranges
-    before = {r.part: edge[i - 1].last for i, r in enumerate(edge)}
-    first = F.create_map(*(F.lit(y) for kv in before.items() for y in kv))[F.col("part")]
-    w = Window.partitionBy("part").orderBy("theta", "vid")
-    g = stored(x.withColumn("gap", G.circular_distance(F.col("theta"), F.coalesce(F.lag("theta").over(w), first))), "gaps")
-    sums = sorted((r.part, r.s) for r in g.groupBy("part").agg(F.sum("gap").alias("s")).collect())
-    offsets, total = {}, 0.0
-    for k, s in sums:
-        offsets[k], total = total, total + s
-    base = F.create_map(*(F.lit(y) for kv in offsets.items() for y in kv))[F.col("part")]
-    run = (base + F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))) * (2 * PI) / F.lit(total)
-    return g.select("vid", r6(F.col("gap"), "gap"), r6(run, "running"))
+    gaps = embed.lagged_gaps(model(spark, sf)[1].select("vid", "theta"), ["theta", "vid"], "theta")
+    got = embed.spread_angles(gaps.select("vid", F.col("theta").alias("was"), "gap"), ["was", "vid"], "gap")
+    return got.select("vid", r6(F.col("gap"), "gap"), r6(F.col("running"), "running"))
 
 
 _HEAT = f"WITH {E_SQL}{V_SQL}, c AS (SELECT src, dst, 2 * sin(distance / 2) AS l FROM ends), h AS (SELECT src, dst, exp(-l * l / (SELECT avg(l * l) FROM c)) AS w FROM c)"
@@ -404,8 +386,7 @@ _HEAT = f"WITH {E_SQL}{V_SQL}, c AS (SELECT src, dst, 2 * sin(distance / 2) AS l
 
 def _heat(spark, sf):
     e, v, _ = model(spark, sf)
-    c = stored(pairs.with_ends(e, v, 1).select("src", "dst", F.pow(G.chord(F.col("distance")), 2).alias("c2")), "chords")
-    return c.select("src", "dst", F.exp(-F.col("c2") / F.lit(c.agg(F.avg("c2")).first()[0])).alias("w"))
+    return embed.heat_kernel(pairs.with_ends(e, v, 1).select("src", "dst", F.col("distance").alias("d")))
 
 
 @query(f"{_HEAT} SELECT src, dst, round(w, 6) AS w FROM h")
@@ -415,21 +396,14 @@ def heat_kernel_weights(spark, sf):
 
 @query(f"{_HEAT}, b AS (SELECT src AS i, dst AS j, w FROM h UNION ALL SELECT dst, src, w FROM h), s AS (SELECT i, sum(w) AS s FROM b GROUP BY i) SELECT i, j, round(-w / s, 6) AS l FROM b JOIN s USING (i) UNION ALL SELECT i, i, 1.0 FROM s")
 def laplacian_rows(spark, sf):
-    h = _heat(spark, sf)
-    b = h.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w").unionByName(h.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
-    s = b.groupBy("i").agg(F.sum("w").alias("s"))
-    return b.join(s, "i").select("i", "j", r6(-F.col("w") / F.col("s"), "l")).unionByName(s.select("i", F.col("i").alias("j"), F.lit(1.0).alias("l")))
+    return embed.laplacian(_heat(spark, sf)).select("i", "j", r6(F.col("l"), "l"))
 
 
 def _portable_graphs(spark, sf, graphs):
     """Graphs of the model over customers' nations: 25 vertices, each pair drawn by a portable uniform."""
     v = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("vid"), (F.lit(3.0) + F.col("n_regionkey")).alias("kappa"), (F.lit(2 * PI) * G.uniform(F.col("n_nationkey"), 1)).alias("theta"))
     mu, big_r = G.density(1, BETA, 5.0), G.radius(1, 25)
-    a, b = v.toDF("i", "ka", "ta"), v.toDF("j", "kb", "tb")
-    x = a.join(b, F.col("i") < F.col("j")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(graphs - 1))))
-    p = G.probability(G.chi(G.circular_distance(F.col("ta"), F.col("tb")), F.col("ka"), F.col("kb"), 1, big_r, mu), BETA)
-    u = G.uniform(F.concat_ws("-", "g", "i", "j"), 3)
-    return x.where(u < p).select("g", F.col("i").alias("src"), F.col("j").alias("dst"))
+    return pairs.simulate(v, 1, BETA, big_r, mu, graphs, count=25, uniform=pairs.portable(3))
 
 
 _GRAPHS = f"""nv AS (SELECT n_nationkey::BIGINT AS vid, 3.0::DOUBLE + n_regionkey AS kappa, 2 * pi() * {_uniform('n_nationkey', 1)} AS theta FROM nation),
@@ -498,8 +472,8 @@ def powerlaw_kappas(spark, sf):
 
 @query(f"WITH {E_SQL}, m AS (SELECT count(*) AS n, avg(exp(-degree::DOUBLE)) AS m FROM deg) SELECT n, round(m, 6) AS m, round(n * m / (1 - m))::BIGINT AS extra FROM m")
 def zero_degree_fix(spark, sf):
-    m = graph.degrees(edges(spark, sf)).agg(F.count("*").alias("n"), F.avg(F.exp(-F.col("degree").cast("double"))).alias("m"))
-    return m.select("n", r6(F.col("m"), "m"), F.round(F.col("n") * F.col("m") / (1 - F.col("m"))).cast("long").alias("extra"))
+    m = generate.isolated(graph.degrees(edges(spark, sf)).select(F.col("degree").cast("double").alias("kappa")))
+    return m.select("n", r6(F.col("m"), "m"), "extra")
 
 
 @query(f"WITH x AS (SELECT n_nationkey AS vid, c, CASE WHEN c = 0 THEN 0.5 ELSE {_uniform("(n_nationkey || '-' || c)", 5)} END AS ll FROM nation CROSS JOIN range(20) t(c)) SELECT vid, c AS best, round(ll, 6) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY ll DESC, c) AS k FROM x) WHERE k = 1")
@@ -507,23 +481,69 @@ def argmax_candidate(spark, sf):
     """The best of candidates, the present place (candidate 0) winning ties."""
     x = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("vid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("c"))
     x = x.withColumn("ll", F.when(F.col("c") == 0, F.lit(0.5)).otherwise(G.uniform(F.concat_ws("-", "vid", "c"), 5)))
-    return x.groupBy("vid").agg(F.max(F.struct("ll", (-F.col("c")).alias("c"))).alias("b")).select("vid", (-F.col("b.c")).alias("best"), r6(F.col("b.ll"), "ll"))
+    return embed.best_candidates(x).select("vid", "best", r6(F.col("ll"), "ll"))
+
+
+_TRIES = 8
+
+
+@query(f"WITH {E_SQL}{V_SQL}, c AS (SELECT vid, kappa, c, CASE WHEN c = 0 THEN theta ELSE 2 * pi() * {_uniform("(vid || '-' || c)", 5)} END AS th FROM vx CROSS JOIN range({_TRIES}) t(c)), "
+       "x AS (SELECT c.vid, c, b.vid AS u, greatest(big_r * (pi() - abs(pi() - abs(th - b.theta))) / (mu * c.kappa * b.kappa), 1e-12) AS x FROM c JOIN vx b ON c.vid <> b.vid CROSS JOIN par), "
+       "s AS (SELECT x.vid, c, sum(-ln(1 + x ** -2.5) - CASE WHEN adj.u IS NULL THEN 0 ELSE 2.5 * ln(x) END) AS ll FROM x LEFT JOIN adj ON x.vid = adj.v AND x.u = adj.u GROUP BY x.vid, c) "
+       "SELECT vid, c AS best, round(ll, 3) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY ll DESC, c) AS k FROM s) WHERE k = 1")
+def refine_candidates(spark, sf):
+    """For every vertex the likeliest of its place and other candidates, all others at theirs."""
+    e, v, p = model(spark, sf)
+    c = v.select("vid", "theta", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_TRIES - 1).cast("long"))).alias("c"))
+    c = c.select("vid", "c", F.when(F.col("c") == 0, F.col("theta")).otherwise(F.lit(2 * PI) * G.uniform(F.concat_ws("-", "vid", "c"), 5)).alias("theta"))
+    return embed.best_candidates(embed.score_places(v, e, c, p)).select("vid", "best", F.round("ll", 3).alias("ll"))
 
 
 @query("WITH x AS (SELECT vec_id, list_transform(embedding[1:3], lambda t: t::DOUBLE) AS v FROM embeddings), y AS (SELECT vec_id, v, k, k * 2 * pi() / 49 AS t FROM x CROSS JOIN range(50) r(k)), z AS (SELECT k, v, [v[1], cos(t) * v[2] - sin(t) * v[3], sin(t) * v[2] + cos(t) * v[3]] AS w FROM y) SELECT k, round(avg(acos(least(1.0, greatest(-1.0, list_dot_product(v, w) / list_dot_product(v, v))))), 5) AS distance FROM z GROUP BY k")
 def mean_angular_distance(spark, sf):
     """Of a point set and its spins about the first axis, by candidate."""
-    x = _three(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")))).withColumn("t", F.col("k") * (2 * PI / 49))
-    v = F.col("v")
-    w = F.array(v[0], F.cos("t") * v[1] - F.sin("t") * v[2], F.sin("t") * v[1] + F.cos("t") * v[2])
-    return x.groupBy("k").agg(F.round(F.avg(F.acos(G.clamped(G.dot(v, w) / G.dot(v, v)))), 5).alias("distance"))
+    turns = np.array([align.spin(3, 1, 2, t) for t in np.linspace(0, 2 * PI, 50)])
+    return align.mean_distances(_three(spark, sf).select(F.col("v").alias("real"), F.col("v").alias("inf")), turns).select("k", F.round("distance", 5).alias("distance"))
 
 
-@query()
+_ONION = f"""WITH RECURSIVE {E_SQL}, r(layer, core, vid, gone) AS (
+  SELECT 0::BIGINT, 0::BIGINT, vid, FALSE FROM deg
+  UNION ALL
+  SELECT layer + 1, greatest(core, m), vid, k <= greatest(core, m) FROM (
+    SELECT l.layer, l.core, l.vid, count(n.vid) AS k, min(count(n.vid)) OVER () AS m
+    FROM r l JOIN adj ON adj.v = l.vid LEFT JOIN (SELECT vid FROM r WHERE NOT gone) n ON adj.u = n.vid WHERE NOT l.gone GROUP BY l.layer, l.core, l.vid))"""
+
+
+@query(f"{_ONION} SELECT vid, core AS coreness, layer FROM r WHERE gone")
 def coreness_onion(spark, sf):
     return graph.onion(stored(edges(spark, sf), "edges"))
 
 
+@query(f"{_ONION} SELECT vid, row_number() OVER (ORDER BY layer DESC, {_uniform('vid', 6)}, vid) - 1 AS place FROM r WHERE gone")
+def visiting_order(spark, sf):
+    return graph.visiting_order(graph.onion(stored(edges(spark, sf), "edges")), 6)
+
+
+_GIANT = f"{_REACH}, big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component DESC LIMIT 1), ge AS (SELECT src, dst FROM e JOIN comp ON src = vid JOIN big USING (component)), ga AS (SELECT src AS v, dst AS u FROM ge UNION ALL SELECT dst, src FROM ge)"
+
+
+def _route_sql(modified: bool) -> str:
+    """Runs as rows; every step, the neighbour of the least (distance to the target, vid)."""
+    d = "CASE WHEN {0}.theta = t.theta THEN abs({0}.r - t.r) ELSE acosh(greatest(1.0, ((1 - cos(pi() - abs(pi() - abs({0}.theta - t.theta)))) * cosh({0}.r + t.r) + (1 + cos(pi() - abs(pi() - abs({0}.theta - t.theta)))) * cosh({0}.r - t.r)) / 2)) END"
+    stuck = "m.u = cur_prev" if modified else "m.d >= best"
+    return f"""{_GIANT}{V_SQL}, {_HR}, gi AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT v AS vid FROM ga)),
+rn AS (SELECT i AS run, floor({_uniform('i', 1)} * n)::BIGINT AS a, floor({_uniform('i', 2)} * (n - 1))::BIGINT AS b, n FROM range((SELECT 10 * count(*) FROM gi)) q(i) CROSS JOIN (SELECT count(*) AS n FROM gi)),
+runs AS (SELECT run, x.vid AS s, y.vid AS t FROM rn JOIN gi x ON rn.a = x.i JOIN gi y ON (rn.a + 1 + rn.b) % rn.n = y.i),
+w(run, s, t, cur, prev, hops, best, status) AS (
+  SELECT run, s, t.vid, s, -1::BIGINT, 0::BIGINT, {d.format('c')}, 'on' FROM runs JOIN hr c ON s = c.vid JOIN hr t ON runs.t = t.vid
+  UNION ALL
+  SELECT run, s, t, m.u, cur, hops + CASE WHEN m.u <> t AND {stuck} THEN 0 ELSE 1 END, m.d, CASE WHEN m.u = t THEN 'arrived' WHEN {stuck} THEN 'dropped' ELSE 'on' END FROM (
+    SELECT w.run, w.s, w.t, any_value(w.cur) AS cur, any_value(w.prev) AS cur_prev, any_value(w.hops) AS hops, any_value(w.best) AS best,
+      min({{'d': CASE WHEN u.vid = w.t THEN -1.0 ELSE {d.format('u')} END, 'u': u.vid}}) AS m
+    FROM w JOIN ga ON w.cur = ga.v JOIN hr u ON ga.u = u.vid JOIN hr t ON w.t = t.vid WHERE w.status = 'on' GROUP BY w.run, w.s, w.t)),
+routed AS (SELECT run, s, t, status, hops FROM w WHERE status <> 'on')"""
+
+
 def _routes(spark, sf, modified):
     e, v, _ = _radii(spark, sf)
     giant = stored(graph.giant_component(e)[0], "giant")
@@ -533,26 +553,29 @@ def _routes(spark, sf, modified):
     return giant, runs, routing.route(giant, inside, runs, 1, modified)
 
 
-@query()
+@query(f"{_route_sql(False)} SELECT run, s, t, status, hops FROM routed")
 def greedy_routing(spark, sf):
     return _routes(spark, sf, False)[2]
 
 
-@query()
+@query(f"{_route_sql(True)} SELECT run, s, t, status, hops FROM routed")
 def greedy_routing_modified(spark, sf):
     return _routes(spark, sf, True)[2]
 
 
-@query()
+# shortest paths of the runs that arrive: as they are no longer than the longest of these, walks need not be either
+@query(f"""{_route_sql(False)}, b(s, vid, l) AS (
+  SELECT DISTINCT s, s, 0::BIGINT FROM routed WHERE status = 'arrived' UNION SELECT s, u, l + 1 FROM b JOIN ga ON b.vid = ga.v WHERE l < (SELECT max(hops) FROM routed WHERE status = 'arrived')),
+short AS (SELECT s, vid AS t, min(l) AS dist FROM b GROUP BY s, vid), x AS (SELECT CASE WHEN status = 'arrived' THEN hops END AS h, CASE WHEN status = 'arrived' THEN dist END AS dist FROM routed LEFT JOIN short USING (s, t))
+SELECT round(avg((h IS NOT NULL)::INT), 6) AS p_s, round(avg(h), 6) AS mean_hop_length, round(avg(h / dist), 6) AS mean_strech, round(max(h / dist), 6) AS max_strech, round(sum(dist / h) / count(*), 6) AS gr_score FROM x""")
 def routing_summary(spark, sf):
     giant, runs, got = _routes(spark, sf, False)
-    return routing.summary(got, routing.shortest_paths(giant, runs))
+    got = routing.summary(got, routing.shortest_paths(giant, runs))
+    return got.select(*(r6(F.col(c), c) for c in got.columns))
 
 
 def _synthetic(spark, sf, dim=1, beta=2.5, seed=7):
     """A graph of the model whose hidden degrees are the degrees of the whole part graph: that itself has hardly any clustering."""
-    from horosphere.operators import generate
-
     hidden = graph.degrees(edges(spark, sf)).select("vid", F.concat(F.lit("v"), F.col("vid")).alias("name"), F.col("degree").cast("double").alias("kappa"))
     got = generate.generate(stored(hidden, "degrees"), beta * dim, dim, seed=seed)
     return got, stored(graph.giant_component(got.edges)[0], "giant")
@@ -570,29 +593,20 @@ def generate_s2(spark, sf):
 
 @query()
 def infer_kappas_class(spark, sf):
-    import numpy as np
-
-    from horosphere.operators.infer import class_kappas
-
-    rows = sorted(map(tuple, degree_classes(spark, sf).collect()))
-    k, n_k = (np.array([r[i] for r in rows], float) for i in (0, 1))
-    kappa, exp, _ = class_kappas(k, n_k, BETA, 1, np.random.default_rng(1))
+    k, n_k = _classes(edges(spark, sf))
+    kappa, exp, _ = infer.class_kappas(k, n_k, BETA, 1, np.random.default_rng(1))
     return spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(k, kappa, exp, strict=True)], "degree long, kappa double, exp_deg double")
 
 
 @query()
 def infer_beta(spark, sf):
-    from horosphere.operators.infer import infer_parameters
-
     props = stored(graph.properties(_synthetic(spark, sf)[1]), "properties")
-    p = infer_parameters(graph.class_spectra(props), props.where("degree > 1").agg(F.avg("clustering")).first()[0])
+    p = infer.infer_parameters(graph.class_spectra(props), props.where("degree > 1").agg(F.avg("clustering")).first()[0])
     return spark.createDataFrame([(p.beta, p.mu)], "beta double, mu double")
 
 
 def _embedded(spark, sf, dim, **options):
-    from horosphere.operators.embed import EmbedConfig, embed
-
-    return embed(_synthetic(spark, sf, dim=dim)[1], EmbedConfig(dim=dim, beta=2.5 * dim, **options))
+    return embed.embed(_synthetic(spark, sf, dim=dim)[1], embed.EmbedConfig(dim=dim, beta=2.5 * dim, **options))
 
 
 @query()
@@ -623,19 +637,210 @@ def embed_s2(spark, sf):
 @query()
 def align_rotation(spark, sf):
     """A point set against a turned copy of itself: the distance that the best rotation leaves."""
-    from horosphere.operators import align
-
     x = _three(spark, sf).select(F.col("vec_id").cast("string").alias("name"), "v")
     turned = x.select("name", G.apply_rows(align.euler(0.4, 1.1, 2.0).tolist(), F.col("v")).alias("inf"))
     _, _, score = align.align(x.select("name", F.col("v").alias("real")).join(turned, "name"))
     return spark.createDataFrame([(score,)], "distance double")
 
 
-@query()
-def linked_integrals(spark, sf):
-    """The model's integrals on a grid."""
-    import numpy as np
+_GRID = 2_000_000
+
 
+@query(f"""WITH x AS (SELECT unnest([0.1::DOUBLE, 1.0, 10.0, 1000.0]) AS x), u AS (SELECT (i + 0.5::DOUBLE) / {_GRID} AS u FROM range({_GRID}) t(i)),
+y AS (SELECT x, avg(1 / (1 + (x * u) ** 2.5)) AS p, 2 * avg(u / (1 + (x * u) ** 2.5)) AS d, pi() / 2 * avg(sin(pi() * u) / (1 + (x * pi() * u) ** 5)) AS p2, pi() / 2 * avg(pi() * u * sin(pi() * u) / (1 + (x * pi() * u) ** 5)) AS m2 FROM x CROSS JOIN u GROUP BY x)
+SELECT x, round(p, 6) AS p, round(d, 6) AS d, round(p2, 6) AS p2, round(m2, 6) AS m2, round(pi() / 2 * d / p, 6) AS linked FROM y""")
+def linked_integrals(spark, sf):
+    """The model's integrals on a grid: 2F1 of the circle, the class integral of the sphere and its first moment, and the
+    expected distance of linked vertices (of kappas such that the argument is x)."""
     x = np.array([0.1, 1.0, 10.0, 1000.0])
-    rows = zip(x, special.mean_probability(x, 2.5), special.mean_distance(x, 2.5), special.class_probability(x, 5.0, 2), strict=True)
-    return spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, p double, d double, p2 double")
+    linked = special.linked_distance(np.ones(4), 1 / x, 2.0, 1.0, 2.5, 1)
+    rows = zip(x, special.mean_probability(x, 2.5), special.mean_distance(x, 2.5), special.class_probability(x, 5.0, 2), special.class_probability(x, 5.0, 2, moment=1), linked, strict=True)
+    got = spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, p double, d double, p2 double, m2 double, linked double")
+    return got.select("x", *(r6(F.col(c), c) for c in got.columns[1:]))
+
+
+@query(f"WITH {E_SQL}{V_SQL} SELECT src, dst, round(p, 6) AS p FROM (SELECT src, dst, 1 / (1 + (big_r * distance / (mu * ka * kb)) ** 2.5) AS p FROM ends CROSS JOIN par) WHERE p >= 0.5")
+def strong_links(spark, sf):
+    e, v, p = model(spark, sf)
+    return pairs.strong_links(pairs.link_probabilities(e, v, 1, BETA, p.big_r, p.mu))[0].select("src", "dst", r6(F.col("p"), "p"))
+
+
+@query(f"WITH {E_SQL}{V_SQL} SELECT count(*) AS weak FROM (SELECT 1 / (1 + (big_r * distance / (mu * ka * kb)) ** 2.5) AS p FROM ends CROSS JOIN par) WHERE p < 0.5")
+def weak_links(spark, sf):
+    e, v, p = model(spark, sf)
+    return pairs.strong_links(pairs.link_probabilities(e, v, 1, BETA, p.big_r, p.mu))[1]
+
+
+@query(f"WITH {E_SQL}{V_SQL}, ends_ AS (SELECT floor(log10(min(chi) FILTER (chi > 0))) AS a, ceil(log10(max(chi))) AS z FROM pr), b AS (SELECT i, j, chi, least(98, floor((log10(chi) - a) / (z - a) * 99))::INT AS bin FROM pr CROSS JOIN ends_ WHERE chi >= 10 ** a) SELECT bin, 2 * count(*) AS n, round(avg(chi), 4) AS rescaled_dist, round(sum(CASE WHEN src IS NULL THEN 0 ELSE chi END) / sum(chi), 6) AS conn_prob FROM b LEFT JOIN e ON i = src AND j = dst GROUP BY bin")
+def log_histogram(spark, sf):
+    e, v, p = model(spark, sf)
+    h = pairs.log_histogram(v, e, 1, BETA, p.big_r, p.mu, count=p.n)
+    return h.select("bin", "n", F.round("rescaled_dist", 4).alias("rescaled_dist"), r6(F.col("conn_prob"), "conn_prob"))
+
+
+@query(f"WITH {E_SQL}{V_SQL} SELECT least(24, floor(theta / (2 * pi() / 25)))::BIGINT AS bin, count(*) AS n, round(least(24, floor(theta / (2 * pi() / 25))) * 2 * pi() / 25, 6) AS low, round(avg(theta), 6) AS theta, round(count(*) / (SELECT count(*) FROM vx), 6) AS share FROM vx GROUP BY ALL")
+def theta_histogram(spark, sf):
+    x = embed.theta_histogram(model(spark, sf)[1])
+    return x.select("bin", "n", *(r6(F.col(c), c) for c in ("low", "theta", "share")))
+
+
+_A, _B, _C = 0.4, 1.1, 2.0
+
+
+@query(f"WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), a AS (SELECT vec_id, x, cos({_A}) * y - sin({_A}) * z AS y, sin({_A}) * y + cos({_A}) * z AS z FROM x), b AS (SELECT vec_id, cos({_B}) * x + sin({_B}) * z AS x, y, -sin({_B}) * x + cos({_B}) * z AS z FROM a) SELECT b.vec_id, round(cos({_C}) * b.x - sin({_C}) * b.y, 6) AS x, round(sin({_C}) * b.x + cos({_C}) * b.y, 6) AS y, round(b.z, 6) AS z, round(x.x, 6) AS back FROM b JOIN x USING (vec_id)")
+def apply_rotation(spark, sf):
+    """A rotation on all points, and the first coordinate after its inverse."""
+    m = align.euler(_A, _B, _C)
+    turned = align.apply(_three(spark, sf).withColumn("pos", F.col("v")), m)
+    both = align.apply(turned.withColumn("back", F.col("pos")), align.inverse(m), "back")
+    return both.select("vec_id", *(r6(F.col("pos")[i], n) for i, n in enumerate("xyz")), r6(F.col("back")[0], "back"))
+
+
+@query("WITH x AS (SELECT 'v' || vec_id AS name, vec_id, label, embedding[1]::DOUBLE AS a FROM embeddings), m AS (SELECT max(label) * 50 / 100.0 AS least FROM x) SELECT x.name, round(x.a, 6) AS real, round(-x.a, 6) AS inf FROM x CROSS JOIN m WHERE label >= least AND vec_id % 3 <> 0")
+def matched_points(spark, sf):
+    """Two coordinate sets met by name, of at least half the greatest degree (here a vector's label)."""
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.concat(F.lit("v"), "vec_id").alias("name"), "vec_id", F.col("label").alias("realdeg"), F.slice("embedding", 1, 3).cast("array<double>").alias("pos"))
+    got = align.paired(x, x.where("vec_id % 3 <> 0").select("name", F.transform("pos", lambda v: -v).alias("pos")), 50)
+    return got.select("name", r6(F.col("real")[0], "real"), r6(F.col("inf")[0], "inf"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d ') || hour(ts) || strftime(ts, ':%M UTC') AS at FROM events")
+def utc_times(spark, sf):
+    from horosphere.sources import text
+
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.utc(F.col("ts")).alias("at"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _named(v):
+    return v.withColumn("name", F.concat(F.lit("p"), F.col("vid")))
+
+
+@query(f"{_GIANT} SELECT src, dst FROM ge")
+def edge_file(spark, sf):
+    """The giant component written as an edge list, read, its names numbered anew, and those brought back."""
+    from horosphere.sources import text
+
+    e = stored(graph.giant_component(stored(edges(spark, sf), "edges"))[0], "giant")
+    text.write_edges(e, _named(graph.degrees(e).select("vid")), path := _folder(spark, "edge"))
+    named = text.read_edges(spark, path)
+    v = stored(graph.dictionary(named), "dictionary")
+    back = v.select("vid", F.substring("name", 2, 20).cast("long").alias("was"))
+    got = graph.encoded(named, v).join(back.toDF("src", "a"), "src").join(back.toDF("dst", "b"), "dst")
+    return got.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
+@query(f"WITH {E_SQL}{V_SQL}, {_HR} SELECT 'p' || vid AS name, round(kappa, 6) AS kappa, round(vx.theta, 6) AS theta, round(r, 6) AS hyp_rad FROM hr JOIN vx USING (vid)")
+def coordinate_file(spark, sf):
+    from horosphere.sources import text
+
+    _, v, p = _radii(spark, sf)
+    text.write_coordinates(_named(v), path := _folder(spark, "inf_coord"), 1, BETA, p.mu)
+    return text.read_coordinates(spark, path, 1).select("name", *(r6(F.col(c), c) for c in ("kappa", "theta", "hyp_rad")))
+
+
+@query(f"WITH {E_SQL}{V_SQL} SELECT 2.5::DOUBLE AS beta, round(mu, 8) AS mu, n FROM par")
+def parameter_header(spark, sf):
+    from horosphere.sources import text
+
+    _, v, p = _radii(spark, sf)
+    text.write_coordinates(_named(v), path := _folder(spark, "inf_coord"), 1, BETA, p.mu)
+    got = text.read_parameters(spark, path)
+    return spark.createDataFrame([(got["beta"], got["mu"], got["nb. vertices"])], "beta double, mu double, n double").select("beta", F.round("mu", 8).alias("mu"), "n")
+
+
+@query(f"WITH {E_SQL}{V_SQL}, {_HR} SELECT row_number() OVER (ORDER BY vid) - 1 AS place, round(kappa, 6) AS kappa, round(vx.theta, 6) AS theta, round(r, 6) AS hyp_rad FROM hr JOIN vx USING (vid)")
+def raw_coordinate_file(spark, sf):
+    """Rows without names, in the order of ids."""
+    from horosphere.sources import text
+
+    _, v, p = _radii(spark, sf)
+    text.write_coordinates(_named(v), path := _folder(spark, "inf_coord_raw"), 1, BETA, p.mu, raw=True)
+    t = F.col("tokens")
+    return ordered.numbered(text.rows(spark, path), ["line"], "place").select("place", *(r6(t[i].cast("double"), c) for i, c in enumerate(("kappa", "theta", "hyp_rad"))))
+
+
+def _sphere(spark, sf, dim):
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, dim + 1).cast("array<double>").alias("v"))
+    return x.select(F.col("vec_id").alias("vid"), F.concat(F.lit("v"), "vec_id").alias("name"), (F.lit(1.0) + F.col("vec_id") % 7).alias("kappa"), G.hyperbolic_radius(F.lit(1.0) + F.col("vec_id") % 7, 1.0, dim, 100, 0.01).alias("hyp_rad"), G.scaled(F.col("v"), 10.0).alias("pos"))
+
+
+def _sphere_sql(dim: int) -> str:
+    big = f"(100 * {math.gamma((dim + 1) / 2)!r}::DOUBLE / (2 * pi() ** {(dim + 1) / 2})) ** (1 / {dim}.0::DOUBLE)"
+    return f"WITH x AS (SELECT vec_id, 1.0::DOUBLE + vec_id % 7 AS kappa, list_transform(embedding[1:{dim + 1}], lambda t: t::DOUBLE) AS v FROM embeddings) SELECT 'v' || vec_id AS name, round(kappa, 6) AS kappa, round(2 * ln(2 * {big} / 0.01::DOUBLE ** (1 / {dim}.0::DOUBLE)) - 2 / {dim}.0::DOUBLE * ln(kappa), 6) AS hyp_rad, " + ", ".join(f"round(v[{i + 1}] * 10 / sqrt(list_dot_product(v, v)), 6) AS x{i}" for i in range(dim + 1)) + " FROM x"
+
+
+def _sphere_file(spark, sf, dim):
+    from horosphere.sources import text
+
+    text.write_coordinates(_sphere(spark, sf, dim), path := _folder(spark, "inf_coord"), dim, 2.0 * dim, 0.01)
+    return text.read_coordinates(spark, path, dim).select("name", r6(F.col("kappa"), "kappa"), r6(F.col("hyp_rad"), "hyp_rad"), *(r6(F.col("pos")[i], f"x{i}") for i in range(dim + 1)))
+
+
+@query(_sphere_sql(2))
+def coordinate_file_s2(spark, sf):
+    return _sphere_file(spark, sf, 2)
+
+
+@query(_sphere_sql(3))
+def coordinate_file_s3(spark, sf):
+    return _sphere_file(spark, sf, 3)
+
+
+@query(f"WITH {E_SQL}{V_SQL} SELECT row_number() OVER (ORDER BY vid) - 1 AS vid, 'p' || vid AS name, round(kappa, 6) AS kappa, round(theta, 6) AS theta FROM vx")
+def hidden_file(spark, sf):
+    """Hidden variables with names and positions on the circle."""
+    from horosphere.sources import text
+
+    v = model(spark, sf)[1]
+    text.write_table(_named(v).orderBy("vid"), path := _folder(spark, "hidden"), ["name", "kappa", "theta"])
+    return text.read_hidden(spark, path, 1, names=True, positions=True).select("vid", "name", r6(F.col("kappa"), "kappa"), r6(F.col("theta"), "theta"))
+
+
+@query("WITH x AS (SELECT vec_id, 1.0::DOUBLE + vec_id % 7 AS kappa, list_transform(embedding[1:3], lambda t: t::DOUBLE) AS v FROM embeddings) SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vid, 'v' || (row_number() OVER (ORDER BY vec_id) - 1) AS name, round(kappa, 6) AS kappa, " + ", ".join(f"round(v[{i + 1}] * 10 / sqrt(list_dot_product(v, v)), 6) AS x{i}" for i in range(3)) + " FROM x")
+def hidden_file_s2(spark, sf):
+    """Without names, which then are v and the row's number, with positions on the sphere."""
+    from horosphere.sources import text
+
+    text.write_table(_sphere(spark, sf, 2).orderBy("vid"), path := _folder(spark, "hidden"), ["kappa", "pos"])
+    return text.read_hidden(spark, path, 2, names=False, positions=True).select("vid", "name", r6(F.col("kappa"), "kappa"), *(r6(F.col("pos")[i], f"x{i}") for i in range(3)))
+
+
+@query("SELECT 'v' || vec_id AS name, round(embedding[1]::DOUBLE, 6) AS x, coalesce(b.label, (SELECT max_by(label, vec_id) FROM embeddings WHERE vec_id < 300)) AS label FROM embeddings a LEFT JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id < 300) b USING (vec_id)")
+def label_merge(spark, sf):
+    """Coordinates and labels by place: row i of the labels belongs to vertex v<i>, the last row to all beyond."""
+    from horosphere.sources import text
+
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("pos"), F.col("label").cast("long").alias("label"))
+    text.write_table(x.where("vec_id < 300").orderBy("vec_id"), path := _folder(spark, "labels"), ["pos", "label"])
+    got = text.with_labels(x.select(F.concat(F.lit("v"), "vec_id").alias("name"), "pos"), text.read_labels(spark, path))
+    return got.select("name", r6(F.col("pos")[0], "x"), F.col("label").cast("int").alias("label"))
+
+
+def _through_file(name: str, columns: list[str]):
+    """The named query's table written and read again."""
+
+    def run(spark, sf):
+        from horosphere.sources import text
+
+        x = _Q[name](spark, sf).select(*columns)
+        text.write_table(x, path := _folder(spark, name), header="")
+        kinds = dict(x.dtypes)
+        return text.rows(spark, path).select(*(F.col("tokens")[i].cast(kinds[c]).alias(c) for i, c in enumerate(columns)))
+
+    return run
+
+
+for _file, _of, _columns in (
+    ("connection_file", "pconn_histogram", ["rescaled_dist", "inf_conn_prob", "th_conn_prob"]),
+    ("theta_density_file", "theta_density", ["theta", "inf_density", "th_density"]),
+    ("vertex_statistics_file", "ensemble_vertex_stats", ["vid", *(f"{p}_{c}" for c in _COLS for p in ("avg", "std"))]),
+    ("class_statistics_file", "ensemble_class_stats", ["degree", *(f"{p}_{c}" for c in ("deg_dist", *_COLS[1:]) for p in ("avg", "std"))]),
+    ("observed_statistics_file", "degree_distribution_ccdf", ["degree", "deg_dist", "ccdf"]),
+    ("kappa_file", "powerlaw_kappas", ["kappa"]),
+):
+    _Q[_file] = _through_file(_of, _columns)
+    _S[_file] = f"SELECT {', '.join(_columns)} FROM ({_S[_of]})"
