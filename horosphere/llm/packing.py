@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.llm.common import map_arrow, small_batches, table, texts
+from horosphere.llm.simple8b import with_end
 
 GROUP = 16384
 
@@ -97,18 +98,18 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from horosphere.llm.tokens import encoder
 
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, got in zip(b.column(0).to_pylist(), encoder(vocabulary).encode(b.column(1).to_pylist()), strict=True):
-                got += end
-                n = len(got) // 4
-                first = n % capacity or min(n, capacity)
-                for k, start in enumerate([0, *range(first, n, capacity)]):
-                    length = capacity if k else first
-                    for to, x in zip(rows, (doc, k, start, length, zlib.crc32(got[4 * start : 4 * (start + length)])), strict=True):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, n = with_end(*encoder(vocabulary).column(b.column(1)), end_id)
+            first = np.where(n % capacity > 0, n % capacity, np.minimum(n, capacity))
+            count = 1 + (n - first) // capacity
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            length = np.where(piece > 0, capacity, first[row])
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            at = (4 * (np.cumsum(length) - length)).tolist()
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(raw[i : i + 4 * k]) for i, k in zip(at, length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_arrow(texts(df), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

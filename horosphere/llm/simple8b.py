@@ -6,7 +6,7 @@ which starts a new word; the file keeps every block's first word and number of i
 words of a selector at once.
 
 Edge cases: a null or empty text holds the end id alone; a null doc_id sorts first and is kept as null; equal doc_ids
-keep their rows, ordered by text; an empty table has no files and no rows; further columns are not read.
+keep their rows, ordered by a hash of the text; an empty table has no files and no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -17,70 +17,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import list_array, map_arrow, partitions, shared_dir, table, texts
+from horosphere.llm.common import list_array, map_arrow, new_path, partitions, table, texts
 
 #: Fixed values: (ids in a word, bits of each) by selector from 1.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 4096
+#: Ids after which a file ends, at the next batch's end.
+FILE_IDS = 8 << 20
 MAGIC = b"HS8B\x01\0\0\0"
 
 
+#: For each number of bits the first place in WIDTHS that holds it; len(WIDTHS): an escape.
+_CLASS = np.searchsorted([b for _, b in WIDTHS], np.arange(65)).astype(np.uint8)
+_COUNTS, _BITS = (np.array([w[i] for w in WIDTHS], np.int64) for i in (0, 1))
+#: Blocks coded at once; the first place in WIDTHS whose words hold NEAR ids at most.
+TOGETHER, NEAR = 1024, int(np.argmax(_COUNTS <= 15))
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, the first word of each block) of unsigned values of up to 64 bits; a few dozen blocks at a time."""
+    """(words, the first word of each block) of unsigned values of up to 64 bits; some hundred blocks at a time."""
     words, firsts, n = [], [], 0
-    for at in range(0, len(ids), 32 * BLOCK):
-        w, f = _encode(ids[at : at + 32 * BLOCK])
+    for at in range(0, len(ids), TOGETHER * BLOCK):
+        w, f = _encode(ids[at : at + TOGETHER * BLOCK])
         words.append(w)
         firsts.append(f + n)
         n += len(w)
     return (np.concatenate(words), np.concatenate(firsts)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _chosen(window: np.ndarray, first: int) -> np.ndarray:
+    """For rows of classes the place in WIDTHS, from first on, of the most ids that fit; len(WIDTHS) where none does."""
+    most = np.maximum.accumulate(window, axis=1)[:, _COUNTS[first:] - 1]
+    fits = most <= np.arange(first, len(WIDTHS))
+    return np.where(fits.any(axis=1), first + fits.argmax(axis=1), len(WIDTHS))
+
+
 def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks step by step together, a word of each in a step."""
     ids = np.ascontiguousarray(ids, np.uint64)
-    n = len(ids)
+    n, far = len(ids), int(_COUNTS[0])
     blocks = -(-n // BLOCK)
-    size = np.full(blocks, BLOCK)
-    if n % BLOCK:
-        size[-1] = n % BLOCK
-    end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    take, code = np.ones(n, np.int64), np.zeros(n, np.int64)
-    for s in range(len(WIDTHS), 0, -1):  # from the widest: a selector that holds more ids replaces it
-        count, bits = WIDTHS[s - 1]
-        wide = np.zeros(n + 1, np.int64)
-        np.cumsum(ids >> np.uint64(bits) != 0, out=wide[1:])
-        stop = np.minimum(np.arange(n) + count, end)  # a block's last word may hold fewer ids
-        ok = wide[stop] == wide[:-1]
-        take[ok], code[ok] = (stop - np.arange(n))[ok], s
-    at, starts, firsts, hop = 0, [], [], take.tolist()
-    while at < n:
-        if at % BLOCK == 0:
-            firsts.append(len(starts))
-        starts.append(at)
-        at += hop[at]
-    starts = np.array(starts, np.int64)
-    sel = code[starts]
-    place = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(1 + (sel == 0), out=place[1:])
-    words = np.zeros(place[-1], np.uint64)
-    for s in np.unique(sel).tolist():
-        rows = np.flatnonzero(sel == s)
-        if not s:
-            words[place[rows] + 1] = ids[starts[rows]]
-            continue
-        count, bits = WIDTHS[s - 1]
-        where = starts[rows][:, None] + np.arange(count)
-        value = np.where(where < (starts[rows] + take[starts[rows]])[:, None], ids[np.minimum(where, n - 1)], np.uint64(0))
-        words[place[rows]] = np.bitwise_or.reduce(value << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1) | np.uint64(s << 60)
-    return words, place[np.array(firsts, np.int64)] if firsts else np.zeros(0, np.int64)
-
-
-def decode(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of one block, or of several full ones and a last."""
+    high = (ids >> np.uint64(53)) > 0  # beyond what a float holds exactly: counted by their upper half
+    bits = np.frexp(np.where(high, ids >> np.uint64(32), ids).astype(np.float64))[1] + np.where(high, 32, 0)
+    classes = np.zeros((blocks, BLOCK + far), np.uint8)  # beyond a block's end any width does
+    flat = np.zeros(blocks * BLOCK, np.uint8)
+    flat[:n] = _CLASS[bits]
+    classes[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    row, at = np.arange(blocks), np.zeros(blocks, np.int64)
+    end = np.minimum(n - row * BLOCK, BLOCK)
+    starts, takes, codes = [], [], []
+    near, wide = (sliding_window_view(classes, int(c), axis=1) for c in (_COUNTS[NEAR], far))
+    while len(row):
+        code = _chosen(near[row, at], NEAR)
+        more = np.flatnonzero(code == NEAR)
+        if len(more):
+            code[more] = _chosen(wide[row[more], at[more]], 0)
+        take = np.minimum(np.where(code < len(WIDTHS), _COUNTS[np.minimum(code, len(WIDTHS) - 1)], 1), end - at)
+        starts.append(row * BLOCK + at)
+        takes.append(take)
+        codes.append(code)
+        at = at + take
+        on = at < end
+        row, at, end = row[on], at[on], end[on]
+    starts, takes, codes = (np.concatenate(x) for x in (starts, takes, codes))
+    order = np.argsort(starts, kind="stable")
+    starts, takes, codes = starts[order], takes[order], codes[order]
+    escape = codes == len(WIDTHS)
+    place = np.cumsum(1 + escape) - (1 + escape)
+    words = np.zeros(int(len(codes) + escape.sum()), np.uint64)
+    words[place[escape] + 1] = ids[starts[escape]]
+    padded = np.append(ids, np.zeros(far, np.uint64))
+    for c in np.unique(codes[~escape]).tolist():
+        rows = np.flatnonzero(codes == c)
+        count, bits_ = WIDTHS[c]
+        value = padded[starts[rows][:, None] + np.arange(count)]
+        short = np.flatnonzero(takes[rows] < count)  # a block's last word may hold fewer ids
+        if len(short):
+            value[short] = np.where(np.arange(count) < takes[rows][short][:, None], value[short], np.uint64(0))
+        value <<= np.arange(count, dtype=np.uint64) * np.uint64(bits_)
+        words[place[rows]] = np.bitwise_or.reduce(value, axis=1) | np.uint64((c + 1) << 60)
+    return words, place[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
+
+
+def decode(words: np.ndarray, n: int, firsts: np.ndarray | None = None) -> np.ndarray:
+    """The n ids of one block, or of several, whose first words firsts names."""
     if not n:
         return np.zeros(0, np.uint64)
     sel = (words >> np.uint64(60)).astype(np.int64)
@@ -101,8 +126,11 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
             out[out_at[rows]] = words[where[rows] + 1]
             continue
         count, bits = WIDTHS[s - 1]
-        mask = np.uint64((1 << bits) - 1)
-        out[out_at[rows][:, None] + np.arange(count)] = (words[where[rows]][:, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(bits))) & mask
+        shift = np.arange(count, dtype=np.uint64) * np.uint64(bits)
+        out[out_at[rows][:, None] + np.arange(count)] = (words[where[rows]][:, None] >> shift) & np.uint64((1 << bits) - 1)
+    if firsts is not None and len(firsts) > 1:  # a block's last word may hold fewer ids than it has room for
+        begin = out_at[np.searchsorted(where, firsts)].tolist()
+        out = np.concatenate([out[k : k + BLOCK] for k in begin])
     return out[:n]
 
 
@@ -133,8 +161,7 @@ def unpack(data: bytes, docs_at_once: int = 500) -> Iterator[tuple[list[int | No
         ids = np.zeros(0, np.uint64)
         if hi > lo:
             b, c = lo // BLOCK, -(-hi // BLOCK)
-            parts = [decode(stream[firsts[i] : firsts[i + 1]], min(BLOCK, n - i * BLOCK)) for i in range(b, c)]
-            ids = np.concatenate(parts)[lo - b * BLOCK : hi - b * BLOCK]
+            ids = decode(stream[firsts[b] : firsts[c]], min(c * BLOCK, n) - b * BLOCK, firsts[b:c] - firsts[b])[lo - b * BLOCK : hi - b * BLOCK]
         yield [None if z else k for k, z in zip(keys[d:e].tolist(), null[d:e].tolist(), strict=True)], lengths[d:e], ids
 
 
@@ -157,31 +184,52 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def write(df: DataFrame, uri: str, vocabulary: str, end_id: int, shards: int) -> list:
-    """Encode and write all documents in ascending doc_id order, a file for each of so many ranges. Returns the files in
-    order as rows (shard, uri, n_docs, n_ids): a row a file, whatever the number of documents."""
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with an end id after each text's, and their lengths."""
+    return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+
+
+def write(df: DataFrame, uri: str, vocabulary: str, end_id: int, shards: int, file_ids: int = FILE_IDS) -> list:
+    """Encode and write all documents in ascending doc_id order, ranges of them by a task each, which ends a file after
+    file_ids ids. Returns the files in order as rows (shard, part, uri, n_docs, n_ids): a row a file, whatever the number of
+    documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from horosphere.llm.tokens import encoder
 
-        keys, lengths, ids = [], [], []
-        end = np.array([end_id], "<u4").tobytes()
+        shard, part = TaskContext.get().partitionId(), 0
+        keys, lengths, ids, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            put(at := f"{uri}/ids-{shard:06d}-{part:06d}.s8b", pack(keys, np.concatenate(lengths), np.concatenate(ids)))
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "uri": at, "n_docs": len(keys), "n_ids": held}])
+
         for b in batches:
-            got = encoder(vocabulary).encode(b.column(1).to_pylist())
+            x, n = with_end(*encoder(vocabulary).column(b.column(1)), end_id)
             keys += b.column(0).to_pylist()
-            lengths += [len(x) // 4 + 1 for x in got]
-            ids.append(np.frombuffer(end.join([*got, b""]), "<u4"))
+            lengths.append(n)
+            ids.append(x.astype(np.uint32))
+            held += len(x)
+            if held >= file_ids:
+                yield flush()
+                part += 1
+                keys, lengths, ids, held = [], [], [], 0
         if keys:
-            shard = TaskContext.get().partitionId()
-            put(at := f"{uri}/ids-{shard:06d}.s8b", pack(keys, lengths, np.concatenate(ids)))
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": at, "n_docs": len(keys), "n_ids": sum(lengths)}])
+            yield flush()
+
+    # a document's place among equal doc_ids follows its text, and so do ranges: no key is too large for a task
+    ranged = texts(df).withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return sorted(map_arrow(ranged.drop("h"), run, "shard long, part long, uri string, n_docs long, n_ids long").collect())
 
-    ranged = texts(df).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(map_arrow(ranged, run, "shard long, uri string, n_docs long, n_ids long").collect())
 
+def read(spark, files: list, each=None, schema: str = "doc_id long, start long, ids array<long>") -> DataFrame:
+    """doc_id, start, ids of every document in the files; or what each makes, as a record batch of schema, of some documents'
+    (doc ids, starts, numbers of ids, ids one after another)."""
 
-def read(spark, files: list) -> DataFrame:
-    """doc_id, start, ids of every document in the files."""
+    def rows(keys: pa.Array, starts: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, starts, list_array(pa.array(ids.astype(np.int64)), lengths)], ["doc_id", "start", "ids"])
+
+    make = each or rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,30 +238,25 @@ def read(spark, files: list) -> DataFrame:
                 for keys, lengths, ids in unpack(get(row["uri"])):
                     starts = start + np.concatenate([[0], np.cumsum(lengths)])
                     start = int(starts[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[:-1]), list_array(pa.array(ids.astype(np.int64)), lengths)], ["doc_id", "start", "ids"])
+                    yield make(pa.array(keys, pa.int64()), pa.array(starts[:-1]), lengths, ids)
 
-    rows, start = [], 0
+    listed, start = [], 0
     for f in files:
-        rows.append((f.uri, start))
+        listed.append((f.uri, start))
         start += f.n_ids
-    listed = spark.createDataFrame(rows, "uri string, start long").repartition(max(1, len(rows)))
-    return map_arrow(listed, run, "doc_id long, start long, ids array<long>")
+    few = spark.createDataFrame(listed, "uri string, start long").repartition(max(1, len(listed)))
+    return map_arrow(few, run, schema)
 
 
-def crc32_ids(ids) -> int:
-    return zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
+def checksums(keys: pa.Array, starts: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """doc_id, start, n_tokens, ids_crc32 of some documents."""
+    raw, ends = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), (4 * np.cumsum(lengths)).tolist()
+    crc = [zlib.crc32(raw[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+    return pa.RecordBatch.from_arrays([keys, starts, pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def op6_simple8b(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    files = write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}", P.path("byte_bpe_50k.json"), 2, partitions(spark))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, at = b.column(2).values.to_numpy(zero_copy_only=False).astype("<u4"), b.column(2).offsets.to_pylist()
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at, at[1:], strict=False)]
-            n = np.diff(np.array(at, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return map_arrow(read(spark, files), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = write(table(spark, sf_dir, "documents"), new_path(spark, "ids"), P.path("byte_bpe_50k.json"), 2, partitions(spark))
+    return read(spark, files, checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

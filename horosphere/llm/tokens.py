@@ -1,8 +1,7 @@
 """Whole texts to ids by the tokenizers library.
 
 The library splits a text into pretokens and merges within each, so what it makes of a text is what it makes of the
-text's pieces, cut before every blank that a word follows (no pretoken crosses such a place). Each distinct piece goes
-through the library once per worker; texts with blanks of any other kind go through it whole.
+text's pieces (see pieces.py). What is not remembered goes through the library, many pieces in one text.
 """
 
 from __future__ import annotations
@@ -11,13 +10,15 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
-from horosphere.llm.bpe import _UNEVEN
-from horosphere.llm.common import claim
+from horosphere.llm.common import Recent, claim
+from horosphere.llm.pieces import BARE, by_pieces, parted
 
 _made: dict[str, LibraryEncoder] = {}
-#: Pieces remembered, about 150 bytes each, before the memory starts anew.
-PIECES = 1_000_000
+#: Bytes of one generation of the memory of pieces; pieces longer than LONG are not remembered; pieces of one text for the
+#: library; texts in one call.
+KNOWN, LONG, TOGETHER, CALL = 64 << 20, 64, 100, 50
 
 
 class LibraryEncoder:
@@ -27,60 +28,70 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self.whole(m) for m in ",."}
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # what was seen is remembered here
         size = self.library.get_vocab_size()
-        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # as the library writes a blank
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])  # as the library writes a blank
+        (self.line_end,) = np.frombuffer(self.whole("\n"), np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Recent(KNOWN)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def through(self, lead: str, new: list[str]) -> list[array]:
+        """The library's ids of lead + piece + lead + piece + ..., TOGETHER pieces at a time."""
+        out: list[array] = []
+        for at in range(0, len(new), TOGETHER * CALL):
+            some = [lead + lead.join(new[i : i + TOGETHER]) for i in range(at, min(at + TOGETHER * CALL, len(new)), TOGETHER)]
+            out += [array("I", g.ids) for g in self.library.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
     def pieces(self, new: list[str]) -> list[bytes]:
-        """The ids of each piece with the blank before it: all go through the library as one text, in which tokens that begin
-        with a blank begin a piece, since a piece holds no other."""
+        """The ids of each piece with the blank before it: tokens that begin with a blank begin a piece, since a piece holds no other."""
         out: list[bytes] = []
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            (got,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-            ids = array("I", got.ids)
+        for ids in self.through(" ", new):
             cut = (4 * np.append(np.flatnonzero(self.opens[np.frombuffer(ids, np.uint32)]), len(ids))).tolist()
             raw = ids.tobytes()
             out += [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
         return out
 
+    def bare(self, new: list[str]) -> list[bytes]:
+        """The ids of each of these pieces, which have no blank before them: line ends part them."""
+        plain = [p for p in new if p.split() == [p]]
+        out: dict[str, bytes] = {}
+        at = iter(plain)
+        for ids in self.through("\n", plain):
+            cut = [*(4 * np.flatnonzero(np.frombuffer(ids, np.uint32) == self.line_end)).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            out.update((next(at), raw[i + 4 : j]) for i, j in zip(cut, cut[1:], strict=False))
+        return [out[p] if p in out else self.whole(p) for p in new]
+
+    def some(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these distinct pieces."""
+        self.known.turn()
+        got, new = self.known.all(pieces)
+        if new:
+            lead, bare = [p for p in new if p[:1] != BARE], [p for p in new if p[:1] == BARE]
+            fresh = dict(zip(lead, self.pieces(lead), strict=True)) | dict(zip(bare, self.bare([p[1:] for p in bare]), strict=True))
+            got = [fresh[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+            self.known.add({p: x for p, x in fresh.items() if len(p) <= LONG})
+        return got
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; how many each has)."""
+        return by_pieces(texts, self.some, self.whole)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 100):
-            if len(self.known) > PIECES:
-                self.known.clear()
-            find, rows, new = self.known.get, [], {}
-            for t in texts[at : at + 100]:
-                first, blank, rest = t.partition(" ")
-                if not blank or _UNEVEN.search(t):
-                    rows.append(self.whole(t))
-                    continue
-                split = rest.split(" ")
-                got = list(map(find, split))
-                if None in got:
-                    new.update((p, None) for p, g in zip(split, got, strict=True) if g is None)
-                    rows.append((self.whole(first), split))
-                else:
-                    rows.append(self.whole(first) + b"".join(got))
-            marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0250"]  # a word and a mark are two pretokens
-            names = list({**dict.fromkeys(p[:-1] for p in marked if p[:-1] not in self.known), **{p: None for p in new.keys() - set(marked)}})
-            self.known.update(zip(names, self.pieces(names), strict=True))
-            self.known.update([(p, self.known[p[:-1]] + self.marks[p[-1:]]) for p in marked])
-            out += [r if isinstance(r, bytes) else r[0] + b"".join(map(self.known.__getitem__, r[1])) for r in rows]
-            for p in (*names, *marked):
-                if len(p) > 64:
-                    del self.known[p]
-        return out
+        return parted(*self.column(pa.array(texts, pa.string())))
 
 
 def _forget() -> None:
     for e in _made.values():
-        e.known = {}
+        e.forget()
 
 
 def encoder(path: str) -> LibraryEncoder:
