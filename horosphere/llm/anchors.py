@@ -20,10 +20,11 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def window_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = np.zeros(len(at), np.uint64)
+def window_hash(data: np.ndarray, at: np.ndarray, turn: int = 0) -> np.ndarray:
+    """A hash of the window from each place; another one for each turn."""
+    z = np.full(len(at), np.uint64(turn))
     for k, step in enumerate((0, 8, 16, 24, 32, 40, 42)):
-        z = mixed(z + words_at(data, at + step) * _C[k])
+        z = mixed(z + words_at(data, at + step) * _C[(k + turn) % len(_C)])
     return z
 
 

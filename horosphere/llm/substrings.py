@@ -4,11 +4,14 @@ Texts are first stored in chunks of some hundred documents. Every window of WIND
 bytes choose; a maximal run of windows with one anchor is a segment, so equal windows lie in segments of equal anchors, and
 a shard - all segments whose anchors hash to it - decides its windows alone. Equal segments are one to the sort: a copy in a later document loses all its windows to the
 first one, within a chunk at once and in the shard beyond. Where an anchor has several distinct segments, one copy of each
-is fetched from the chunks, and the shard sorts their suffixes by external induced sorting and reads off, where the common
-prefix with the suffix before reaches WINDOW bytes, the first document of every window. The spans go back to the chunks,
-which return what is left of each text. Chunks are files in the shared folder, read where they are needed and not shuffled.
+is fetched from the chunks, and the shard sorts their suffixes by external induced sorting, which yields them with their
+common prefixes; where these reach WINDOW bytes, neighbours begin with the same window, and its first document is known. The
+spans go back to the chunks, which return what is left of each text. Chunks are files in the shared folder, read where they
+are needed and not shuffled. There are as many shards as make each about SHARD bytes of text, up to LARGEST for very large
+inputs: a shard's segments and suffixes lie in scratch files, and tasks hold what is known of segments (37 bytes each) only.
 
-Equal segments are known by a hash: 32 bits of their anchor and 48 of their bytes, compared within a shard only.
+Equal segments are known by 128 bits: a hash of their anchor and two of their bytes. Windows of different segments are
+compared by their bytes.
 
 Edge cases: null and empty texts, and those under WINDOW bytes, keep all; a null doc_id neither gives nor loses bytes; rows
 of equal doc_id do not remove each other's bytes; repeats within a document stay; further columns are not read.
@@ -16,44 +19,41 @@ of equal doc_id do not remove each other's bytes; repeats within a document stay
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from horosphere.llm import induced
 from horosphere.llm.anchors import GRAM, WINDOW, _C, mixed, runs, window_hash, words_at
-from horosphere.llm.common import claim, map_arrow, partitions, shared_dir, stored, table, texts
-from horosphere.llm.induced import MEMORY, suffix_order
+from horosphere.llm.common import claim, fresh, map_arrow, new_path, partitions, stored, table, texts
 from horosphere.llm.simple8b import get, put
 
-#: Bytes of text looked at at once, and of segments sorted at once.
-PIECE, SHARD = 2 << 20, 3 << 20
-_SEGMENT = np.dtype([("anchor", "<u4"), ("bytes", "<u8"), ("doc", "<i8"), ("row", "<u2"), ("first", "<u4"), ("more", "u1")])
-_PLACE = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "u1")])
+#: Bytes of text looked at at once; bytes of text for which there is a shard, at least and at most; shards beyond which these grow.
+PIECE, SHARD, LARGEST, MANY = 2 << 20, 8 << 20, 256 << 20, 4096
+#: Common prefixes are told apart up to this length.
+PREFIX = 64
+_SEGMENT = np.dtype([("anchor", "<u4"), ("bytes", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u2"), ("first", "<u4"), ("more", "u1")])
 _SPAN = np.dtype([("row", "<u2"), ("from", "<u4"), ("to", "<u4")])
 
 
-#: Bytes kept of a number, where not all.
-_SIZE = {"bytes": 6}
-
-
 def width(kind: np.dtype) -> int:
-    return sum(_SIZE.get(n, kind[n].itemsize) for n in kind.names)
+    return sum(kind[n].itemsize for n in kind.names)
 
 
 def packed(a: np.ndarray) -> bytes:
     """Column by column, byte by byte of the values: what is alike lies together."""
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1).T[: _SIZE.get(n)]).tobytes() for n in a.dtype.names) if len(a) else b""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1).T).tobytes() for n in a.dtype.names) if len(a) else b""
 
 
 def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     n = len(data) // width(kind)
     out, at = np.zeros(n, kind), 0
     for name in kind.names if n else ():
-        size = _SIZE.get(name, kind[name].itemsize)
-        whole = np.zeros((n, kind[name].itemsize), np.uint8)
-        whole[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
-        out[name] = whole.view(kind[name]).ravel()
+        size = kind[name].itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind[name]).ravel()
         at += n * size
     return out
 
@@ -74,10 +74,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as files in the shared folder, some hundred documents each, and a stored row (chunk, uri) for each file."""
+    """docs (doc_id, text) as files in the shared folder, some hundred documents each, and a stored row (chunk, uri, size) for
+    each file; size: the bytes of its texts."""
     import uuid
 
-    folder = f"{shared_dir(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
+    folder = new_path(docs.sparkSession, "texts")
 
     def run(batches):
         import zstandard
@@ -89,9 +90,15 @@ def chunks(docs: DataFrame) -> DataFrame:
             parts = (np.array([len(data)], "<i8"), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.array([len(d) for d in data], "<i8"))
             chunk = uuid.uuid4().int >> 65  # an attempt that is lost leaves a file that no row names
             put(uri := f"{folder}/{chunk:016x}", b"".join(x.tobytes() for x in parts) + zstandard.ZstdCompressor(level=1).compress(b"".join(data)))
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "uri": uri}])
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "uri": uri, "size": sum(map(len, data))}])
+
+    return stored(map_arrow(docs, run, "chunk long, uri string, size long"), "chunks")
+
 
-    return stored(map_arrow(docs, run, "chunk long, uri string"), "chunks")
+def shard_count(held: DataFrame, least: int | None = None) -> int:
+    """Shards for the texts of the chunks: of SHARD bytes, of more beyond MANY shards, of LARGEST at most."""
+    size, least = held.agg(F.sum("size")).first()[0] or 0, least or SHARD
+    return max(1, -(-size // min(max(least, size // MANY), max(least, LARGEST))))
 
 
 def spread(held: DataFrame) -> DataFrame:
@@ -134,7 +141,9 @@ def segments(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, data: bytes
                 continue
             s = np.empty(len(a), _SEGMENT)
             s["anchor"] = mixed(words_at(raw, anchor) * _C[0] + mixed(words_at(raw, anchor + 8) * _C[1] + mixed(words_at(raw, anchor + GRAM - 8) * _C[2]))) >> np.uint64(32)
-            s["bytes"] = mixed(window_hash(raw, a) + mixed(window_hash(raw, b) + (b - a).astype(np.uint64) * np.uint64(64) + (anchor - a).astype(np.uint64))) >> np.uint64(16)
+            shape = mixed(window_hash(raw, b) + (b - a).astype(np.uint64) * np.uint64(64) + (anchor - a).astype(np.uint64))
+            s["bytes"] = mixed(window_hash(raw, a) + shape)
+            s["check"] = mixed(window_hash(raw, a, 3) ^ (shape * _C[4])) >> np.uint64(32)
             row = first + np.searchsorted(own, a, side="right") - 1
             s["row"], s["doc"], s["more"] = row, ids[row], b - a
             s["first"] = lo + a - bounds[row]
@@ -143,10 +152,15 @@ def segments(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, data: bytes
     return np.concatenate(out) if out else np.zeros(0, _SEGMENT)
 
 
+def others(s: np.ndarray) -> np.ndarray:
+    """Of ordered segments those that differ from the one before."""
+    return np.append(True, (s["anchor"][1:] != s["anchor"][:-1]) | (s["bytes"][1:] != s["bytes"][:-1]) | (s["check"][1:] != s["check"][:-1]))[: len(s)]
+
+
 def first_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """s in order of (anchor, bytes, doc), and which of it are of their segment's first document."""
-    s = s[np.lexsort((s["doc"], s["bytes"], s["anchor"]))]
-    new = np.append(True, (s["anchor"][1:] != s["anchor"][:-1]) | (s["bytes"][1:] != s["bytes"][:-1]))
+    """s in order of (anchor, bytes, check, doc), and which of it are of their segment's first document."""
+    s = s[np.lexsort((s["doc"], s["check"], s["bytes"], s["anchor"]))]
+    new = others(s)
     least = s["doc"][np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
     return s, s["doc"] == least
 
@@ -194,10 +208,9 @@ def wanted(segments_by_shard: DataFrame) -> DataFrame:
         out = [(shard, c, 1, p) for c, k, p in zip(group["chunk"].to_pylist(), kinds.tolist(), group["payload"].to_pylist(), strict=True) if k == 1]
         if (kinds == 0).any():
             s, chunk = _gather(group.filter(pa.array(kinds == 0)))
-            order = np.lexsort((chunk, s["doc"], s["bytes"], s["anchor"]))
+            order = np.lexsort((chunk, s["doc"], s["check"], s["bytes"], s["anchor"]))
             s, chunk = s[order], chunk[order]
-            new_anchor = np.append(True, s["anchor"][1:] != s["anchor"][:-1])
-            new = new_anchor | np.append(True, s["bytes"][1:] != s["bytes"][:-1])
+            new_anchor, new = np.append(True, s["anchor"][1:] != s["anchor"][:-1]), others(s)
             first = s["doc"] == s["doc"][np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
             at = np.flatnonzero(new_anchor)
             apart = np.minimum.reduceat(np.where(new, s["doc"], np.iinfo(np.int64).max), at) != np.maximum.reduceat(np.where(new, s["doc"], np.iinfo(np.int64).min), at)
@@ -234,87 +247,107 @@ def fetched(held: DataFrame, places: DataFrame) -> DataFrame:
     return map_arrow(together.select("shard", "chunk", "payload", "uri"), run, "shard int, chunk long, kind int, payload binary")
 
 
-def first_holders(texts_: list[np.ndarray], docs: np.ndarray, memory: int = MEMORY) -> list[np.ndarray]:
-    """For each segment the least document, by docs, that holds each of its windows: suffixes sorted, and where the common
-    prefix of neighbours reaches WINDOW bytes, they hold the same window."""
-    size = np.array([len(t) for t in texts_], np.int64)
-    start = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.full(int(start[-1]), 0xFF, np.uint8)  # no byte of UTF-8, between segments
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    keep = np.ones(len(text), bool)
-    keep[start[1:] - 1] = False
-    text[keep] = np.concatenate(texts_)
-    order = suffix_order(text, memory)
-    order = order[(order - start[owner[order]]) + WINDOW <= size[owner[order]]]  # those that a whole window starts
-    padded = np.append(text, np.zeros(8, np.uint8))
-    same = np.ones(max(0, len(order) - 1), bool)
-    for step in (0, 8, 16, 24, 32, 40, 42):
-        w = words_at(padded, order + step)
-        same &= w[1:] == w[:-1]
-    at = np.flatnonzero(np.append(True, ~same)[: len(order)])
-    least = np.repeat(np.minimum.reduceat(docs[owner[order]], at), np.diff(np.append(at, len(order)))) if len(order) else np.zeros(0, np.int64)
-    found = np.empty(len(text), np.int64)
-    found[order] = least
-    return [found[a : a + n - WINDOW + 1] for a, n in zip(start[:-1].tolist(), size.tolist(), strict=True)]
+def holders(text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray, memory: int | None = None, spills: list[int] | None = None) -> Iterator[np.ndarray]:
+    """For each window of segments of a text - from start on, of size bytes, a byte that is none of UTF-8 after each - the least
+    document, by docs, that holds it: some windows at a time, in the order of the text."""
+    memory = memory or induced.MEMORY
+    base = np.cumsum(size - WINDOW + 1) - (size - WINDOW + 1)
+    kind = np.dtype([("window", "<u4"), ("doc", "<i8")])
+
+    def found() -> Iterator[np.ndarray]:
+        kept_window, kept_doc, kept_group = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = 0
+        for pos, lcp in induced.sorted_suffixes(text, memory, PREFIX, spills):
+            owner = np.searchsorted(start, pos, side="right") - 1
+            group = last + np.cumsum(lcp < WINDOW)
+            last = int(group[-1])
+            ok = pos - start[owner] + WINDOW <= size[owner]
+            owner, group = owner[ok], np.append(kept_group, group[ok])
+            window = np.append(kept_window, base[owner] + pos[ok] - start[owner])
+            doc = np.append(kept_doc, docs[owner])
+            ended = int(np.searchsorted(group, last))  # the last group may go on
+            kept_window, kept_doc, kept_group = window[ended:], doc[ended:], group[ended:]
+            if ended:
+                yield least(window[:ended], doc[:ended], group[:ended])
+        if len(kept_group):
+            yield least(kept_window, kept_doc, kept_group)
+
+    def least(window: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        out = np.empty(len(window), kind)
+        out["window"], out["doc"] = window, np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
+        return out
+
+    for r in induced.in_order(found(), "window", int((size - WINDOW + 1).sum()), memory):
+        yield r["doc"]
 
 
 def decided(everything: DataFrame) -> DataFrame:
-    """Rows of kinds 3 and 4, by shard, to (chunk, payload): spans to remove."""
-
-    def run(group: pa.Table) -> pa.Table:
-        copies, chunk, kept, raw = [], [], [], []
-        for c, kind, p in zip(group["chunk"].to_pylist(), group["kind"].to_pylist(), group["payload"].to_pylist(), strict=True):
-            if kind == 3:
-                s = unpacked(p, _SEGMENT)
-                copies.append(s)
-                chunk.append(np.full(len(s), c))
-            else:
-                n = int.from_bytes(p[:8], "little")
-                end = 8 + n * width(_SEGMENT)
-                kept.append(unpacked(p[8:end], _SEGMENT))
-                raw.append(np.frombuffer(p, np.uint8, offset=end))
-        if not kept:
-            return pa.table({"chunk": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
-        copies, chunk, kept, raw = (np.concatenate(x) for x in (copies, chunk, kept, raw))
-        ends = np.cumsum(kept["more"].astype(np.int64) + WINDOW)
-        starts = np.append(0, ends[:-1])
-        by = np.lexsort((kept["bytes"], kept["anchor"]))
-        kept, starts, ends = kept[by], starts[by], ends[by]
-        order = np.lexsort((copies["bytes"], copies["anchor"]))
-        copies, chunk = copies[order], chunk[order]
-        new = np.append(True, (copies["anchor"][1:] != copies["anchor"][:-1]) | (copies["bytes"][1:] != copies["bytes"][:-1]))
-        segment = np.cumsum(new) - 1  # kept has each of these once, in the same order
-        new_anchor = np.append(True, kept["anchor"][1:] != kept["anchor"][:-1])
-        cut, filled = [0], 0
-        for i in range(len(kept)):  # so much at a time, an anchor's segments together
-            if filled >= SHARD and new_anchor[i]:
-                cut.append(i)
-                filled = 0
-            filled += int(ends[i] - starts[i])
-        out: list[np.ndarray] = []
-        where: list[np.ndarray] = []
-        for lo, hi in zip(cut, [*cut[1:], len(kept)], strict=True):
-            holders = first_holders([raw[starts[i] : ends[i]] for i in range(lo, hi)], kept["doc"][lo:hi])
-            a, b = np.searchsorted(segment, [lo, hi])
-            windows = np.array([len(h) for h in holders], np.int64)
-            flat, base = np.concatenate(holders), np.append(0, np.cumsum(windows)[:-1])
-            n = windows[segment[a:b] - lo]
+    """Rows of kinds 3 and 4, by shard, to (chunk, payload): spans to remove. A shard's rows are read one after another; its
+    segments' bytes lie in a scratch file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, chunk, kept = [], [], []
+
+        def texts_() -> Iterator[np.ndarray]:
+            for b in batches:
+                for i in range(len(b)):
+                    c, kind, p = (b.column(b.schema.get_field_index(n))[i].as_py() for n in ("chunk", "kind", "payload"))
+                    if kind == 3:
+                        s = unpacked(p, _SEGMENT)
+                        copies.append(s)
+                        chunk.append(np.full(len(s), c))
+                        continue
+                    n = int.from_bytes(p[:8], "little")
+                    end = 8 + n * width(_SEGMENT)
+                    s = unpacked(p[8:end], _SEGMENT)
+                    kept.append(s)
+                    size = s["more"].astype(np.int64) + WINDOW + 1
+                    out, inner = np.full(int(size.sum()), 0xFF, np.uint8), np.ones(int(size.sum()), bool)
+                    inner[np.cumsum(size) - 1] = False
+                    out[inner] = np.frombuffer(p, np.uint8, offset=end)
+                    yield out
+
+        text = induced.stored_array(texts_(), "u1")
+        if kept:
+            yield from spans(text, np.concatenate(kept), *(np.concatenate(x) for x in (copies, chunk)))
+
+    def spans(text: np.ndarray, kept: np.ndarray, copies: np.ndarray, chunk: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = kept["more"].astype(np.int64) + WINDOW
+        start = np.cumsum(size + 1) - (size + 1)
+        by, order = np.lexsort((kept["check"], kept["bytes"], kept["anchor"])), np.lexsort((copies["check"], copies["bytes"], copies["anchor"]))
+        segment = by[np.cumsum(others(copies[order])) - 1]  # kept has each of these once
+        again = np.argsort(segment, kind="stable")
+        segment, copies, chunk = segment[again], copies[order[again]], chunk[order[again]]
+        windows = size - WINDOW + 1
+        ends = np.cumsum(windows)
+        out, where = [], []
+        done, have = 0, np.zeros(0, np.int64)  # segments done; windows read of those that are not
+        for doc in holders(text, start, size, kept["doc"]):
+            have = np.append(have, doc)
+            first_window = ends[done - 1] if done else 0
+            upto = int(np.searchsorted(ends, first_window + len(have), side="right"))
+            if upto == done:
+                continue
+            a, b = np.searchsorted(segment, [done, upto])
+            n = windows[segment[a:b]]
             copy = np.repeat(np.arange(a, b), n)
-            step = np.arange(len(copy)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-            gone = flat[base[segment[copy] - lo] + step] < copies["doc"][copy]
-            first = gone & np.append(True, ~gone[:-1] | (copy[1:] != copy[:-1]))
-            last = gone & np.append(~gone[1:] | (copy[1:] != copy[:-1]), True)
-            spans = np.empty(int(first.sum()), _SPAN)
+            step = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+            gone = have[(ends - windows)[segment[copy]] - first_window + step] < copies["doc"][copy]
+            first = gone & np.append(True, ~gone[:-1] | (copy[1:] != copy[:-1]))[: len(gone)]
+            last = gone & np.append(~gone[1:] | (copy[1:] != copy[:-1]), True)[: len(gone)]
+            x = np.empty(int(first.sum()), _SPAN)
             c = copy[first]
-            spans["row"] = copies["row"][c]
-            spans["from"], spans["to"] = copies["first"][c] + step[first], copies["first"][c] + step[last] + WINDOW
-            out.append(spans)
+            x["row"] = copies["row"][c]
+            x["from"], x["to"] = copies["first"][c] + step[first], copies["first"][c] + step[last] + WINDOW
+            out.append(x)
             where.append(chunk[c])
-        spans, where = np.concatenate(out), np.concatenate(where)
+            have, done = have[ends[upto - 1] - first_window :], upto
+        x, where = np.concatenate(out), np.concatenate(where)
         by = np.argsort(where, kind="stable")
-        spans, where = spans[by], where[by]
+        x, where = x[by], where[by]
         cut = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])[: len(where)]), len(where)).tolist()
-        return pa.table({"chunk": pa.array([int(where[i]) for i in cut[:-1]], pa.int64()), "payload": pa.array([packed(merged(spans[i:j])) for i, j in zip(cut, cut[1:], strict=False)], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([int(where[i]) for i in cut[:-1]], pa.int64()), pa.array([packed(merged(x[i:j])) for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], ["chunk", "payload"])
 
     return everything.groupBy("shard").applyInArrow(run, "chunk long, payload binary")
 
@@ -351,22 +384,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, n_chars, further columns) with what dedup_substrings() keeps of each text; rows of which nothing
     stays go. What stays follows from doc_id and text alone, so rows that repeat both are changed alike."""
     left = dedup_substrings(docs).where(F.size("spans") > 0)
+    doc, was, now = fresh(["doc", "was", "now"], docs.columns)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())], ["__doc", "__was", "__left"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())], [doc, was, now])
 
-    changed = map_arrow(left.select("doc_id", "text_hash", "kept"), run, "__doc long, __was long, __left string").dropDuplicates(["__doc", "__was"])
-    joined = docs.join(changed, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__was")), "left").where("__left is null or __left <> ''")
-    new = {"text": F.coalesce("__left", "text"), "n_chars": F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("__left")).cast("long")}
+    changed = map_arrow(left.select("doc_id", "text_hash", "kept"), run, f"{doc} long, {was} long, {now} string").dropDuplicates([doc, was])
+    joined = docs.join(changed, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(was)), "left").where(f"{now} is null or {now} <> ''")
+    new = {"text": F.coalesce(now, "text"), "n_chars": F.when(F.col(now).isNull(), F.col("n_chars")).otherwise(F.length(now)).cast("long")}
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) as left_over() returns it."""
-    spark = docs.sparkSession
-    shards = 2 * partitions(spark)
     held = chunks(texts(docs))
+    shards = shard_count(held)
     asked = stored(wanted(listed(held, shards)), "wanted")
     bytes_ = fetched(held, asked.where("kind = 2").select("shard", "chunk", "payload"))
     spans = decided(asked.where("kind = 3").unionByName(bytes_))
