@@ -1,37 +1,14 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import stored
-
-ROUNDS = 60
-
-
-def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, r.h
+from horosphere.operators import graph
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b), any order, repeats and loops allowed, to (node, component): the smallest node reachable, for every node
-    that a link to another holds. Every round halves the distance to it, and is written to the shared folder."""
-    links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = _state(links)
-    for _ in range(ROUNDS):
-        if not before[0]:
-            break
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct(), "links")
-        after = _state(links)
-        if after == before:
-            break
-        before = after
-    tops = links.select(F.col("v").alias("node")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
+    that a link to another holds."""
+    return graph.components(graph.canonical(links.select("a", "b"), "a", "b")).withColumnRenamed("vid", "node")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import claim, list_array, map_arrow, stored, table, texts
+from horosphere.llm.common import claim, fresh, list_array, map_arrow, stored, table, texts
 from horosphere.llm.components import components
 
 #: A-Z to a-z, and nothing else.
@@ -292,8 +292,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of each component's least doc_id; documents without links stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    (name,) = fresh(["gone"], docs.columns)
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
