@@ -115,9 +115,9 @@ def to_cartesian(angles: Column, dim: int, length: float = 1.0) -> Column:
     return F.array(*out, sines)
 
 
-def slerp(a: Column, b: Column, steps: int = 50) -> Column:
-    """Points on the great circle from a to b, both of one length."""
-    w = angle(a, b)
+def slerp(a: Column, b: Column, steps: int = 50, w: Column | None = None) -> Column:
+    """Points on the great circle from a to b, both of one length; w: their angle, where a column holds it already."""
+    w = angle(a, b) if w is None else w
 
     def at(k: Column) -> Column:
         t = k / F.lit(steps - 1.0)

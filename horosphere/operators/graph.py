@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from horosphere.functions.geometry import uniform
@@ -92,22 +92,22 @@ def ccdf(classes: DataFrame, k: str = "degree", n: str = "n_k") -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """vid, component (its least vid): alternating large-star and small-star rounds, each stored."""
+    """vid, component (its least vid): alternating large-star and small-star rounds, each stored. Whether a round changed
+    anything is observed as it is written."""
 
-    def state(e):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return r.n, r.h
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
+        return out, (seen.get["n"], seen.get["h"])
 
-    links = stored(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")), "links")
-    before = state(links)
+    links, before = kept(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct(), "links")
-        after = state(links)
+        links, after = kept(small.distinct())
         if after == before:
             break
         before = after

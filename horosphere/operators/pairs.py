@@ -37,15 +37,15 @@ def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
 def angles(row: dict, dim: int) -> np.ndarray:
     """Angular distances of all vertices of block a (rows) and b (columns)."""
     if dim == 1:
-        ta, tb = np.array(row["theta_a"]), np.array(row["theta_b"])
+        ta, tb = row["theta_a"], row["theta_b"]
         return np.pi - np.abs(np.pi - np.abs(ta[:, None] - tb[None, :]))
-    pa_, pb = np.array(row["pos_a"]), np.array(row["pos_b"])
+    pa_, pb = row["pos_a"], row["pos_b"]
     cos = (pa_ @ pb.T) / np.linalg.norm(pa_, axis=1)[:, None] / np.linalg.norm(pb, axis=1)[None, :]
     return np.where(np.abs(cos - 1) < 1e-10, 0.0, np.arccos(np.clip(cos, -1, 1)))
 
 
 def rescaled(row: dict, dim: int, big_r: float, mu: float) -> np.ndarray:
-    ka, kb = np.array(row["kappa_a"]), np.array(row["kappa_b"])
+    ka, kb = row["kappa_a"], row["kappa_b"]
     return big_r * angles(row, dim) / (mu * ka[:, None] * kb[None, :]) ** (1 / dim)
 
 
@@ -55,8 +55,27 @@ def upper(row: dict) -> np.ndarray:
     return np.triu(np.ones((n, m), bool), 1) if row["block_a"] == row["block_b"] else np.ones((n, m), bool)
 
 
-def over_pairs(vertices: DataFrame, dim: int, kernel: Callable[[dict], list[dict]], schema: str, count: int | None = None) -> DataFrame:
-    """kernel's rows for every pair of blocks of vertices (vid, kappa, theta or pos)."""
+def _row(batch: pa.RecordBatch, i: int) -> dict:
+    """A row's numbers, and its arrays of numbers or of equally long arrays as NumPy's."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        x = column[i]
+        if not pa.types.is_list(column.type):
+            out[name] = x.as_py()
+        elif pa.types.is_list(column.type.value_type):
+            out[name] = x.values.flatten().to_numpy(zero_copy_only=False).reshape(len(x.values), -1)
+        else:
+            out[name] = x.values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def both_sums(row: dict, x: np.ndarray) -> dict:
+    """What all pairs of two blocks add to each vertex."""
+    return {"vid": np.append(row["vid_a"], row["vid_b"]), "x": np.append(x.sum(1), x.sum(0))}
+
+
+def over_pairs(vertices: DataFrame, dim: int, kernel: Callable[[dict], dict], schema: str, count: int | None = None) -> DataFrame:
+    """What kernel makes, as arrays by column, of every pair of blocks of vertices (vid, kappa, theta or pos)."""
     count = vertices.count() if count is None else count
     place = "theta" if dim == 1 else "pos"
     pairs = block_pairs(packed(vertices.select("vid", "kappa", place), ["kappa", place], count), count)
@@ -68,7 +87,8 @@ def over_pairs(vertices: DataFrame, dim: int, kernel: Callable[[dict], list[dict
     def run(batches):
         for b in batches:
             for i in range(len(b)):
-                yield from pa.Table.from_pylist(kernel(b.slice(i, 1).to_pylist()[0]), arrow).to_batches()
+                made = kernel(_row(b, i))
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return pairs.mapInArrow(run, schema)
 
@@ -78,7 +98,7 @@ def expected_degrees(vertices: DataFrame, dim: int, beta: float, big_r: float, m
 
     def kernel(row):
         p = np.where(upper(row), 1 / (1 + rescaled(row, dim, big_r, mu) ** beta), 0)
-        return [{"vid": v, "x": x} for v, x in zip(row["vid_a"], p.sum(1).tolist(), strict=True)] + [{"vid": v, "x": x} for v, x in zip(row["vid_b"], p.sum(0).tolist(), strict=True)]
+        return both_sums(row, p)
 
     return over_pairs(vertices, dim, kernel, "vid long, x double", count).groupBy("vid").agg(F.sum("x").alias("exp_deg"))
 
@@ -90,7 +110,7 @@ def vertex_log_likelihood(vertices: DataFrame, edges: DataFrame, dim: int, beta:
     def kernel(row):
         x = np.log(np.maximum(rescaled(row, dim, big_r, mu), 1e-300))
         t = np.where(upper(row), -np.logaddexp(0, -beta * x), 0)
-        return [{"vid": v, "x": s} for v, s in zip(row["vid_a"], t.sum(1).tolist(), strict=True)] + [{"vid": v, "x": s} for v, s in zip(row["vid_b"], t.sum(0).tolist(), strict=True)]
+        return both_sums(row, t)
 
     everywhere = over_pairs(vertices, dim, kernel, "vid long, x double", count)
     x = with_ends(edges, vertices, dim)
@@ -129,7 +149,8 @@ def log_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta: float,
 
     def ends(row):
         x = rescaled(row, dim, big_r, mu)[upper(row)]
-        return [{"low": float(x[x > 0].min()), "high": float(x.max())}] if (x > 0).any() else []
+        x = x[x > 0]
+        return {"low": [float(x.min())], "high": [float(x.max())]} if len(x) else {"low": [], "high": []}
 
     low, high = over_pairs(vertices, dim, ends, "low double, high double", count).agg(F.min("low"), F.max("high")).first()
     spark = vertices.sparkSession
@@ -142,7 +163,8 @@ def log_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta: float,
         x = x[(x >= edge[0]) & (x <= edge[-1])]
         k = np.minimum(np.searchsorted(edge, x, side="right") - 1, bins - 1)
         n, s = np.bincount(k, minlength=bins), np.bincount(k, x, minlength=bins)
-        return [{"bin": i, "n": 2 * int(n[i]), "x": 2 * float(s[i])} for i in np.flatnonzero(n).tolist()]
+        at = np.flatnonzero(n)
+        return {"bin": at, "n": 2 * n[at], "x": 2 * s[at]}
 
     every = over_pairs(vertices, dim, kernel, "bin int, n long, x double", count).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     chi = G.chi(F.col("distance"), F.col("ka"), F.col("kb"), dim, big_r, mu)
@@ -160,7 +182,8 @@ def connection_histogram(vertices: DataFrame, edges: DataFrame, dim: int, beta:
         x = rescaled(row, dim, big_r, mu)[upper(row)]
         b = np.where(x > 0, np.clip(np.ceil((np.log10(np.maximum(x, 1e-300)) + 20) / 0.05), 0, 800), 0).astype(int)
         n, s = np.bincount(b, minlength=801), np.bincount(b, x, minlength=801)
-        return [{"bin": k, "n": int(n[k]), "x": float(s[k])} for k in np.flatnonzero(n).tolist()]
+        at = np.flatnonzero(n)
+        return {"bin": at, "n": n[at], "x": s[at]}
 
     every = over_pairs(vertices, dim, kernel, "bin int, n long, x double", count).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     chi = G.chi(F.col("distance"), F.col("ka"), F.col("kb"), dim, big_r, mu)
@@ -187,8 +210,7 @@ def simulate(vertices: DataFrame, dim: int, beta: float, big_r: float, mu: float
 
     def kernel(row):
         p, use = 1 / (1 + rescaled(row, dim, big_r, mu) ** beta), upper(row)
-        a, b = np.array(row["vid_a"]), np.array(row["vid_b"])
-        out = []
+        a, b, out = row["vid_a"], row["vid_b"], []
         for g in range(graphs):
             if uniform is None:
                 i, j = np.nonzero((np.random.default_rng([seed, g, row["block_a"], row["block_b"]]).random(p.shape) < p) & use)
@@ -196,7 +218,7 @@ def simulate(vertices: DataFrame, dim: int, beta: float, big_r: float, mu: float
                 i, j = np.nonzero(use)
                 hit = uniform(g, np.minimum(a[i], b[j]), np.maximum(a[i], b[j])) < p[i, j]
                 i, j = i[hit], j[hit]
-            out += [{"g": g, "src": min(x, y), "dst": max(x, y)} for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)]
-        return out
+            out.append((np.full(len(i), g), np.minimum(a[i], b[j]), np.maximum(a[i], b[j])))
+        return {name: np.concatenate([x[k] for x in out]) for k, name in enumerate(("g", "src", "dst"))}
 
     return over_pairs(vertices, dim, kernel, "g int, src long, dst long", count)

@@ -250,7 +250,8 @@ def rotation_axis(spark, sf):
 def slerp_points(spark, sf):
     x = _three(spark, sf).select("vec_id", G.scaled(F.col("v"), 1.0).alias("v"))
     y = x.select("vec_id", F.col("v").alias("a")).join(x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("b")), "vec_id")
-    return y.select("vec_id", F.posexplode(G.slerp(F.col("a"), F.col("b"))).alias("step", "p")).select("vec_id", F.col("step").cast("long").alias("step"), r6(F.col("p")[0], "x"))
+    y = y.select("vec_id", "a", "b", G.angle(F.col("a"), F.col("b")).alias("w"))  # once, not in every step
+    return y.select("vec_id", F.posexplode(G.slerp(F.col("a"), F.col("b"), w=F.col("w"))).alias("step", "p")).select("vec_id", F.col("step").cast("long").alias("step"), r6(F.col("p")[0], "x"))
 
 
 @query(f"WITH {E_SQL}{V_SQL} SELECT src, dst, round(big_r * distance / (mu * ka * kb), 6) AS chi, round(1 / (1 + (big_r * distance / (mu * ka * kb)) ** 2.5), 6) AS p FROM ends CROSS JOIN par")

@@ -97,18 +97,17 @@ def _lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws("  ", *parts).alias("value"))
 
 
-def _comments(spark: SparkSession, lines: list[str]):
-    return spark.createDataFrame([(f"# {x}".rstrip(),) for x in lines], "value string").coalesce(1).write
+def _comments(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(f"# {x}".rstrip(),) for x in lines], "value string").coalesce(1)
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, header: str | None = None, footer: str = "") -> None:
-    """A folder of text in df's order: lines of header and footer begin with #."""
+    """A folder of text in df's order, whose files by name, one after another, are the text; lines of header and footer begin with #."""
     columns = columns or df.columns
     if header is not None:
-        _comments(df.sparkSession, [*header.splitlines(), "  ".join(columns)]).mode("overwrite").text(path)
-        _lines(df, columns).write.mode("append").text(path)
-        if footer:
-            _comments(df.sparkSession, footer.splitlines()).mode("append").text(path)
+        spark = df.sparkSession
+        whole = _comments(spark, [*header.splitlines(), "  ".join(columns)]).union(_lines(df, columns))
+        (whole.union(_comments(spark, footer.splitlines())) if footer else whole).write.mode("overwrite").text(path)
     else:
         _lines(df, columns).write.mode("overwrite").text(path)
 

@@ -197,3 +197,86 @@ def test_embedding_queries_take_their_vertices_from_the_tables(spark, tmp_path):
     got = catalog.queries()["generate_s1"](spark, str(tmp_path))
     assert 40 <= got.count() < 80
     assert got.where("vid < 40 and kappa in (2, 3, 4)").count() == 40
+
+
+def test_numbers_lags_and_sums_over_ranges(spark):
+    from horosphere.operators import ordered
+
+    df = spark.range(500).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 5).cast("double").alias("v")).repartition(7)
+    rows = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, ordered.numbered(df, ["k"], "n", 3).select("k", "n").collect())) == [(k, i + 3) for i, (k, _) in enumerate(rows)]
+    lag = ordered.before(df, ["k"], "v", "b").select("k", "b")
+    assert sorted(map(tuple, lag.collect())) == [(k, rows[i - 1][1]) for i, (k, _) in enumerate(rows)]
+    run, total = ordered.running(df, ["k"], "v", "s")
+    assert total == sum(v for _, v in rows)
+    assert np.allclose([s for _, s in sorted(map(tuple, run.select("k", "s").collect()))], np.cumsum([v for _, v in rows]))
+    assert ordered.numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_refinement_in_batches_is_the_pass_one_by_one(spark, monkeypatch, batches):
+    from horosphere.operators import embed
+    from horosphere.operators.infer import Params
+
+    got = generate.generate(generate.power_law(spark, 150, 2.7, 6, 5), 2.5, 1, seed=5)
+    e = stored(graph.giant_component(got.edges)[0], "giant")
+    inside = graph.degrees(e).select("vid")
+    v = stored(got.vertices.join(inside, "vid").select("vid", F.lit(5.0).alias("kappa"), (F.lit(2 * math.pi) * G.uniform(F.col("vid"), 9)).alias("theta")), "places")
+    p, layers = Params(1, 2.5, 0.02, v.count(), 6.0), stored(graph.onion(e), "layers")
+    config = embed.EmbedConfig(candidates=10, batches=batches)
+    one = {r.vid: r.theta for r in embed.refine(v, e, layers, p, config).collect()}
+    monkeypatch.setattr(embed, "SEQUENTIAL", 0)
+    many = {r.vid: r.theta for r in embed.refine(v, e, layers, p, config).collect()}
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[k], many[k], abs_tol=1e-9) for k in one)
+
+
+@pytest.mark.parametrize("target", [0.1, 5.0, 1e9, -1.0])
+def test_beta_search_returns_what_it_evaluated_last(target):
+    seen = []
+
+    def evaluate(b):
+        seen.append(b)
+        return b
+
+    assert infer.search_beta(evaluate, target, 2.3, 1.0, 25.0, 1e-3) == seen[-1]
+    assert 1.0 <= seen[-1] <= 25.0
+
+
+def test_neighbour_centres_agree_with_sums(spark):
+    from horosphere.operators import embed
+
+    v = stored(ring(spark, 20).withColumn("kappa", F.col("vid") % 4 + 1.0), "v")
+    e = stored(graph.canonical(spark.range(20).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % 20, (F.col("id") + 3) % 20)).alias("dst"))), "e")
+    near = graph.adjacency(e).join(v.toDF("u", "kappa", "theta"), "u")
+    w = 1 / (F.col("kappa") * F.col("kappa"))
+    want = {r.v: r.m % (2 * math.pi) for r in near.groupBy("v").agg(F.atan2(F.sum(w * F.sin("theta")), F.sum(w * F.cos("theta"))).alias("m")).collect()}
+    assert all(math.isclose(want[r.vid], r["mean"], abs_tol=1e-9) for r in embed.neighbour_centres(v, e).collect())
+
+
+def test_s3_points_align(spark):
+    x = generate.sphere_points(14, 3, 2)
+    m = align.spin(4, 0, 1, 0.4) @ align.spin(4, 1, 2, 1.1) @ align.spin(4, 2, 3, 0.8)
+    df = spark.createDataFrame([(f"v{i}", a.tolist(), (m @ a).tolist()) for i, a in enumerate(x)], "name string, real array<double>, inf array<double>")
+    assert align.align(df, 40)[2] < 0.5
+
+
+def test_spin_and_euler_scan(spark):
+    x = generate.sphere_points(40, 2, 3)
+    a, b = align.fix_spin(x, x)
+    assert np.allclose(a, b)
+    m = align.euler_scan(x, x, 4)
+    assert np.allclose(m @ align.inverse(m), np.eye(3))
+
+
+def test_random_points_at_an_angle(spark):
+    rows = spark.range(30).select(G.random_at_angle(2, F.lit(0.7), 1).alias("v")).collect()
+    assert all(math.isclose(math.acos(r.v[0]), 0.7) and math.isclose(sum(x * x for x in r.v), 1) for r in rows)
+
+
+def test_sql_functions_equal_the_columns(spark):
+    G.register(spark)
+    x = spark.range(1, 9).select((F.col("id") * 0.7).alias("a"), (F.col("id") * 0.3).alias("b"))
+    got = x.selectExpr("hs_circular_distance(a, b) AS d", "hs_probability(a, 2.5D) AS p", "hs_hyperbolic_distance(a, b, b) AS h", "a", "b")
+    for r in got.select("*", G.circular_distance(F.col("a"), F.col("b")).alias("d2"), G.probability(F.col("a"), 2.5).alias("p2"), G.hyperbolic_distance(F.col("a"), F.col("b"), F.col("b")).alias("h2")).collect():
+        assert (r.d, r.p, r.h) == (r.d2, r.p2, r.h2)
