@@ -58,12 +58,6 @@ def probability(x: Column, beta: float) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.pow(x, F.lit(beta)))
 
 
-def log_likelihood(x: Column, beta: float, linked: Column) -> Column:
-    """Of one pair: not linked -ln(1 + chi^-beta); a link adds -beta ln chi."""
-    x = F.greatest(x, F.lit(1e-300))
-    return -F.log1p(F.pow(x, F.lit(-beta))) + F.when(linked, -F.lit(beta) * F.log(x)).otherwise(F.lit(0.0))
-
-
 def hyperbolic_radius(kappa: Column, kappa_min: float, dim: int, n: float, mu: float, shift: float = 0.0) -> Column:
     """R_H - (2 / D) ln(kappa / kappa_min)."""
     big = 2 * math.log(2 * radius(dim, n) / (mu * kappa_min**2) ** (1 / dim)) if dim > 1 else 2 * math.log(n / (PI * mu * kappa_min**2))

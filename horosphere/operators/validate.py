@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horosphere.operators import graph, pairs
@@ -46,7 +46,8 @@ def ensemble_ccdf(sim_props: DataFrame, n: int) -> DataFrame:
     """degree from 0 to each graph's largest, avg_ccdf, std_ccdf over the graphs that reach it; graphs' absent vertices have degree 0."""
     counts = sim_props.groupBy("g", "degree").agg(F.count("*").alias("c"))
     axis = counts.groupBy("g").agg(F.max("degree").alias("top")).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("d"))
-    above = axis.join(counts, (axis.g == counts.g) & (counts.degree >= axis.d)).groupBy(axis.g, "d").agg((F.sum("c") / n).alias("x"))
+    held = axis.join(counts.withColumnRenamed("degree", "d"), ["g", "d"], "left").fillna(0, ["c"])
+    above = held.select("g", "d", (F.sum("c").over(Window.partitionBy("g").orderBy(F.desc("d"))) / n).alias("x"))
     return above.withColumn("x", F.when(F.col("d") == 0, F.lit(1.0)).otherwise(F.col("x"))).groupBy(F.col("d").alias("degree")).agg(F.avg("x").alias("avg_ccdf"), F.stddev_pop("x").alias("std_ccdf"))
 
 
