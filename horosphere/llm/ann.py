@@ -185,6 +185,8 @@ def index(points: DataFrame, shards: int) -> DataFrame:
 
 def search(graphs: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: queries (id, v, dim), in blocks, each sent to every shard."""
+    if k >= SAME:
+        raise ValueError(f"an index keeps {SAME} ids of equal vectors: k must be less")
 
     def blocks(group: pa.Table) -> pa.Table:
         x = group["v"].combine_chunks()
