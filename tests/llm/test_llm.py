@@ -482,3 +482,318 @@ def test_lexicon_counts_different_texts_of_a_common_phrase_each(spark):
     rows += [(200, 1, long), (201, 1, f"{long} more")]
     got = sorted(map(tuple, toxicity.single(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()))
     assert got == sorted((y, t) for k, y, t in rows if k not in (100, 103, 201))
+
+
+def test_many_pretokens_go_through_the_transducer_as_one_by_one():
+    from horosphere.llm import bpe
+
+    ranks, r = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), random.Random(7)
+    one, many = bpe.BpeTransducer(ranks), bpe.BpeTransducer(ranks)
+    words = ["".join(r.choice("aeinrst thoé😀") for _ in range(r.randrange(1, 14))).encode() for _ in range(3000)] + [b"x" * 200, b"\xff\xfe"]
+    for _ in range(3):  # more transitions are made each time
+        assert many.encode_all(words) == [one.encode(w) for w in words]
+    assert len(many.states) > 1
+
+
+def test_incremental_utf8_holds_back_what_is_incomplete():
+    from horosphere.llm import bpe
+
+    decoder = bpe.Utf8Decoder({i: bytes([i]) for i in range(256)} | {300: b"ab", 301: "é".encode(), 302: "é".encode()[:1]})
+    assert decoder.feed([300, 0xF0, 0x9F]) == "ab" and decoder.feed([0x98]) == "" and decoder.feed([0x80, 301, 302]) == "😀é"
+    assert decoder.close_bytes() == "é".encode()[:1]
+
+
+def test_columns_of_texts_equal_texts():
+    import pyarrow as pa
+
+    from horosphere.llm import pieces
+    from horosphere.llm.tokens import LibraryEncoder
+
+    library, r = LibraryEncoder(P.path("byte_bpe_50k.json")), random.Random(8)
+    some = ["", "\n", "a\n", "\na b", "don't.'s x", "a.b,c !d", "end.\nNew, line\n\nx", "\x02 a", "a　 b", " ".join(["word,"] * 50)]
+    some += ["".join(r.choice("abé .,'!\n\t1") for _ in range(r.randrange(40))) for _ in range(1500)]
+    for part in (16 << 20, 30):  # in one part, and long texts in parts
+        pieces.PART, was = part, pieces.PART
+        try:
+            ids, lengths = library.column(pa.array(some))
+        finally:
+            pieces.PART = was
+        assert pieces.parted(ids, lengths) == [library.whole(t) for t in some]
+
+
+def brute_common(raw, order):
+    out = [0]
+    for a, b in zip(order, order[1:], strict=False):
+        k = 0
+        while max(a, b) + k < len(raw) and raw[a + k] == raw[b + k]:
+            k += 1
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize(("memory", "taken"), [(1 << 26, 1 << 16), (64, 4), (1000, 16), (64, 1 << 16)])
+def test_induced_sorting_carries_common_prefixes(memory, taken, monkeypatch):
+    from horosphere.llm import induced
+
+    monkeypatch.setattr(induced, "TAKEN", taken)
+    r = np.random.default_rng(1)
+    texts = [r.integers(0, high, n, dtype=np.uint8, endpoint=True) for n in (1, 2, 9, 250) for high in (1, 3, 250)]
+    words = [bytes(r.integers(97, 123, 5, dtype=np.uint8)) for _ in range(9)]
+    texts.append(np.frombuffer(b" ".join(words[i] for i in r.integers(0, 9, 120)), np.uint8))
+    for t in texts:
+        raw = t.tobytes()
+        want = sorted(range(len(raw)), key=lambda i: raw[i:])
+        got = list(induced.sorted_suffixes(t, memory))
+        assert np.concatenate([p for p, _ in got]).tolist() == want
+        assert np.concatenate([x for _, x in got]).tolist() == brute_common(raw, want)
+
+
+def test_a_shard_larger_than_the_queues_goes_to_disk_and_stays_right():
+    """At the memory of production: the tuples of 600 KB are several times as large."""
+    from horosphere.llm import induced, substrings
+
+    r = np.random.default_rng(2)
+    segments = [bytes(r.integers(97, 101, 70, dtype=np.uint8)) for _ in range(8000)]
+    segments += [segments[i][5:60] + b"zz" for i in range(500)]
+    size, docs = np.array([len(s) for s in segments]), np.arange(len(segments))[::-1]
+    text, spills = np.frombuffer(b"".join(s + b"\xff" for s in segments), np.uint8), [0]
+    got = np.concatenate(list(substrings.holders(text, np.cumsum(size + 1) - size - 1, size, docs, spills=spills)))
+    first: dict = {}
+    windows = [(s[k : k + 50], d) for s, d in zip(segments, docs.tolist(), strict=True) for k in range(len(s) - 49)]
+    for w, d in windows:
+        first[w] = min(first.get(w, d), d)
+    assert got.tolist() == [first[w] for w, _ in windows]
+    assert len(text) * induced.TUPLE.itemsize > 2 * induced.MEMORY and spills[0] > 2
+
+
+def test_shards_follow_the_bytes(spark):
+    from horosphere.llm import substrings
+
+    held = lambda n: spark.createDataFrame([(n,)], "size long")
+    assert substrings.shard_count(held(0)) == 1
+    assert substrings.shard_count(held(80 << 20)) == 10
+    assert substrings.shard_count(held(10**14)) == -(-(10**14) // (256 << 20))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>a <![foo[ x ]]> b</p>", "a b"), ("<!DOCTYPE html [ <!ENTITY a 'b'> ]><p>text</p>", "text"),
+    ("<p>text here</p><!-- never ends <p>x", "text here"), ("<p>text</p><a href='x", "text"), ("<p>a &lt; b &amp;c &#233;</p>", "a < b &c é"),
+])
+def test_broken_markup(page, text):
+    from horosphere.llm.html import main_text
+
+    assert main_text(page) == text
+
+
+LONG = "Long text here, and a lot more of it, really, so much that it counts."
+
+
+def test_the_threshold_finds_the_region_without_names(monkeypatch):
+    from horosphere.llm import html
+
+    page = f"<div><div><a href=a>Home</a> <a href=b>About</a></div><div>Menu</div><div>Log in</div><div>Tags</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>ok</p></div><div>Up</div><div>Copyright</div><div><a href=c>Up</a></div></div>"
+    assert html.main_text(page) == f"T\n\n{LONG}\n\n{LONG}\n\nok"
+    monkeypatch.setattr(html, "threshold", lambda values: min(values) - 1)
+    assert html.main_text(page) != f"T\n\n{LONG}\n\n{LONG}\n\nok"
+
+
+def test_regions_by_their_content():
+    from horosphere.llm.html import main_text
+
+    assert main_text(f"<div><p>{LONG}</p></div><div><p>second</p></div>") == f"{LONG}\n\nsecond"
+    assert LONG in main_text(f"<article><p>Read on.</p></article><div class=story><p>{LONG}</p><p>{LONG}</p></div>")
+    assert main_text(f"<div class='no-sidebar layout'><article><p>{LONG}</p></article></div>") == LONG
+    assert main_text(f"<article><p>{LONG}</p><div class='related-work'><h2>Related work</h2><p>{LONG}</p></div></article>") == f"{LONG}\n\nRelated work\n\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</p></article><div class=related><a href=x>More</a> <a href=y>Less</a></div>") == LONG
+
+
+def test_op2_on_no_pages_clashes_and_a_long_page(spark, tmp_path):
+    from horosphere.llm.html import op2_html
+
+    big = "<article>" + f"<p>{LONG}</p>" * 130_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", big, "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert op2_html(spark, sf(spark, tmp_path, pages=pages)).first().n_chars == 130_000 * (len(LONG) + 2) - 2
+    assert op2_html(spark, sf(spark, tmp_path / "none", pages=pages.limit(0))).count() == 0
+
+
+def test_op2_finds_planted_articles(spark):
+    """The pages of the test data hold their article in one element: its blocks, by a plain parser, are what must come out."""
+    from html.parser import HTMLParser
+
+    from horosphere.llm.html import main_text
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks, self.skip = 0, [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("article", "main"):
+                self.depth += 1
+            if tag in ("p", "h1", "h2", "h3", "li", "div", "section", "blockquote"):
+                self.blocks.append("")
+            self.skip += tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "main"):
+                self.depth -= 1
+            if tag in ("p", "h1", "h2", "h3", "li", "div", "section", "blockquote"):
+                self.blocks.append("")
+            self.skip -= tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+
+        def handle_data(self, data):
+            if self.depth > 0 and not self.skip:
+                self.blocks[-1] += data
+
+    close = 0
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in rows:
+        a = Article()
+        a.feed(r.html or "")
+        want, got = {" ".join(b.split()) for b in a.blocks} - {""}, set(main_text(r.html or "").split("\n\n")) - {""}
+        close += len(want & got) >= 0.8 * len(got) and got <= want if want else not got
+    assert close >= 0.9 * len(rows)
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    return (rank[y > 0].sum() - (y > 0).sum() * ((y > 0).sum() + 1) / 2) / ((y > 0).sum() * (y == 0).sum())
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    """A constant score has an AUC of 0.5 and finds no toxic row."""
+    from horosphere.llm.toxicity import op7_toxicity
+
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no test data")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    r = op7_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").toPandas()
+    assert auc(r.score.to_numpy(), r.toxic.to_numpy()) > 0.95
+    assert r.predicted[r.toxic == 1].mean() > 0.8
+    assert r.predicted[r.toxic == 0].mean() < 0.02
+
+
+def test_toxicity_is_the_same_twice_and_knows_no_null(spark, tmp_path):
+    from horosphere.llm.toxicity import op7_toxicity
+
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["you", "vile", "scum", "day", "sun", "tree", f"w{i}"] if i % 3 else ["day", "sun", "tree", "sea", f"w{i}"]) for _ in range(30))) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (None, "you vile scum"), (7, "another text")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)] + [(3, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    path = sf(spark, tmp_path, documents=docs, labels=labels)
+    one, two = (sorted(map(tuple, op7_toxicity(spark, path).collect()), key=str) for _ in range(2))
+    assert one == two and len(one) == 152
+    assert [x[1] for x in one if x[0] is None] == [False]
+
+
+def test_no_label_reaches_its_own_features(spark, tmp_path):
+    """Random labels of texts whose every word is their own: a lexicon learnt from the scored rows would tell them apart."""
+    from horosphere.llm import toxicity
+
+    r = random.Random(10)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20)), r.randrange(2)) for i in range(200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    p = [x.score for x in toxicity.score(docs, model).collect()]
+    assert max(p) - min(p) < 0.5
+
+
+def test_op9_pieces_equal_brute_force(spark, odd, tmp_path):
+    from horosphere.llm.packing import op9_packing
+
+    got = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in op9_packing(spark, sf(spark, tmp_path, documents=odd)).collect())
+    want = collections.Counter()
+    for d, ids in expected_ids():
+        x = np.array([*ids, 2], "<u4")
+        first = len(x) % 1024 or 1024
+        for k, (a, b) in enumerate(zip([0, *range(first, len(x), 1024)], [*range(first, len(x), 1024), len(x)], strict=True)):
+            want[d, k, a, b - a, zlib.crc32(x[a:b].tobytes())] += 1
+    assert got == want
+
+
+def test_op8_on_odd_and_clashing_rows(spark, odd):
+    from horosphere.llm import neardup
+
+    got = neardup.near_duplicates(odd.withColumn("component_id", odd.score).withColumn("gone", odd.score)).collect()
+    assert len(got) == len(ROWS)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    kept = neardup.keep_one(odd.withColumn("gone", odd.score), 85)
+    assert kept.columns == [*odd.columns, "gone"]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7]
+
+
+def test_substring_stage_with_clashing_columns(spark, odd):
+    from horosphere.llm import substrings
+
+    df = odd.selectExpr("*", "1 AS doc", "2 AS was", "3 AS now", "4 AS spans", "5 AS kept")
+    got = substrings.without_repeats(df)
+    assert got.dtypes == df.dtypes
+    assert {r.doc_id for r in got.collect()} == {None, 1, 2, 3, 4, 5, 6, 7} - {4}
+
+
+def test_op1_with_clashing_columns_and_a_null(spark, tmp_path):
+    from horosphere.llm.ann import op1_ann
+
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1, 2.0), (1, [1.0, 0.5], 1, 2.0), (None, [1.0, 0.0], 1, 2.0)], "vec_id long, embedding array<double>, rank int, score double")
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in op1_ann(spark, sf(spark, tmp_path, embeddings=df)).collect()] == [(0, 1, 1, 0.5)]
+
+
+def stage_tables(spark, odd, tmp_path, empty):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id"])
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    return sf(spark, tmp_path, documents=docs.limit(0) if empty else docs, labels=labels)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_and_on_no_rows(spark, odd, tmp_path, empty):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, stage_tables(spark, odd, tmp_path, empty))
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= {*got.columns}
+    assert empty == (not got.collect())
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() against the toxic stage's own scores, brute-force components and removal, and the library's ids."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from horosphere.llm import toxicity
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if score[r.doc_id] < 0.5]
+    classes = brute_components(rows)
+    rows = [(i, t) for i, t in rows if classes[i][1] == i]
+    seen, left = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone, new = bytearray(len(b)), []
+        for p in range(len(b) - 49):
+            if b[p : p + 50] in seen:
+                gone[p : p + 50] = b"\1" * 50
+            else:
+                new.append(b[p : p + 50])
+        seen.update(new)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if kept or not t:
+            left[i] = kept
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    assert got.keys() == left.keys()
+    for i, t in left.items():
+        x = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert sorted(got[i]) == [(a, n, zlib.crc32(x[a : a + n].tobytes())) for a, n, _ in sorted(got[i])]
+        assert sum(n for _, n, _ in got[i]) == len(x)
