@@ -1,15 +1,18 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE of them (those of the least hash of
-doc_id; the bound is a parameter). From the sample's texts come, in one grouped count over its terms, the lexicons: words
-and word beginnings of 4 to 6 letters whose share of toxic documents stands out. Every text then becomes COLUMNS numbers:
-densities of both lexicons, nearness to second-person words, and rates of capitals, punctuation and obfuscation. Trees are
-grown on histograms of the sample's features on the driver (the sample is bounded), their scores calibrated by isotonic
-regression on scores of folds left out, and the model, of bounded size, goes with the tasks over all rows.
+doc_id; the bound is a parameter). Their texts fall into FOLDS folds, copies and confirmed near-duplicates into one. From the
+texts come, in one grouped count over their terms, the lexicons: words and word beginnings of 4 to 6 letters whose share of
+toxic documents stands out; one of all folds, which scores the corpus, and one without each fold. Every text then becomes
+COLUMNS numbers: densities of the lexicon, nearness to second-person words, and rates of capitals, punctuation and
+obfuscation. A labelled text's numbers come from the lexicon without its fold, so that none was learnt from its own label.
+Trees are grown on histograms of these features on the driver (the sample is bounded), their scores calibrated by isotonic
+regression on scores by trees without the text's fold, and the model, of bounded size, goes with the tasks over all rows.
 
 Edge cases: a null or empty text has features 0 and gets the score that these have; without labelled rows every score is
 0.0, with labels of one kind every score is that label; label rows without a document, and null labels, count nowhere;
-repeated labels of a document each count; repeated documents are scored each for itself; further columns are not read.
+repeated labels of a document count once, both kinds of label one each; of rows of equal doc_id the least text is learnt
+from; repeated documents are scored each for itself; a null doc_id is scored and not held out; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from horosphere.llm import neardup
 from horosphere.llm.common import claim, map_arrow, stored, table, texts
-from horosphere.llm.neardup import near_duplicates
 
 #: Bounds of sample and lexicon; the trees' number, depth, bins of a feature and learning rate; folds left out for calibration;
 #: standard deviations by which a lexicon term's toxic documents exceed chance (a larger sample tries more terms, and asks for more).
-SAMPLE, TERMS, TREES, DEPTH, BINS, RATE, FOLDS, SIGNS = 16000, 3000, 40, 3, 32, 0.25, 3, 2.9
+SAMPLE, TERMS, TREES, DEPTH, BINS, RATE, FOLDS, SIGNS = 16000, 3000, 40, 3, 32, 0.25, 5, 2.9
 #: Second-person words of the corpus's languages; what stands for a letter in disguised words.
 SECOND = frozenset("you your yours yourself u ur ya du dich dir dein deine deiner ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros os vuestro tus".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
-NEAR = 6
+#: Words around a second-person word that count as near; terms counted in memory at once.
+NEAR, HELD = 6, 200_000
 COLUMNS = ("words", "hits", "hit_weight", "most", "kinds", "starts", "start_weight", "start_most", "near_second", "second", "capitals", "upper_words", "marks", "shouts", "asks", "disguised", "stretched")
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
 _STRETCHED = re.compile(r"(.)\1\1")
@@ -186,17 +190,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """lexicon, trees and calibration; small whatever the corpus is."""
+    """lexicon, trees and calibration; small whatever the corpus is. x, y, fold: features, labels and folds of the sample."""
 
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray):
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.lexicon, self.constant = lexicon, None
         if len(y) == 0 or y.min() == y.max():
             self.constant = float(y[0]) if len(y) else 0.0
             return
-        fold = np.arange(len(y)) % FOLDS
         out = np.zeros(len(y))
-        for k in range(FOLDS):
-            out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k]) if y[fold != k].any() else -9
+        for k in np.unique(fold):
+            rest = fold != k
+            if rest.any():
+                out[~rest] = Trees().fit(x[rest], y[rest]).raw(x[~rest])
         self.curve = isotonic(out, y)
         self.trees = Trees().fit(x, y)
 
@@ -207,46 +212,111 @@ class Model:
 
 
 def held_out(doc: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, toxic, text) of a bounded sample with component_id: equal for equal sets of shingles, and for sets that are
+    confirmed near-duplicates of the least one in a bucket of sketches. Sketches and links of the sample are few enough for the
+    driver; texts stay where they are."""
+    spark = rows.sparkSession
+    texts_ = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = sorted(map(tuple, neardup.sketches(texts_).where("n > 0").select("doc_id", "n", "fp_a", "fp_b", "regs", "bands").collect()))
+    rep: dict[tuple[int, int], int] = {}
+    for doc, _, fa, fb, _, _ in found:
+        rep.setdefault((fa, fb), doc)
+    own = [x for x in found if rep[x[2], x[3]] == x[0]]
+    hub: dict[int, tuple] = {}
+    pairs = {}
+    for x in own:
+        for key in x[5]:
+            y = hub.setdefault(key, x)
+            if y[0] != x[0]:
+                pairs[y[0], x[0]] = (y[0], x[0], y[1], x[1], bytes(y[4]), bytes(x[4]))
+    parent = {doc: rep[fa, fb] for doc, _, fa, fb, _, _ in found}
+    if pairs:
+        near = neardup.likely(spark.createDataFrame(list(pairs.values()), "a long, b long, na long, nb long, ra binary, rb binary"))
+        for a, b in sorted(map(tuple, neardup.confirmed(near, texts_).collect())):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+    for doc in sorted(parent):  # a parent is less than its child
+        parent[doc] = parent[parent[doc]]
+    known = spark.createDataFrame([(int(d), int(c)) for d, c in parent.items()], "doc_id long, component_id long")
+    return rows.join(F.broadcast(known), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def single(rows: DataFrame) -> DataFrame:
     """Of rows (doc_id, toxic, text), the toxic and text of one of each label's equal texts and confirmed near-duplicates: of
     the least doc_id."""
-    exact = rows.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id"))
-    near = near_duplicates(rows.select("doc_id", "text")).select("doc_id", "component_id").distinct()
-    return exact.join(near, "doc_id").groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("toxic", "least.text")
+    return least_of_each(grouped(rows)).select("toxic", "text")
+
+
+def least_of_each(rows: DataFrame) -> DataFrame:
+    exact = rows.groupBy("toxic", "text").agg(F.min(F.struct("doc_id", "component_id")).alias("x")).select("toxic", "text", "x.*")
+    return exact.groupBy("toxic", "component_id").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("toxic", "component_id", "least.text")
+
+
+def lexicon(counted: DataFrame, nt: int, nc: int) -> dict[str, float]:
+    """Weights of the terms of counted (term, t, c) that stand out in toxic documents: t of nt, and c of nc others, hold it."""
+    by_chance = (F.col("t") + F.col("c")) * (nt / max(1, nt + nc))  # toxic documents that would hold the term if it told nothing
+    weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
+    apart = (F.col("t") - by_chance) >= (SIGNS + 0.5 * math.log(max(1, nt))) * F.sqrt(by_chance)
+    return {r.term: r.w for r in counted.where("t >= 3").withColumn("w", weight).where("w >= 2").where(apart).orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1)).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most sample rows are broadcast
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most sample rows are broadcast
+    rows = stored(rows, "toxic-sample")
+    rows = stored(grouped(rows).withColumn("fold", F.pmod(F.xxhash64("component_id"), F.lit(FOLDS)).cast("int")), "toxic-folds")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+        seen: dict[tuple[int, int], Counter] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (label, fold), found in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32()), pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["toxic", "fold", "term", "n"])
+            seen.clear()
+
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if label else clean).update(terms(text))
-        both = list({**toxic, **clean})
-        yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[t] for t in both], pa.int64()), pa.array([clean[t] for t in both], pa.int64())], ["term", "toxic", "clean"])
+            for label, fold, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                seen.setdefault((label, fold), Counter()).update(terms(text))
+                if sum(map(len, seen.values())) > HELD:
+                    yield from counted()
+        yield from counted()
 
-    rows = stored(rows, "toxic-sample")
-    different = stored(single(rows), "toxic-single")
-    nt, nc = (dict(different.groupBy("toxic").count().collect()).get(k, 0) for k in (1, 0))
-    counted = map_arrow(different, count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
-    by_chance = (F.col("t") + F.col("c")) * (nt / max(1, nt + nc))  # toxic documents that would hold the term if it told nothing
-    weight = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
-    lexicon = {r.term: r.w for r in counted.withColumn("w", weight).where("w >= 2").where((F.col("t") - by_chance) >= (SIGNS + 0.5 * math.log(max(1, nt))) * F.sqrt(by_chance)).orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
+    different = stored(least_of_each(rows).withColumn("fold", F.pmod(F.xxhash64("component_id"), F.lit(FOLDS)).cast("int")), "toxic-single")
+    size = {(r.toxic, r.fold): r["count"] for r in different.groupBy("toxic", "fold").count().collect()}
+    by_fold = map_arrow(different.select("toxic", "fold", "text"), count, "toxic int, fold int, term string, n long")
+    parts = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"{name}{k}") for y, name in ((1, "t"), (0, "c")) for k in range(FOLDS)]
+    table_ = stored(by_fold.groupBy("term").agg(*parts).where(" + ".join(f"t{k}" for k in range(FOLDS)) + " >= 3"), "toxic-terms")
+
+    def without(fold: int | None) -> dict[str, float]:
+        used = [k for k in range(FOLDS) if k != fold]
+        t, c = (F.expr(" + ".join(f"{name}{k}" for k in used)).alias(name) for name in "tc")
+        return lexicon(table_.select("term", t, c), *(sum(size.get((y, k), 0) for k in used) for y in (1, 0)))
+
+    lexicons = [without(k) for k in range(FOLDS)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("features")
-        f = Featurizer(lexicon)
+        now, look = None, None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
-
-    got = sorted(map(tuple, map_arrow(rows.select("toxic", "text"), features, "toxic int, x array<double>").collect()), key=lambda r: (r[1], r[0]))  # the order of tasks plays no part
-    return Model(lexicon, np.array([r[1] for r in got]).reshape(len(got), len(COLUMNS)), np.array([r[0] for r in got], float))
+            out = []
+            for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, look = k, Featurizer(lexicons[k])
+                out.append(look(t).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], ["toxic", "fold", "x"])
+
+    by_folds = rows.select("toxic", "fold", "text").sortWithinPartitions("fold")  # one lexicon's memory at a time
+    got = sorted(map(tuple, map_arrow(by_folds, features, "toxic int, fold int, x array<double>").collect()), key=lambda r: (r[2], r[0], r[1]))  # of the bounded sample; the order of tasks plays no part
+    x = np.array([r[2] for r in got]).reshape(len(got), len(COLUMNS))
+    return Model(without(None), x, np.array([r[0] for r in got], float), np.array([r[1] for r in got], int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
