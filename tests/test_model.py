@@ -231,6 +231,20 @@ def test_refinement_in_batches_is_the_pass_one_by_one(spark, monkeypatch, batche
     assert all(math.isclose(one[k], many[k], abs_tol=1e-9) for k in one)
 
 
+def test_refinement_on_the_sphere_keeps_its_radius(spark):
+    from horosphere.operators import embed
+    from horosphere.operators.infer import Params
+
+    n = 12
+    p = Params(2, 5.0, 0.02, n, 2.0)
+    e = stored(graph.canonical(spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))), "ring")
+    x = generate.sphere_points(n, 2, 3) * p.big_r
+    v = spark.createDataFrame([(i, 3.0, a.tolist()) for i, a in enumerate(x)], "vid long, kappa double, pos array<double>")
+    got = embed.refine(v, e, graph.onion(e), p, embed.EmbedConfig(dim=2, candidates=3)).collect()
+    assert len(got) == n
+    assert np.allclose([np.linalg.norm(r.pos) for r in got], p.big_r)
+
+
 @pytest.mark.parametrize("target", [0.1, 5.0, 1e9, -1.0])
 def test_beta_search_returns_what_it_evaluated_last(target):
     seen = []
