@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from horosphere.functions import geometry as G
 from horosphere.functions import special
-from horosphere.operators import graph, infer, ordered, pairs
+from horosphere.operators import circle, graph, infer, ordered, pairs
 from horosphere.operators.infer import Params
 from horosphere.sources.shared import stored
 
@@ -244,8 +244,10 @@ def neighbour_centres(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def score_places(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, p: Params) -> DataFrame:
-    """candidates (vid, c, theta) to (vid, c, ll), all other vertices at their places. Places and neighbours go to the
-    executors once, as the N^2 evaluations of a pass bound N."""
+    """candidates (vid, c, theta) to (vid, c, ll), all other vertices at their places. Where hidden degrees are few, by classes;
+    else places and neighbours go to the executors once, as the N^2 evaluations of a pass bound N."""
+    if layout := pairs.classes(vertices, 1, None):
+        return score_places_by_class(layout, vertices, edges, candidates, p)
     rows = sorted(map(tuple, vertices.select("vid", "kappa", "theta").collect()))
     at = {r[0]: i for i, r in enumerate(rows)}
     kappa, theta = (np.array([r[k] for r in rows]) for k in (1, 2))
@@ -269,6 +271,27 @@ def score_places(vertices: DataFrame, edges: DataFrame, candidates: DataFrame, p
     return each.repartition(64).mapInPandas(run, "vid long, c long, ll double")
 
 
+def score_places_by_class(layout: circle.Layout, vertices: DataFrame, edges: DataFrame, candidates: DataFrame, p: Params) -> DataFrame:
+    """score_places by sums over classes: all vertices at the candidate places, less the vertex itself, and what links add."""
+    spark, scale = vertices.sparkSession, F.lit(p.big_r / p.mu)
+    own = vertices.select(F.col("vid").alias("own"), "kappa", F.col("theta").alias("held"))
+    tried = stored(candidates.join(own, F.col("vid") == F.col("own")).select("vid", "c", "kappa", "theta", "held", F.monotonically_increasing_id().alias("row")), "tried")
+    places = circle.Layout(tried.select("kappa", "theta", F.col("row").alias("vid")))
+
+    def no_link(x):
+        return -np.log1p(np.maximum(x, 1e-12) ** -p.beta)
+
+    def x(a, b, k):
+        return F.greatest(F.lit(1e-12), scale * G.circular_distance(F.col(a), F.col(b)) / (F.col("kappa") * F.col(k)))
+
+    everywhere = circle.sums(layout, spark, p.big_r, p.mu, no_link, places.path, places.kinds).withColumnRenamed("vid", "row")
+    itself = tried.select("row", F.log1p(F.pow(x("theta", "held", "kappa"), F.lit(-p.beta))).alias("x"))
+    near = graph.adjacency(edges).join(vertices.select(F.col("vid").alias("u"), F.col("kappa").alias("ku"), F.col("theta").alias("at")), "u")
+    links = tried.join(near, F.col("vid") == F.col("v")).select("row", (-F.lit(p.beta) * F.log(x("theta", "at", "ku"))).alias("x"))
+    total = everywhere.unionByName(itself).unionByName(links).groupBy("row").agg(F.sum("x").alias("ll"))
+    return tried.select("vid", F.col("c").cast("long").alias("c"), "row").join(total, "row").select("vid", "c", "ll")
+
+
 def best_candidates(scored: DataFrame) -> DataFrame:
     """(vid, c, ll) to (vid, best, ll): the best candidate, of equal ones the least, which is the place held."""
     b = scored.groupBy("vid").agg(F.max(F.struct("ll", (-F.col("c")).alias("c"))).alias("b"))
