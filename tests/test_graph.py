@@ -72,3 +72,14 @@ def test_text_round_trip(spark, tmp_path):
     back = text.read_coordinates(spark, str(tmp_path / "c"), 1)
     assert sorted(map(tuple, back.collect())) == [("a", 1.5, 0.0, 3.0), ("b", 2.5, 0.25, 3.0), ("c", 3.5, 0.5, 3.0)]
     assert text.read_parameters(spark, str(tmp_path / "c"))["beta"] == 2.5
+
+
+def test_searches_in_tasks_are_those_by_joins_and_write_no_level(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (4, 9), (20, 30), (30, 40)], "src long, dst long")
+    s = spark.createDataFrame([(1,), (9,), (30,), (77,), (1,)], "s long")
+    tags, want = [], sorted(map(tuple, graph.bfs(e, s, 0).collect()))
+    made = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, tag: (tags.append(tag), made(df, tag))[1])
+    assert sorted(map(tuple, graph.bfs(e, s).collect())) == want
+    assert len(want) == 5 + 5 + 3 + 1
+    assert set(tags) == {"edges", "sources"}
