@@ -41,6 +41,14 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     assert all(math.isclose(whole[k], parts[k], rel_tol=1e-9) for k in whole)
 
 
+def test_blocks_are_not_copied_for_every_block_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 10)
+    plan = pairs.expected_degrees(ring(spark, 600), 1, 2.5, 95.0, 0.02, 600)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "RoundRobin" not in plan
+    got = pairs.expected_degrees(ring(spark, 600), 1, 2.5, 95.0, 0.02, 600)
+    assert got.count() == 600
+
+
 def test_class_kappas_reach_their_degrees():
     k, n_k = np.array([1.0, 2, 3, 5, 8]), np.array([40.0, 30, 20, 8, 2])
     for dim in (1, 2):
