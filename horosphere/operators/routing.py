@@ -72,18 +72,20 @@ def summary(routes: DataFrame, shortest: DataFrame, compat: bool = False) -> Dat
     return x.agg(F.avg(F.col("h").isNotNull().cast("double")).alias("p_s"), F.avg("h").alias("mean_hop_length"), F.avg(stretch).alias("mean_strech"), F.max(stretch).alias("max_strech"), (F.sum(1 / stretch) / F.count("*")).alias("gr_score"))
 
 
-def distances_from(source: int, targets: np.ndarray, start: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Hops from source to each of targets, -1 where there is no way; near[start[v] : start[v + 1]] are v's neighbours."""
-    dist = np.full(len(start) - 1, -1, np.int64)
-    dist[source], front, level = 0, np.array([source]), 0
-    while len(front) and (dist[targets] < 0).any():
+def distances_between(sources: np.ndarray, which: np.ndarray, targets: np.ndarray, start: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Hops from sources[which] to targets, pair by pair, -1 where there is no way; near[start[v] : start[v + 1]] are v's
+    neighbours, of which each vertex has one at least. At most 64 sources are searched from at once, a bit each."""
+    seen, bit = np.zeros(len(start) - 1, np.uint64), which.astype(np.uint64)
+    np.bitwise_or.at(seen, sources, np.uint64(1) << np.arange(len(sources), dtype=np.uint64))
+    front, level, dist, left = seen.copy(), 0, np.full(len(targets), -1, np.int64), np.arange(len(targets))
+    while True:
+        hit = (front[targets[left]] >> bit[left]) & np.uint64(1) > 0
+        dist[left[hit]], left = level, left[~hit]
+        if not len(left) or not front.any():
+            return dist
+        front = np.bitwise_or.reduceat(front[near], start[:-1]) & ~seen
+        seen |= front
         level += 1
-        size = start[front + 1] - start[front]
-        at = np.repeat(start[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        front = np.unique(near[at])
-        front = front[dist[front] < 0]
-        dist[front] = level
-    return dist[targets]
 
 
 def shortest_paths(edges: DataFrame, runs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
@@ -101,14 +103,17 @@ def shortest_paths(edges: DataFrame, runs: DataFrame, local: int = LOCAL_EDGES)
     def run(batches):
         ids, start, near = sent.value
         for x in batches:
-            for s, targets in zip(x["s"], x["ts"], strict=True):
-                t = np.array(targets, np.int64)
-                at = np.minimum(np.searchsorted(ids, np.append(t, s)), len(ids) - 1) if len(ids) else np.zeros(len(t) + 1, np.int64)
-                known = ids[at] == np.append(t, s) if len(ids) else np.zeros(len(t) + 1, bool)
+            for lo in range(0, len(x), 64):
+                part = x.iloc[lo : lo + 64]
+                s, t = part["s"].to_numpy(np.int64), np.concatenate([np.asarray(v, np.int64) for v in part["ts"]])
+                which = np.repeat(np.arange(len(s)), [len(v) for v in part["ts"]])
                 dist = np.full(len(t), -1, np.int64)
-                if known[-1] and known[:-1].any():
-                    dist[known[:-1]] = distances_from(at[-1], at[:-1][known[:-1]], start, near)
-                dist[t == s] = 0
-                yield pd.DataFrame({"s": s, "t": t[dist >= 0], "dist": dist[dist >= 0]})
-
-    return wanted.groupBy("s").agg(F.collect_list("t").alias("ts")).mapInPandas(run, "s long, t long, dist long")
+                if len(ids):
+                    at, to = (np.minimum(np.searchsorted(ids, v), len(ids) - 1) for v in (s, t))
+                    known = (ids[at] == s)[which] & (ids[to] == t)
+                    dist[known] = distances_between(at, which[known], to[known], start, near)
+                dist[t == s[which]] = 0
+                yield pd.DataFrame({"s": s[which][dist >= 0], "t": t[dist >= 0], "dist": dist[dist >= 0]})
+
+    each = wanted.groupBy("s").agg(F.collect_list("t").alias("ts"))
+    return stored(each, "wanted").repartition(64).mapInPandas(run, "s long, t long, dist long")

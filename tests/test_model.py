@@ -165,6 +165,15 @@ def test_shortest_paths_in_memory_are_those_by_joins(spark):
     assert by_joins == here and len(here) > 20
 
 
+def test_shortest_paths_are_searched_by_many_tasks_64_sources_at_once(spark):
+    n = 150
+    e = stored(graph.canonical(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))), "path")
+    runs = spark.range(n).select(F.col("id").alias("run"), F.col("id").alias("s"), (F.col("id") * 37 % n).alias("t"))
+    got = routing.shortest_paths(e, runs)
+    assert got.rdd.getNumPartitions() == 64
+    assert sorted(map(tuple, got.select("s", "t", "dist").collect())) == [(i, i * 37 % n, abs(i - i * 37 % n)) for i in range(n)]
+
+
 def test_routing_takes_its_runs_from_the_vertices(spark, tmp_path):
     from horosphere.plans import catalog
 
