@@ -206,6 +206,53 @@ def test_eigenmap_says_where_it_does_not_converge(spark, monkeypatch):
         embed.eigenmap(w, 1, rounds=3)
 
 
+def test_eigenmap_in_a_task_is_the_dense_solvers(spark, monkeypatch):
+    from horosphere.operators import embed
+
+    n = 400
+    w = graph.canonical(spark.range(n).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % n, (F.col("id") * F.col("id") + 3) % n)).alias("dst")))
+    w = stored(w.withColumn("w", 0.5 + G.uniform(F.col("src") * 1000 + F.col("dst"), 3)), "weights")
+    a = embed.eigenmap(w, 1)
+    monkeypatch.setattr(embed, "DENSE", 0)
+    b = embed.eigenmap(w, 1, rounds=1)
+    x, y = (np.array([m[i] for i in range(n)]) for m in (a, b))
+    assert all(min(np.abs(x[:, k] - y[:, k]).max(), np.abs(x[:, k] + y[:, k]).max()) < 1e-7 for k in range(2))
+
+
+@pytest.mark.parametrize(("dim", "beta"), [(1, 2.5), (1, 2.3), (2, 5.0)])
+def test_expected_degrees_of_arrays_are_those_of_tables(spark, dim, beta):
+    n, place = 300, "theta" if dim == 1 else "pos"
+    pos = G.scaled(F.array(*(G.uniform(F.col("id"), k) - 0.5 for k in (4, 5, 6))), 5.0)
+    v = spark.range(n).select(F.col("id").alias("vid"), (3.0 + F.col("id") % 7).alias("kappa"), (2 * math.pi * G.uniform(F.col("id"), 1) if dim == 1 else pos).alias(place))
+    want = [x for _, x in sorted(map(tuple, pairs.expected_degrees(v, dim, beta, G.radius(dim, n), 0.02, n).collect()))]
+    rows = v.orderBy("vid").collect()
+    at = spark.sparkContext.broadcast(np.array([r[place] for r in rows]))
+    assert np.allclose(pairs.expected_at(spark, at, np.array([r.kappa for r in rows]), dim, beta, G.radius(dim, n), 0.02), want, rtol=1e-12)
+    assert pairs.uniforms(np.arange(n), 1003).tolist() == [r.u for r in spark.range(n).select("id", G.uniform(F.col("id"), 1003).alias("u")).orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_bounded_scores_find_the_greatest(dim):
+    from horosphere.operators import embed
+    from horosphere.operators.infer import Params
+
+    rng, n = np.random.default_rng(4), 3000
+    unit = generate.sphere_points(n, dim, 5)
+    kappa = rng.uniform(1, 9, n)
+    p = Params(dim, 2.5 * dim, G.density(dim, 2.5 * dim, 5.0), n, 5.0)
+    near, moved = embed.Near.of(unit, kappa), unit.copy()
+    moved[::7] = generate.sphere_points(len(unit[::7]), dim, 6)  # sets of near vertices may be old
+    for i in range(0, n, 300):
+        friends = np.argsort(-(unit @ unit[i]))[1:8].tolist()
+        centre, dev = embed.centre_of(moved[friends], kappa[friends], dim)
+        cand = centre + dev * rng.standard_normal((300, dim + 1))
+        cand = np.vstack([moved[i], cand / np.linalg.norm(cand, axis=1, keepdims=True)])
+        score, kind = embed.bounded_scores(cand, i, moved, kappa, friends, p, near)
+        want = embed.place_scores(cand, i, moved, kappa, friends, p)
+        assert np.where(kind == 2, score, -math.inf).argmax() == want.argmax()
+        assert (score >= want - 1e-6).all() and (kind == 2).sum() < len(cand)
+
+
 def test_embedding_queries_take_their_vertices_from_the_tables(spark, tmp_path):
     from horosphere.plans import catalog
 
