@@ -83,3 +83,24 @@ def test_searches_in_tasks_are_those_by_joins_and_write_no_level(spark, monkeypa
     assert sorted(map(tuple, graph.bfs(e, s).collect())) == want
     assert len(want) == 5 + 5 + 3 + 1
     assert set(tags) == {"edges", "sources"}
+
+
+def test_components_of_one_task_are_those_by_rounds(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    e = edges(spark, {(draw.randrange(400), 1000 + draw.randrange(300)) for _ in range(350)} | {(i, i + 7) for i in range(2000, 2300)})
+    want = sorted(map(tuple, graph.components_by_rounds(e).collect()))
+    assert len({c for _, c in want}) > 20
+    monkeypatch.setattr(graph, "components_by_rounds", None)
+    assert sorted(map(tuple, graph.components(e).collect())) == want
+    assert graph.components(e.limit(0)).collect() == []
+    narrow = graph.components(e.selectExpr("int(src) src", "int(dst) dst"))
+    assert [f.dataType.simpleString() for f in narrow.schema] == ["int", "int"]
+
+
+def test_a_graph_is_generated_without_its_components(spark, monkeypatch):
+    from horosphere.plans import catalog
+
+    monkeypatch.setattr(graph, "components", None)
+    assert catalog.generate_s1(spark, "/root/testdata/sf0.001").count() > 0
