@@ -112,9 +112,20 @@ def subspace(q: DataFrame, strength: DataFrame, width: int, need: int, seed: int
     return None
 
 
+def steep(times, x: np.ndarray, cut: float, degree: int) -> np.ndarray:
+    """Rows of x times a Chebyshev polynomial of the matrix, at most 1 on [-1, cut] and rising beyond."""
+    half, mid = (1 + cut) / 2, (cut - 1) / 2
+    before, now = x, (times(x) - mid * x) / half
+    for _ in range(degree - 1):
+        before, now = now, (times(now) - mid * now) * (2 / half) - before
+    return now
+
+
 def krylov(times, top: np.ndarray, need: int, seed: int, most: int, rounds: int) -> np.ndarray | None:
-    """The need greatest eigenvectors, descending, of the symmetric matrix that times() multiplies by, but for its known unit
-    vector top: block Lanczos, orthogonal in full, restarted at most vectors; None where rounds do not reach CLOSE."""
+    """The need greatest eigenvectors, descending, of the symmetric matrix of spectrum [-1, 1] that times() multiplies by, but for
+    its known unit vector top: block Lanczos, orthogonal in full, of at most so many vectors. Where these do not do, it begins
+    anew from the best, on a polynomial of the matrix that lifts what lies beyond its next estimates, which are too low if
+    anything: orthogonalising is what costs. None where rounds do not reach CLOSE."""
     rng, width = np.random.default_rng(seed), need + 1
     basis, image, size = np.empty((most, len(top))), np.empty((most, len(top))), 0  # a row a vector
 
@@ -129,23 +140,27 @@ def krylov(times, top: np.ndarray, need: int, seed: int, most: int, rounds: int)
             x = np.linalg.qr(x.T)[0].T
         return x
 
-    new = fresh(rng.standard_normal((width, len(top))))
-    for k in range(rounds):
+    new, cut, degree, since = fresh(rng.standard_normal((width, len(top)))), 0.0, 0, 0
+    for _ in range(rounds):
         basis[size : size + width] = new
-        image[size : size + width] = times(new)
-        size += width
+        image[size : size + width] = steep(times, new, cut, degree) if degree else times(new)
+        size, since = size + width, since + 1
         full = size + width > most
-        if full or k % 10 == 9:
-            value, u = np.linalg.eigh(basis[:size] @ image[:size].T)
-            value, u = value[::-1], u[:, ::-1].T
-            x = u[:need] @ basis[:size]
-            if np.linalg.norm(u[:need] @ image[:size] - value[:need, None] * x, axis=1).max() <= CLOSE:
-                return x.T
-        new = fresh(image[size - width : size])
+        if full or since % (4 if degree else 10) == 0:
+            u = np.linalg.eigh(basis[:size] @ image[:size].T)[1][:, ::-1].T
+            best = u[: min(size, need + 9)] @ basis[:size]
+            moved = times(best)
+            value, v = np.linalg.eigh(best @ moved.T)
+            value, x, y = value[::-1], v[:, ::-1].T @ best, v[:, ::-1].T @ moved
+            if np.linalg.norm(y[:need] - value[:need, None] * x[:need], axis=1).max() <= CLOSE:
+                return x[:need].T
         if full:
-            keep = most // 2
-            basis[:keep], image[:keep] = u[:keep] @ basis[:size], u[:keep] @ image[:size]
-            size = keep
+            cut = max(cut, float(min(value[-1], value[need - 1] - 1e-9)))
+            rise = math.acosh(max(1.0, 1 + 2 * (value[need - 1] - cut) / (1 + cut)))
+            degree, size, since = int(min(200, max(8, math.ceil(6 / max(rise, 1e-3))))), 0, 0
+            new = fresh(x[:width])
+        else:
+            new = fresh(image[size - width : size])
     return None
 
 

@@ -384,3 +384,25 @@ def test_refinement_with_bounds_is_the_pass_of_every_candidate(spark, monkeypatc
     many = {r.vid: r.theta for r in embed.refine(v, e, layers, p, config).collect()}
     assert one.keys() == many.keys()
     assert all(math.isclose(one[k], many[k], abs_tol=1e-9) for k in one)
+
+
+def test_krylov_resolves_a_long_ring_in_few_rounds():
+    from horosphere.operators import embed
+
+    n = 3000  # eigenvalues cos(2 pi k / n), each twice but the first: the greatest lie within 1e-5
+    link = np.random.default_rng(2).uniform(0.5, 1.5, n)
+    s = link + np.roll(link, 1)
+    both = link / np.sqrt(s * np.roll(s, -1))
+    top = np.sqrt(s / s.sum())
+
+    def times(x):
+        return np.roll(x, -1, 1) * both + np.roll(x * both, 1, 1)
+
+    x = embed.krylov(times, top, 2, 1, 60, 150)
+    dense = np.zeros((n, n))
+    dense[np.arange(n), (np.arange(n) + 1) % n] = dense[(np.arange(n) + 1) % n, np.arange(n)] = both
+    want = np.linalg.eigh(dense)[0][-3:-1][::-1]
+    assert x is not None
+    assert np.allclose((x * times(x.T).T).sum(0), want, atol=1e-10)
+    assert np.allclose(x.T @ x, np.eye(2), atol=1e-9)
+    assert np.abs(top @ x).max() < 1e-9
