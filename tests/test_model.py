@@ -406,3 +406,25 @@ def test_krylov_resolves_a_long_ring_in_few_rounds():
     assert np.allclose((x * times(x.T).T).sum(0), want, atol=1e-10)
     assert np.allclose(x.T @ x, np.eye(2), atol=1e-9)
     assert np.abs(top @ x).max() < 1e-9
+
+
+@pytest.mark.parametrize("beta", [0.5, 1.0, 2.5, 4.0, 5.0, 7.5, 2.7])
+def test_powers_in_place_are_powers(beta):
+    x = np.random.default_rng(1).uniform(0, 4, (7, 9))
+    was, out, spare = x.copy(), np.empty_like(x), np.empty_like(x)
+    assert (special.power_into(x, beta, out, spare) == special.power(x, beta)).all()
+    assert (x == was).all()
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_expected_degrees_make_no_array_a_tile(spark, monkeypatch, dim):
+    n, beta = 700, 2.5 * dim
+    at = np.random.default_rng(3).uniform(0, 2 * math.pi, n) if dim == 1 else generate.sphere_points(n, dim, 3)
+    kappa = np.random.default_rng(4).uniform(1, 9, n)
+    d = np.pi - np.abs(np.pi - np.abs(at[:, None] - at[None, :])) if dim == 1 else np.arccos(np.clip(at @ at.T, -1, 1))
+    x = 1 / (1 + (40.0 * d / (0.05 * kappa[:, None] * kappa[None, :]) ** (1 / dim)) ** beta)
+    np.fill_diagonal(x, 0)
+    power = special.power
+    monkeypatch.setattr(pairs, "power", lambda v, b: power(v, b) if v.ndim == 1 else None)  # whole tiles go in place
+    got = pairs.expected_at(spark, spark.sparkContext.broadcast(at), kappa, dim, beta, 40.0, 0.05)
+    assert np.allclose(got, x.sum(1), rtol=1e-9)
