@@ -428,3 +428,17 @@ def test_expected_degrees_make_no_array_a_tile(spark, monkeypatch, dim):
     monkeypatch.setattr(pairs, "power", lambda v, b: power(v, b) if v.ndim == 1 else None)  # whole tiles go in place
     got = pairs.expected_at(spark, spark.sparkContext.broadcast(at), kappa, dim, beta, 40.0, 0.05)
     assert np.allclose(got, x.sum(1), rtol=1e-9)
+
+
+def test_equal_candidates_are_evaluated_once(spark, monkeypatch):
+    from horosphere.operators import embed
+    from horosphere.operators.infer import Params
+
+    p = Params(2, 5.0, 0.02, 2, 1.0)
+    v = spark.createDataFrame([(0, 2.0, [p.big_r, 0.0, 0.0]), (1, 2.0, [0.0, p.big_r, 0.0])], "vid long, kappa double, pos array<double>")
+    e = spark.createDataFrame([(0, 1)], "src long, dst long")
+    sizes, scores = [], embed.place_scores
+    monkeypatch.setattr(embed, "place_scores", lambda cand, *rest: (sizes.append(len(cand)), scores(cand, *rest))[1])
+    got = {r.vid: r.pos for r in embed.refine(v, e, graph.onion(e), p, embed.EmbedConfig(dim=2)).collect()}
+    assert max(sizes) <= 2
+    assert np.allclose(got[0], got[1])  # alone with its neighbour, a vertex goes where that is
