@@ -4,8 +4,8 @@ Texts are first stored in chunks of some hundred documents. Every window of WIND
 bytes choose; a maximal run of windows with one anchor is a segment, so equal windows lie in segments of equal anchors, and
 a shard - all segments whose anchors hash to it - decides its windows alone. Equal segments are one to the sort: a copy in a later document loses all its windows to the
 first one, within a chunk at once and in the shard beyond. Where an anchor has several distinct segments, one copy of each
-is fetched from the chunks, and the shard sorts their suffixes by external induced sorting, which yields them with their
-common prefixes; where these reach WINDOW bytes, neighbours begin with the same window, and its first document is known. The
+is fetched from the chunks, and the shard sorts the suffixes of all runs of windows whose hash it meets more than once by external
+induced sorting, which yields them with their common prefixes; where these reach WINDOW bytes, neighbours begin with the same window, and its first document is known. The
 spans go back to the chunks, which return what is left of each text. Chunks are files in the shared folder, read where they
 are needed and not shuffled. There are as many shards as make each about SHARD bytes of text, up to LARGEST for very large
 inputs: a shard's segments and suffixes lie in scratch files, and tasks hold what is known of segments (37 bytes each) only.
@@ -35,6 +35,8 @@ from horosphere.llm.simple8b import get, put
 PIECE, SHARD, LARGEST, MANY = 2 << 20, 8 << 20, 256 << 20, 4096
 #: Common prefixes are told apart up to this length.
 PREFIX = 64
+#: Windows looked at at once, and hashes of windows sorted at once (about).
+AT_ONCE, SORTED = 1 << 18, 1 << 21
 _SEGMENT = np.dtype([("anchor", "<u4"), ("bytes", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u2"), ("first", "<u4"), ("more", "u1")])
 _SPAN = np.dtype([("row", "<u2"), ("from", "<u4"), ("to", "<u4")])
 
@@ -282,6 +284,58 @@ def holders(text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndar
         yield r["doc"]
 
 
+def holders_of_shared(text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray) -> Iterator[np.ndarray]:
+    """As holders(). Windows of a hash that no other window has are held by their own document alone, so only runs of the others
+    are sorted; equal windows have equal hashes, so none of them is lost."""
+    windows = size - WINDOW + 1
+    base, total = np.cumsum(windows) - windows, int(windows.sum())
+
+    def hashed() -> Iterator[np.ndarray]:
+        for lo in range(0, total, AT_ONCE):
+            at = np.arange(lo, min(total, lo + AT_ONCE))
+            owner = np.searchsorted(base, at, side="right") - 1
+            yield window_hash(text, start[owner] + at - base[owner])
+
+    hashes, met, parts = induced.stored_array(hashed(), "<u8"), np.zeros(total, bool), -(-total // SORTED)
+    for p in range(parts):  # those of a range of hashes at a time
+        at = np.concatenate([lo + np.flatnonzero((hashes[lo : lo + AT_ONCE] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == p) for lo in range(0, total, AT_ONCE)])
+        h = hashes[at]
+        order = np.argsort(h)
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        met[at[order[same]]] = met[at[order[same + 1]]] = True
+    first, length = [], []
+    for lo in range(0, total, AT_ONCE):
+        shared = np.append(met[lo : lo + AT_ONCE], False)
+        opens = np.zeros(len(shared), bool)  # a segment's first window
+        opens[base[np.searchsorted(base, lo) : np.searchsorted(base, lo + len(shared) - 1)] - lo] = True
+        begin = shared & (opens | ~np.append(False, shared[:-1]))
+        end = shared & np.append(~shared[1:] | opens[1:], True)
+        a, b = np.flatnonzero(begin), np.flatnonzero(end)
+        first.append(lo + a)
+        length.append(b - a + 1)
+    first, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, length))
+    owner = np.searchsorted(base, first, side="right") - 1
+    place, longer = start[owner] + first - base[owner], length + WINDOW
+
+    def bytes_() -> Iterator[np.ndarray]:
+        for lo in range(0, len(place), 1 << 12):
+            n = longer[lo : lo + (1 << 12)]
+            ends = np.cumsum(n)
+            out = text[np.repeat(place[lo : lo + (1 << 12)] - (ends - n), n) + np.arange(int(ends[-1]))]
+            out[ends - 1] = 0xFF
+            yield out
+
+    sorted_ = holders(induced.stored_array(bytes_(), "u1"), np.cumsum(longer) - longer, longer - 1, docs[owner]) if len(place) else iter(())
+    have = np.zeros(0, np.int64)
+    for lo in range(0, total, AT_ONCE):
+        shared = np.flatnonzero(met[lo : lo + AT_ONCE])
+        while len(have) < len(shared):
+            have = np.append(have, next(sorted_))
+        out = docs[np.searchsorted(base, np.arange(lo, min(total, lo + AT_ONCE)), side="right") - 1]
+        out[shared], have = have[: len(shared)], have[len(shared) :]
+        yield out
+
+
 def decided(everything: DataFrame) -> DataFrame:
     """Rows of kinds 3 and 4, by shard, to (chunk, payload): spans to remove. A shard's rows are read one after another; its
     segments' bytes lie in a scratch file."""
@@ -323,7 +377,7 @@ def decided(everything: DataFrame) -> DataFrame:
         ends = np.cumsum(windows)
         out, where = [], []
         done, have = 0, np.zeros(0, np.int64)  # segments done; windows read of those that are not
-        for doc in holders(text, start, size, kept["doc"]):
+        for doc in holders_of_shared(text, start, size, kept["doc"]):
             have = np.append(have, doc)
             first_window = ends[done - 1] if done else 0
             upto = int(np.searchsorted(ends, first_window + len(have), side="right"))
@@ -352,8 +406,9 @@ def decided(everything: DataFrame) -> DataFrame:
     return everything.groupBy("shard").applyInArrow(run, "chunk long, payload binary")
 
 
-def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (from, to of maximal removed runs), kept (the bytes that stay), text_hash (Spark's xxhash64 of the text), of every row of every chunk."""
+def left_over(held: DataFrame, spans: DataFrame, changed: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (from, to of maximal removed runs), kept (the bytes that stay), text_hash (Spark's xxhash64 of the text), of every row of every chunk.
+    changed: of rows that lose bytes only, and kept is a text, without characters that are not whole."""
 
     def run(batches):
         import xxhash
@@ -374,36 +429,32 @@ def left_over(held: DataFrame, spans: DataFrame) -> DataFrame:
                     at = b
                 keep.append(b"".join(left) + text[at:])
                 found.append([{"from": a, "to": b} for a, b in some])
-            yield pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(keep, pa.binary()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "n_bytes", "spans", "kept", "text_hash"])
+            kept = pa.array([x.decode("utf-8", "ignore") if f else None for x, f in zip(keep, found, strict=True)], pa.string()) if changed else pa.array(keep, pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array([i if z else None for i, z in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()), pa.array(np.diff(bounds)), pa.array(found, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), kept, pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "n_bytes", "spans", "kept", "text_hash"])
+            yield out.filter(kept.is_valid()) if changed else out
 
     by_chunk = spans.groupBy("chunk").agg(F.collect_list("payload").alias("payloads"))  # a chunk's own spans: bounded by its texts
-    return map_arrow(spread(held.join(by_chunk.hint("merge"), "chunk", "left").select("payloads", "uri")), run, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary, text_hash long")
+    return map_arrow(spread(held.join(by_chunk.hint("merge"), "chunk", "left").select("payloads", "uri")), run, f"doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept {'string' if changed else 'binary'}, text_hash long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, n_chars, further columns) with what dedup_substrings() keeps of each text; rows of which nothing
     stays go. What stays follows from doc_id and text alone, so rows that repeat both are changed alike."""
-    left = dedup_substrings(docs).where(F.size("spans") > 0)
     doc, was, now = fresh(["doc", "was", "now"], docs.columns)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()], pa.string())], [doc, was, now])
-
-    changed = map_arrow(left.select("doc_id", "text_hash", "kept"), run, f"{doc} long, {was} long, {now} string").dropDuplicates([doc, was])
+    changed = dedup_substrings(docs, changed=True).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(was), F.col("kept").alias(now)).dropDuplicates([doc, was])
     joined = docs.join(changed, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(was)), "left").where(f"{now} is null or {now} <> ''")
     new = {"text": F.coalesce(now, "text"), "n_chars": F.when(F.col(now).isNull(), F.col("n_chars")).otherwise(F.length(now)).cast("long")}
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, changed: bool = False) -> DataFrame:
     """docs (doc_id, text) as left_over() returns it."""
     held = chunks(texts(docs))
     shards = shard_count(held)
     asked = stored(wanted(listed(held, shards)), "wanted")
     bytes_ = fetched(held, asked.where("kind = 2").select("shard", "chunk", "payload"))
     spans = decided(asked.where("kind = 3").unionByName(bytes_))
-    return left_over(held, stored(spans.unionByName(asked.where("kind = 1").select("chunk", "payload")), "spans"))
+    return left_over(held, stored(spans.unionByName(asked.where("kind = 1").select("chunk", "payload")), "spans"), changed)
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
