@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horosphere.llm.common import map_arrow, small_batches, table, texts
+from horosphere.llm.common import map_arrow, small_batches, table, texts, trim
 from horosphere.llm.simple8b import with_end
 
 GROUP = 16384
@@ -110,6 +110,8 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFr
             raw = memoryview(ids.astype("<u4")).cast("B")
             crc = [zlib.crc32(raw[i : i + 4 * k]) for i, k in zip(at, length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            del ids, raw
+            trim()  # a batch leaves more freed memory than the encoder remembers
 
     return map_arrow(texts(df), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

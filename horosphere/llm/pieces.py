@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken at once, and pieces whose ids are put together at once.
-PART, PIECES = 16 << 20, 1 << 20
+PART, PIECES = 1 << 20, 1 << 20
 #: Stands before a piece that has no blank before it.
 BARE = "\x02"
 #: What keeps a text whole (RE2): a blank at either end or before another white-space sign, signs on which patterns differ, BARE.

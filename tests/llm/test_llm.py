@@ -591,6 +591,28 @@ def test_only_windows_that_may_be_shared_are_sorted(monkeypatch):
     assert alone.tolist() == np.repeat(docs[:4000:2][300:], size[:4000:2][300:] - 49).tolist()
 
 
+def test_memory_of_packing_within_the_pipeline(spark):
+    """Text is cut a megabyte at a time, and the stage before needs one Python worker a task."""
+    import pyarrow as pa
+
+    from horosphere.llm import pieces, substrings
+
+    taken = []
+
+    def encode(some):
+        taken.append(sum(map(len, some)))
+        return [np.arange(1, dtype="<u4").tobytes()] * len(some)
+
+    words = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(1000)]
+    ids, n = pieces.by_pieces(pa.array(words), encode, lambda t: b"")
+    assert (len(ids), n.tolist()) == (400_000, [400] * 1000)
+    assert max(taken) <= 1 << 20 and sum(taken) > 2 << 20
+    docs = spark.createDataFrame([(1, "a" * 70, 70), (2, "b" + "a" * 60 + "c", 62)], "doc_id long, text string, n_chars long")
+    got = substrings.without_repeats(docs)
+    assert sorted(map(tuple, got.collect())) == [(1, "a" * 70, 70), (2, "bc", 2)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+
+
 def test_shards_follow_the_bytes(spark):
     from horosphere.llm import substrings
 
