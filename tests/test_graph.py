@@ -104,3 +104,26 @@ def test_a_graph_is_generated_without_its_components(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "components", None)
     assert catalog.generate_s1(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_triangles_by_groups_are_those_by_wedges(spark):
+    import random
+
+    draw = random.Random(5)
+    e = edges(spark, {tuple(sorted(draw.sample(range(90), 2))) for _ in range(900)} | {(0, i) for i in range(200, 260)})
+    want = sorted(map(tuple, graph.triangles(e).collect()))
+    assert len(want) > 80
+    assert sorted(map(tuple, graph.triangles(e, most=100).collect())) == want
+    for groups in (1, 3):
+        assert sorted(map(tuple, graph.triangles_by_groups(graph.pointed(e, []), groups).collect())) == want
+
+
+def test_components_read_edges_a_batch_at_a_time(spark, monkeypatch):
+    from horosphere.sources import shared
+
+    made = shared.read_batches
+    monkeypatch.setattr(shared, "read_arrow", None)
+    monkeypatch.setattr(shared, "read_batches", lambda path, columns: made(path, columns, 3))
+    e = edges(spark, {(i, i + 1) for i in range(0, 40) if i % 10 != 9} | {(3, 35)})
+    got = dict(map(tuple, graph.components(e).collect()))
+    assert {c: sum(x == c for x in got.values()) for c in set(got.values())} == {0: 20, 10: 10, 20: 10}

@@ -263,6 +263,17 @@ def test_embedding_queries_take_their_vertices_from_the_tables(spark, tmp_path):
     assert got.where("vid < 40 and kappa in (2, 3, 4)").count() == 40
 
 
+def test_infer_beta_reads_lines_of_every_discount(spark, tmp_path, monkeypatch):
+    from horosphere.plans import catalog
+
+    made, seen = catalog.generate.generate, []
+    monkeypatch.setattr(catalog.generate, "generate", lambda hidden, *a, **k: (seen.append(hidden.agg(F.count("*"), F.sum("kappa")).first()), made(hidden, *a, **k))[1])
+    lines = [(o, k, p % 40, o % 11 / 100) for o in range(40) for k, p in ((1, o), (2, o + 1), (3, o + 3), (4, o + 6))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.queries()["infer_beta"](spark, str(tmp_path)).first()
+    assert tuple(seen[0]) == (40, 240.0) and 1 < got.beta < 25  # of 120 lines of three steps, each is an edge
+
+
 def test_numbers_lags_and_sums_over_ranges(spark):
     from horosphere.operators import ordered
 
