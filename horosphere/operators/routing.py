@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horosphere.functions import geometry as G
 from horosphere.operators import graph
+from horosphere.operators.circle import spans
 from horosphere.operators.ordered import numbered
-from horosphere.sources.shared import stored
+from horosphere.sources.shared import new_path, read_batches, stored
 
-#: Edges up to which shortest paths are searched in memory, the graph going to every executor; beyond, by joins.
-LOCAL_EDGES = 1_000_000
+#: Edges up to which runs go, and shortest paths are searched, in tasks that read the graph; beyond, by joins.
+LOCAL_EDGES = graph.TASK_EDGES
 #: Steps' ends that are united before they are written as one table.
 UNITED = 40
 
@@ -33,7 +35,19 @@ def _distance(dim: int, a: str, b: str):
     return G.hyperbolic_distance(F.col(f"{a}_r"), F.col(f"{b}_r"), G.angle(F.col(f"{a}_p"), F.col(f"{b}_p"), 1e-15))
 
 
-def route(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int = 1, modified: bool = False) -> DataFrame:
+def distance_of(dim: int, ra: np.ndarray, rb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_distance of arrays."""
+    if dim == 1:
+        delta = np.pi - np.abs(np.pi - np.abs(a - b))
+    else:
+        c = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+        delta = np.where(np.abs(c - 1) < 1e-15, 0.0, np.arccos(np.clip(c, -1, 1)))
+    inside = np.maximum(1.0, ((1 - np.cos(delta)) * np.cosh(ra + rb) + (1 + np.cos(delta)) * np.cosh(ra - rb)) / 2)
+    d = np.where(delta == 0, np.abs(ra - rb), np.log(inside + np.sqrt(inside * inside - 1)))
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def route(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int = 1, modified: bool = False, local: int = LOCAL_EDGES) -> DataFrame:
     """runs (run, s, t) over vertices (vid, hyp_rad, theta or pos) to (run, s, t, status, hops).
 
     Original: to the neighbour nearest to the target if that is nearer than where the run stands, else dropped. Modified:
@@ -41,7 +55,80 @@ def route(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int = 1,
 
     Both rules end by themselves. Each hop of the original is strictly nearer. In the modified one the place before the last
     is among the neighbours that the next is chosen from, so that of every second place (distance, vid) falls strictly until
-    the run arrives or returns."""
+    the run arrives or returns.
+
+    Over graphs of at most so many edges runs go from their start to their end in tasks that read the graph; else a superstep
+    moves all of them by joins."""
+    if edges.count() <= local:
+        return route_in_tasks(edges, vertices, runs, dim, modified)
+    return route_by_joins(edges, vertices, runs, dim, modified)
+
+
+def route_in_tasks(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int, modified: bool) -> DataFrame:
+    """A task holds the graph, 4 bytes for each end of an edge, places, and the state of one batch of runs."""
+    spark, place = edges.sparkSession, "theta" if dim == 1 else "pos"
+    edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).write.parquet(links := new_path(spark, "graph"))
+    at = [F.col(place).cast("double").alias("p0")] if dim == 1 else [F.col(place)[i].cast("double").alias(f"p{i}") for i in range(dim + 1)]
+    vertices.select(F.col("vid").cast("long").alias("vid"), F.col("hyp_rad").cast("double").alias("r"), *at).write.parquet(places := new_path(spark, "places"))
+    columns = ["vid", "r", *(f"p{i}" for i in range(len(at)))]
+
+    def graph_here():
+        rows = list(zip(*read_batches(places, columns), strict=True)) or [[np.zeros(0)]] * len(columns)
+        vid, r, *p = (np.concatenate(x) for x in rows)
+        order = np.argsort(vid, kind="stable")
+        ids, r, p = vid[order].astype(np.int64), r[order], [x[order] for x in p]
+        keys = []
+        for src, dst in read_batches(links, ["src", "dst"]):
+            a, b = (np.minimum(np.searchsorted(ids, x), max(0, len(ids) - 1)) for x in (src, dst))
+            inside = (ids[a] == src) & (ids[b] == dst) if len(ids) else np.zeros(len(src), bool)
+            a, b = a[inside], b[inside]
+            keys += [a * len(ids) + b, b * len(ids) + a]
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        keys.clear()
+        key.sort()
+        start = np.searchsorted(key, np.arange(len(ids) + 1) * max(1, len(ids)))
+        return ids, r, p[0] if dim == 1 else np.stack(p, 1), start, (key % max(1, len(ids))).astype(np.int32)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, r, p, start, near = held = held or graph_here()
+            if not len(ids):
+                continue
+            number, s, t = (batch.column(c).to_numpy() for c in ("run", "s", "t"))
+            cur, to = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (s, t))
+            known = (ids[cur] == s) & (ids[to] == t)
+            number, s, t, cur, to = (x[known] for x in (number, s, t, cur, to))
+            prev, hops, best = np.full(len(cur), -1), np.zeros(len(cur), np.int64), distance_of(dim, r[cur], r[to], p[cur], p[to])
+            while True:
+                size = start[cur + 1] - start[cur]
+                if (size == 0).any():  # nowhere to go
+                    number, s, t, cur, to, prev, hops, best, size = (x[size > 0] for x in (number, s, t, cur, to, prev, hops, best, size))
+                if not len(cur):
+                    break
+                which, at_ = spans(start[cur], size)
+                u, goal = near[at_], to[which]
+                d = distance_of(dim, r[u], r[goal], p[u], p[goal])
+                d[u == goal] = -1
+                least = np.minimum.reduceat(d, np.cumsum(size) - size)
+                ties = np.flatnonzero(d == least[which])  # neighbours rise by vid
+                nxt = u[ties[np.unique(which[ties], return_index=True)[1]]].astype(np.int64)
+                arrived = nxt == to
+                stuck = ~arrived & ((nxt == prev) if modified else (least >= best))
+                hops = hops + ~stuck
+                end = arrived | stuck
+                if end.any():
+                    status = np.where(arrived[end], "arrived", "dropped")
+                    yield pa.RecordBatch.from_arrays([pa.array(number[end], pa.int64()), pa.array(s[end], pa.int64()), pa.array(t[end], pa.int64()), pa.array(status.tolist(), pa.string()), pa.array(hops[end], pa.int64())], ["run", "s", "t", "status", "hops"])
+                number, s, t, cur, to, prev, hops, best = (x[~end] for x in (number, s, t, nxt, to, cur, hops, least))
+
+    each = runs.select(*(F.col(c).cast("long").alias(c) for c in ("run", "s", "t")))
+    return stored(each.repartition(max(12, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "run long, s long, t long, status string, hops long"), "routed")
+
+
+def route_by_joins(edges: DataFrame, vertices: DataFrame, runs: DataFrame, dim: int, modified: bool) -> DataFrame:
     adj = stored(graph.adjacency(edges), "adj")
     place = "theta" if dim == 1 else "pos"
     end = lambda n: vertices.select(F.col("vid").alias(n), F.col("hyp_rad").alias(f"{n}_r"), F.col(place).alias(f"{n}_p"))
@@ -90,19 +177,25 @@ def distances_between(sources: np.ndarray, which: np.ndarray, targets: np.ndarra
 
 def shortest_paths(edges: DataFrame, runs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(s, t, dist) of the runs whose target can be reached."""
-    wanted = runs.select("s", "t").distinct()
-    if (few := edges.select("src", "dst").limit(local + 1).toPandas()).shape[0] > local:
-        reached = graph.bfs(edges, runs.select("s").distinct())
+    wanted, spark = runs.select("s", "t").distinct(), edges.sparkSession
+    if edges.count() > local:
+        reached = graph.bfs_by_joins(edges, runs.select("s").distinct())
         return wanted.join(reached.withColumnRenamed("vid", "t"), ["s", "t"])
-    ids, ends = np.unique(few.to_numpy(np.int64), return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    a, b = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    start = np.searchsorted(np.sort(a), np.arange(len(ids) + 1))
-    sent = edges.sparkSession.sparkContext.broadcast((ids, start, b[np.argsort(a, kind="stable")]))
+    edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).write.parquet(path := new_path(spark, "graph"))
+
+    def graph_here():
+        ids = np.zeros(0, np.int64)
+        for part in read_batches(path, ["src", "dst"]):
+            ids = np.union1d(ids, np.concatenate(part))
+        key = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(ids, x) * len(ids) + np.searchsorted(ids, y) for a, b in read_batches(path, ["src", "dst"]) for x, y in ((a, b), (b, a)))])
+        key.sort()
+        return ids, np.searchsorted(key, np.arange(len(ids) + 1) * max(1, len(ids))), (key % max(1, len(ids))).astype(np.int32)
 
     def run(batches):
-        ids, start, near = sent.value
+        held = None
         for x in batches:
+            if len(x):
+                ids, start, near = held = held or graph_here()
             for lo in range(0, len(x), 64):
                 part = x.iloc[lo : lo + 64]
                 s, t = part["s"].to_numpy(np.int64), np.concatenate([np.asarray(v, np.int64) for v in part["ts"]])

@@ -158,6 +158,26 @@ def test_routes_of_more_than_200_hops_arrive(spark):
     assert routing.summary(got, routing.shortest_paths(e, runs)).first().max_strech == 1.0
 
 
+@pytest.mark.parametrize(("dim", "modified"), [(1, False), (1, True), (2, False), (2, True)])
+def test_routes_in_tasks_are_those_by_joins(spark, monkeypatch, dim, modified):
+    made = generate.generate(generate.power_law(spark, 120, 2.7, 4, 5), 2.5 * dim, dim, seed=5)
+    e, v = stored(made.edges, "edges"), stored(made.vertices, "vertices")
+    runs = spark.range(600).select(F.col("id").alias("run"), (F.col("id") * 7 % 110).alias("s"), (F.col("id") * 11 % 125).alias("t")).where("s <> t")
+    want = sorted(map(tuple, routing.route(e, v, runs, dim, modified, 0).collect()))
+    monkeypatch.setattr(routing, "route_by_joins", None)
+    assert sorted(map(tuple, routing.route(e, v, runs, dim, modified).collect())) == want
+    assert {r[3] for r in want} == {"arrived", "dropped"}
+
+
+def test_routing_summary_asks_for_paths_of_arrived_runs_only(spark, monkeypatch):
+    from horosphere.plans import catalog
+
+    made, asked = routing.shortest_paths, []
+    monkeypatch.setattr(routing, "shortest_paths", lambda e, r, *a: (asked.append(r), made(e, r, *a))[1])
+    assert catalog.queries()["routing_summary"](spark, "/root/testdata/sf0.001").count() == 1
+    assert asked[0].where("status <> 'arrived'").count() == 0
+
+
 def test_shortest_paths_in_memory_are_those_by_joins(spark):
     e = stored(generate.generate(generate.power_law(spark, 80, 2.7, 3, 5), 2.5, 1, seed=5).edges, "edges")
     runs = spark.range(200).select(F.col("id").alias("run"), (F.col("id") * 7 % 90).alias("s"), (F.col("id") * 11 % 95).alias("t")).where("s <> t")
